@@ -42,10 +42,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read."""
-    path = scratch_dir(df.sparkSession) + "/t"
+    """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
+
+    Spark deletes the shuffle files of what went before once the driver's JVM has collected its garbage, hence the call of gc().
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark) + "/t"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def blocks(texts: list, most: int = BLOCK_CHARS):
