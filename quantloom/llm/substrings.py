@@ -59,25 +59,31 @@ def anchor_positions(n: int, window: int = WINDOW) -> np.ndarray:
 
 def _anchors(batches):
     for b in batches:
-        ids, hs = [], []
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        ts, hs = [], []
+        for x, t in zip(b.column("text").to_pylist(), b.column("t1").to_pylist()):
             words = (x or "").encode().split()
-            if i is not None and len(words) >= WINDOW:
+            if len(words) >= WINDOW:
                 h = np.unique(window_hashes(word_hashes(words), ANCHOR, anchor_positions(len(words))))
                 hs.append(h.view(np.int64))
-                ids.append(np.full(len(h), i))
+                ts.append(np.full(len(h), t))
         if hs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ids))], names=["h", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(np.concatenate(ts))], names=["h", "t1"])
+
+
+_CAND_DDL = "doc_id long, t1 long, t2 long, n_words long, copy boolean, sha string, text string, w1 array<long>, w2 array<long>, pos array<int>"
+_CAND = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n_words", pa.int64()), ("copy", pa.bool_()), ("sha", pa.string()), ("text", pa.string()), ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
+_NO_WORDS = sha256(b"").hexdigest()
 
 
 def _windows(batches):
-    """Per document: its number of words, its words' digest; if it has a shared anchor, its text and the windows around such anchors."""
+    """Per document: its number of words and its words' digest; if it has a shared anchor, its text and the windows around such anchors."""
     for b in batches:
         out = []
-        for i, x, got in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("hs")):
+        for i, t1, t2, x, got, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "text")), b.column("hs"), b.column("copy").to_pylist()):
             words = (x or "").encode().split()
-            row = {"doc_id": i, "n_words": len(words), "sha": sha256(b" ".join(words)).hexdigest(), "text": None, "w1": None, "w2": None, "pos": None}
-            if got.is_valid and len(words) >= WINDOW:
+            copy = bool(copy) and len(words) >= WINDOW
+            row = {"doc_id": i, "t1": t1, "t2": t2, "n_words": len(words), "copy": copy, "sha": _NO_WORDS if copy else sha256(b" ".join(words)).hexdigest(), "text": None, "w1": None, "w2": None, "pos": None}
+            if i is not None and got.is_valid and len(words) >= WINDOW and not copy:
                 h = word_hashes(words)
                 at = anchor_positions(len(words))
                 at = at[np.isin(window_hashes(h, ANCHOR, at).view(np.int64), got.values.to_numpy())]
@@ -89,15 +95,13 @@ def _windows(batches):
         yield pa.RecordBatch.from_pylist(out, _CAND)
 
 
-_CAND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("w1", pa.list_(pa.int64())), ("w2", pa.list_(pa.int64())), ("pos", pa.list_(pa.int32()))])
-
-
 def _kept(batches):
+    names = ["doc_id", "t1", "t2", "n_words", "n_removed", "kept_sha256", "kept_text"]
     for b in batches:
         removed, digest, texts = [], [], []
-        for sha, x, pos in zip(b.column("sha").to_pylist(), b.column("text").to_pylist(), b.column("pos")):
+        for n, copy, sha, x, pos in zip(*(b.column(c).to_pylist() for c in ("n_words", "copy", "sha", "text")), b.column("pos")):
             if not pos.is_valid:
-                removed.append(0), digest.append(sha), texts.append(None)
+                removed.append(n if copy else 0), digest.append(sha), texts.append("" if copy else None)
                 continue
             words = x.encode().split()
             step = np.zeros(len(words) + 1, np.int64)
@@ -107,22 +111,27 @@ def _kept(batches):
             gone = np.cumsum(step[:-1]) > 0
             kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
             removed.append(int(gone.sum())), digest.append(sha256(kept).hexdigest()), texts.append(kept.decode())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "th", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:4]), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], names=names)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_words, n_removed, kept_sha256, kept_text (null: nothing removed) of each row of docs."""
-    docs = docs.select("doc_id", "text")
-    anchors = docs.mapInArrow(_anchors, "h long, doc_id long")
-    shared = materialise(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"))
-    hits = materialise(anchors.join(shared, "h", "left_semi").groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
-    cand = docs.join(hits, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(_windows, "doc_id long, n_words long, sha string, text string, w1 array<long>, w2 array<long>, pos array<int>")
-    cand = materialise(cand.withColumn("th", F.xxhash64("text", "sha")))
-    rows = cand.where("pos is not null").select("doc_id", "th", F.inline(F.arrays_zip("w1", "w2", "pos")))
+    """doc_id, t1, t2 (hashes of the text), n_words, n_removed, kept_sha256, kept_text (null: nothing removed) of each row of docs."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    anchors = docs.where("doc_id is not null").select("text", "t1").mapInArrow(_anchors, "h long, t1 long")
+    shared = materialise(anchors.groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo < hi").select("h"))
+    hits = anchors.join(shared, "h", "left_semi").groupBy("t1").agg(F.collect_set("h").alias("hs"))
+    # Of equal texts the one with the smallest doc_id speaks for all; each window of the others starts in that document too.
+    classes = docs.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
+    classes = materialise(classes.join(hits, "t1", "left"))
+    cand = docs.join(classes, ["t1", "t2"], "left").select("doc_id", "t1", "t2", "text", "hs", (F.col("doc_id") > F.col("first")).alias("copy")).mapInArrow(_windows, _CAND_DDL)
+    cand = materialise(cand)
+    rows = cand.where("pos is not null").select("doc_id", F.inline(F.arrays_zip("w1", "w2", "pos")))
     least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
-    gone = rows.join(least, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("pos"))
-    out = cand.drop("pos", "w1", "w2").join(gone, ["doc_id", "th"], "left").select("doc_id", "th", "n_words", "sha", "text", "pos")
-    return out.mapInArrow(_kept, "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    key = ["doc_id", "t1", "t2"]
+    rows = cand.where("pos is not null").select(*key, F.inline(F.arrays_zip("w1", "w2", "pos")))
+    gone = rows.join(materialise(least), ["w1", "w2"]).where("doc_id > lo").groupBy(key).agg(F.collect_set("pos").alias("pos"))
+    out = cand.drop("pos", "w1", "w2").join(gone, key, "left").select(*key, "n_words", "copy", "sha", "text", "pos")
+    return out.mapInArrow(_kept, "doc_id long, t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
