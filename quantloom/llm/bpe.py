@@ -6,12 +6,15 @@ A state of the transducer is the set of live hypotheses: tokens not yet emitted,
 moves all hypotheses on; what all of them agree on is emitted, at most a token's length behind. States and moves are made when
 first needed, and forgotten when there are too many.
 
+The pattern is matched by the library regex, whose Unicode tables may be newer than another library's for a few letters.
+
 Defined results: a null text is an empty one and has no tokens. Repeated rows give repeated results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 from functools import lru_cache
 from hashlib import sha256
 
@@ -23,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from .common import documents
-from .pieces import PieceEncoder
+from .pieces import LONG, PieceEncoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_MOST_STATES = 300_000
-_MOST_PAIRS = 2_000_000
+_MOST_STATES = 250_000
+_MOST_PAIRS = 1_000_000
+_MOST_MATCHES = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,15 +43,19 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: x for x, i in ranks.items()}
-        self.begun = {x[:n] for x in ranks for n in range(1, len(x))}  # proper prefixes of tokens
+        self.single = [bytes((i,)) for i in range(256)]
+        # Of each prefix of a token: 1 if a longer token starts with it, plus 2 * (id + 1) if it is one.
+        self.begun = dict.fromkeys((x[:n] for x in ranks for n in range(1, len(x))), 1)
+        for x, i in ranks.items():
+            self.begun[x] = self.begun.get(x, 0) + 2 * (i + 1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        start = ((-1, (), b""),)  # hypotheses: last token emitted, tokens pending, bytes of the token begun
-        self.hypotheses, self.number, self.moves = [start], {start: 0}, [{}]
-        self.rest: list[tuple[int, ...] | None] = [None]
+        start = ((-1, (), b""),)  # hypotheses: last token emitted, tokens pending, bytes of the token begun; the one with none begun is last
+        self.hypotheses, self.number = [start], {start: 0}
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte: next state, tokens emitted
 
     def merge(self, x: bytes, below: int = 1 << 60) -> list[int]:
         """Plain BPE of a short byte string: the pair of least rank is joined, leftmost first, as long as one has a rank less than `below`."""
@@ -78,17 +86,12 @@ class Transducer:
         return len(self.bytes_of[token]) == 1 or self._halves(token) != (token, token)
 
     def follows(self, a: int, b: int) -> bool:
-        """Whether [a, b] is the encoding of the two tokens' bytes: nowhere along their boundary does a merge come before those that make a and b."""
-        if not self._is_own(b):
-            return False
-        if a < 0:
-            return True
-        key = (a, b)
-        got = self.pairs.get(key)
+        """Whether [a, b] is the encoding of the two tokens' bytes; for a = -1 whether b is its own encoding."""
+        got = self.pairs.get((a, b))
         if got is None:
             if len(self.pairs) > _MOST_PAIRS:
                 self.pairs.clear()
-            got = self.pairs[key] = self._keeps_apart(a, b)
+            got = self.pairs[a, b] = self._is_own(b) and (a < 0 or self._keeps_apart(a, b))
         return got
 
     def _keeps_apart(self, a: int, b: int) -> bool:
@@ -107,36 +110,32 @@ class Transducer:
                 limit, b = b + 1, right
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, more = [], bytes((byte,))
-        done = None
+        live, more, done, said = [], self.single[byte], None, ()
         for last, pending, begun in self.hypotheses[state]:
             x = begun + more
-            if x in self.begun:
+            token = self.begun.get(x)
+            if token is None:
+                continue
+            if token & 1:
                 live.append((last, pending, x))
-            if done is None:  # the prefix read so far has one last token
-                token = self.ranks.get(x)
-                if token is not None and self.follows(pending[-1] if pending else last, token):
-                    done = pending + (token,)
-                    live.append((last, done, b""))
-        agreed = 0
-        if len(live) == 1:
-            agreed = len(done)
-        else:
+            if done is None and token > 1 and self.follows(pending[-1] if pending else last, (token >> 1) - 1):
+                done = (last, pending + ((token >> 1) - 1,), b"")  # the prefix read so far has one last token
+        live.append(done)
+        one = live[0][1]
+        if one:  # else nothing is agreed: the longest hypothesis has no token yet
+            agreed = 0
             for ids in zip(*[p for _, p, _ in live]):
                 if ids.count(ids[0]) != len(ids):
                     break
                 agreed += 1
-        said = live[0][1][:agreed]
-        if agreed:
-            live = [(said[-1], p[agreed:], b) for _, p, b in live]
+            if agreed:
+                said = one[:agreed]
+                live = [(said[-1], p[agreed:], b) for _, p, b in live]
         key = tuple(live)
-        to = self.number.get(key)
-        if to is None:
-            to = self.number[key] = len(self.hypotheses)
+        to = self.number.setdefault(key, len(self.hypotheses))
+        if to == len(self.hypotheses):
             self.hypotheses.append(key)
-            self.moves.append({})
-            self.rest.append(done[agreed:])
-        self.moves[state][byte] = out = (to, said)
+        self.moves[state << 8 | byte] = out = (to, said)
         return out
 
     def encode(self, x: bytes) -> list[int]:
@@ -146,13 +145,13 @@ class Transducer:
             return [whole]
         if len(self.hypotheses) > _MOST_STATES:
             self._forget()
-        out, state, moves = [], 0, self.moves
+        out, state, get = [], 0, self.moves.get
         for byte in x:
-            got = moves[state].get(byte)
-            state, said = got or self._move(state, byte)
+            state, said = get(state << 8 | byte) or self._move(state, byte)
             if said:
                 out.extend(said)
-        return out + [*(self.rest[state] or ())]
+        out.extend(self.hypotheses[state][-1][1])
+        return out
 
 
 def _utf8_moves() -> list[list[int]]:
@@ -221,9 +220,20 @@ class Codec:
     def __init__(self, path: str):
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        le = {i: i.to_bytes(4, "little") for i in self.transducer.bytes_of}
-        encode, find = self.transducer.encode, self.pattern.findall
-        pieces = PieceEncoder(lambda xs: [b"".join([le[i] for m in find(x) for i in encode(m.encode())]) for x in xs])
+        encode, find, matches = self.transducer.encode, self.pattern.findall, {}
+
+        def one(m: str) -> bytes:
+            got = matches.get(m)
+            if got is None:
+                ids = encode(m.encode())
+                got = struct.pack(f"<{len(ids)}I", *ids)
+                if len(matches) > _MOST_MATCHES:
+                    matches.clear()
+                if len(m) <= LONG:
+                    matches[m] = got
+            return got
+
+        pieces = PieceEncoder(lambda xs: [b"".join(map(one, find(x))) for x in xs])
         self.encode = pieces.encode  # ids as little-endian unsigned 32-bit integers
         self.decoder = Decoder(self.transducer.bytes_of)
 

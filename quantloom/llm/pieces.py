@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MOST = 400_000  # pieces remembered; then all are forgotten
+MOST = 500_000  # pieces remembered; then all are forgotten
 LONG = 64  # characters of a piece that is still remembered
 
 
@@ -24,27 +24,34 @@ class PieceEncoder:
         if not text:
             return b""
         first, *rest = text.split(" ")
-        got = list(map(self.known.get, rest))
-        if None in got or not first or first[-1].isspace():
-            return self._slowly(first, rest)
+        known = self.known
+        got = list(map(known.get, rest))
+        if None in got:
+            new = list(dict.fromkeys([x for x, y in zip(rest, got) if y is None]))
+            if not _cut(first, *new):
+                return self._merged(first, rest)
+            fresh = dict(zip(new, self.encode_pieces([f" {x}" for x in new])))
+            got = [fresh[x] if y is None else y for x, y in zip(rest, got)]
+            if len(known) > MOST:
+                known.clear()
+            known.update((k, v) for k, v in fresh.items() if len(k) <= LONG)
+        elif rest and not _cut(first):
+            return self._merged(first, rest)
         return self.encode_pieces([first])[0] + b"".join(got)
 
-    def _slowly(self, first: str, rest: list[str]) -> bytes:
+    def _merged(self, first: str, rest: list[str]) -> bytes:
+        """For texts with runs of white space next to spaces: pieces that touch there are one."""
         whole, pieces = first, []
         for x in rest:
-            if whole and x and not whole[-1].isspace() and not x[0].isspace():
+            if _cut(whole, x):
                 pieces.append(whole)
                 whole = x
             else:
                 whole = f"{whole} {x}"
         pieces.append(whole)
-        head, *tail = pieces
-        known = self.known
-        new = [x for x in dict.fromkeys(tail) if x not in known]
-        fresh = dict(zip(new, self.encode_pieces([f" {x}" for x in new]))) if new else {}
-        out = self.encode_pieces([head])[0] + b"".join([known[x] if x in known else fresh[x] for x in tail])
-        if len(known) > MOST:
-            known.clear()
-        # A piece that ends or starts in white space isn't met as a part of split(" ").
-        known.update((k, v) for k, v in fresh.items() if len(k) <= LONG and k and not k[0].isspace() and not k[-1].isspace())
-        return out
+        return b"".join(self.encode_pieces([pieces[0], *(f" {x}" for x in pieces[1:])]))
+
+
+def _cut(*pieces: str) -> bool:
+    """Whether no piece is empty or has white space at an end."""
+    return all(pieces) and not any(x[0].isspace() or x[-1].isspace() for x in pieces)
