@@ -92,16 +92,20 @@ def _fit_shard(p: ToxicParams):
     return run
 
 
-def fit(train: DataFrame, p: ToxicParams = ToxicParams()) -> ToxicModel | None:
-    """train: doc_id, text, toxic (0 or 1). Only weights, at most 2**bits, reach the driver."""
-    counts = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, p: ToxicParams = ToxicParams()) -> ToxicModel | None:
+    """docs: doc_id, text. labels: doc_id, toxic (0 or 1), one row for a doc_id. Only weights, at most 2**bits, reach the driver.
+
+    The labels are sampled before their documents are looked up; what is broadcast is at most about 2 * per_class ids.
+    """
+    counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     if not counts:
         return None
     part = {k: min(1.0, p.per_class / n) for k, n in counts.items()}
     pick = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[F.col("toxic")]
     # A label sampled more thinly than the other counts for more, so that the prior stays.
     top = max(part.values())
-    sample = train.where(uniform(F.col("doc_id"), seed=p.seed) < pick(part)).select("text", F.col("toxic").cast("int"), uniform(F.col("doc_id"), seed=p.seed + 1).alias("order"), pick({k: top / v for k, v in part.items()}).alias("weight"))
+    picked = labels.where(uniform(F.col("doc_id"), seed=p.seed) < pick(part)).select("doc_id", F.col("toxic").cast("int").alias("y"), uniform(F.col("doc_id"), seed=p.seed + 1).alias("order"), pick({k: top / v for k, v in part.items()}).alias("weight"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("y").alias("toxic"), "order", "weight")
     rows = sample.repartition(p.shards, F.floor(F.col("order") * 1_000_003)).mapInArrow(_fit_shard(p), "bucket long, w double").groupBy("bucket").agg(F.sum("w").alias("w"), F.count("*").alias("n")).collect()
     n = max((r[2] for r in rows if r[0] < 0), default=1)
     w, bias = np.zeros(1 << p.bits, np.float32), 0.0
@@ -136,6 +140,6 @@ def score(docs: DataFrame, m: ToxicModel | None) -> DataFrame:
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    m = fit(docs.where(fold(F.col("doc_id"), 5) != 0).join(labels, "doc_id"))
+    m = fit(docs, labels)
     out = score(docs, m)
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
