@@ -288,5 +288,20 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, lang, source, ids array<int>, n_tokens and both digests of each row of docs."""
+    names = ["doc_id", "lang", "source"]
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            ids = [c.encode(x or "") for x in b.column("text").to_pylist()]
+            cols = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            cols += [pa.array([sha256(y).hexdigest() for y in z], pa.string()) for z in (ids, map(c.decode, ids))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *cols], names=[*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(*names, "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
     return digests(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
