@@ -29,9 +29,9 @@ from .common import documents
 from .pieces import LONG, PieceEncoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_MOST_STATES = 250_000
-_MOST_PAIRS = 1_000_000
-_MOST_MATCHES = 600_000
+_MOST_STATES = 150_000
+_MOST_PAIRS = 400_000
+_MOST_MATCHES = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
