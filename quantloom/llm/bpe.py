@@ -29,9 +29,10 @@ from .common import documents
 from .pieces import LONG, PieceEncoder
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_MOST_STATES = 150_000
-_MOST_PAIRS = 400_000
-_MOST_MATCHES = 400_000
+_MOST_STATES = 250_000
+_MOST_PAIRS = 800_000
+_MOST_MATCHES = 800_000
+_MOST_PIECES = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -223,17 +224,26 @@ class Codec:
         encode, find, matches = self.transducer.encode, self.pattern.findall, {}
 
         def one(m: str) -> bytes:
-            got = matches.get(m)
+            got = matches.get(m) or (known.get(m[1:]) if m[0] == " " else None)
             if got is None:
-                ids = encode(m.encode())
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                got = fresh(m)
                 if len(matches) > _MOST_MATCHES:
                     matches.clear()
                 if len(m) <= LONG:
                     matches[m] = got
             return got
 
-        pieces = PieceEncoder(lambda xs: [b"".join(map(one, find(x))) for x in xs])
+        def fresh(m: str) -> bytes:
+            ids = encode(m.encode())
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def piece(x: str) -> bytes:
+            # A piece that is one match is remembered by the piece encoder.
+            ms = find(x)
+            return b"".join(map(one, ms)) if len(ms) > 1 else matches.get(x) or fresh(x)
+
+        pieces = PieceEncoder(lambda xs: list(map(piece, xs)), _MOST_PIECES)
+        known = pieces.known
         self.encode = pieces.encode  # ids as little-endian unsigned 32-bit integers
         self.decoder = Decoder(self.transducer.bytes_of)
 

@@ -16,8 +16,8 @@ LONG = 64  # characters of a piece that is still remembered
 class PieceEncoder:
     """encode(text): the joined bytes that `encode_pieces` gives for the text's pieces."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]]):
-        self.encode_pieces = encode_pieces
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], most: int = MOST):
+        self.encode_pieces, self.most = encode_pieces, most
         self.known: dict[str, bytes] = {}  # by piece without its space
 
     def encode(self, text: str) -> bytes:
@@ -32,7 +32,7 @@ class PieceEncoder:
                 return self._merged(first, rest)
             fresh = dict(zip(new, self.encode_pieces([f" {x}" for x in new])))
             got = [fresh[x] if y is None else y for x, y in zip(rest, got)]
-            if len(known) > MOST:
+            if len(known) > self.most:
                 known.clear()
             known.update((k, v) for k, v in fresh.items() if len(k) <= LONG)
         elif rest and not _cut(first):
