@@ -27,19 +27,20 @@ from .common import documents, materialise, uniform
 class MixParams:
     weights: tuple[int, ...] = (1, 2, 3)  # of the sources by code point, repeating
     most: int = 3  # times that a document can be taken
-    exact_below: int = 4096  # words of the budget that the dynamic programming fits
+    exact_below: int = 131_072  # words of the budget that the dynamic programming fits
     parts: int = 256
     seed: int = 17
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each size to take, so that the sum comes as near to the budget from below as can be."""
+    """How many of each size to take, so that the sum comes as near to the budget as can be; of two as near, the smaller."""
     take = np.zeros(len(sizes), np.int64)
-    reach, via = np.zeros(budget + 1, bool), np.full(budget + 1, -1)
+    most = budget + int(sizes[counts > 0].max(initial=0))  # beyond that, a sum without one of its parts is as near
+    reach, via = np.zeros(most + 1, bool), np.full(most + 1, -1)
     reach[0] = True
     stages = []
     for i, (size, n) in enumerate(zip(sizes.tolist(), counts.tolist())):
-        n, k = min(n, budget // size) if size else 0, 1
+        n, k = min(n, most // size) if size else 0, 1
         while n and not reach[budget]:
             k = min(k, n)
             w = size * k
@@ -48,7 +49,8 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             reach[w:] |= new
             stages.append((i, k, w))
             n, k = n - k, 2 * k
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.abs(sums - budget).argmin()])
     while at:
         i, k, w = stages[via[at]]
         take[i] += k
