@@ -126,7 +126,8 @@ def test_mix_reaches_targets(docs):
             sums |= {x + n for x in sums} if r[3] == source else set()
         whole = math.floor(target / by[source]) * by[source]
         best = min(abs(whole + x - target) for x in sums)
-        assert abs(sum(r.taken for r in out if abs(r.target - target) < 1e-6) - target) <= best + 1, source
+        # What the first step takes of each length stays, here a few words.
+        assert abs(sum(r.taken for r in out if abs(r.target - target) < 1e-6) - target) <= best + 5, source
     assert all(0 <= r.taken <= 3 * r.size for r in out)
     again = mixing.mix(mixing.sized(docs.select("doc_id", "source", "text"))).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, again))
