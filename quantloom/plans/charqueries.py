@@ -41,19 +41,19 @@ def _double_quoted(source: str) -> str:
     return source.replace(" as string)", " as varchar)")
 
 
-def _register(prefix: str, source: str, columns: list[str], prepare, exprs: dict, group: int = 26) -> None:
-    names = [k for k in exprs if not k.startswith("_")]
+def _register(prefix: str, source: str, columns: list[str], prepare, exprs: dict, group: int = 26, t: Terms = _T, only: list[str] | None = None) -> None:
+    names = only or [k for k in exprs if not k.startswith("_")]
     for i in range(0, len(names), group):
         some = names[i : i + group]
 
         def run(spark, sf_dir, some=some):
             df = frame(spark, sf_dir, f"select * from {source} t")
-            return rounded(create(replaced(df, prepare(_T)), exprs, some).select("id", "date", *some), 5)
+            return rounded(create(replaced(df, prepare(t)), exprs, some).select("id", "date", *some), 5)
 
         key = f"{prefix}_{i // group + 1}"
         QUERIES[key] = run
         outer = ["id", "date", *(f"round({c}, 5) as {c}" if c not in _WHOLE else c for c in some)]
-        ORACLES[key] = oracle(sql(_double_quoted(source), columns, [*prepare(_T), *levels(exprs, some)], outer))
+        ORACLES[key] = oracle(sql(_double_quoted(source), columns, [*prepare(t), *levels(exprs, some)], outer))
 
 
 #: Characteristics that are whole numbers.
@@ -66,6 +66,13 @@ _register("fundq_chars", _FUNDQ, ["id", "date", *fundq.RAW], fundq.prepare, fund
 _register("crspm_chars", _STOCK, _STOCK_COLS, crspm.prepare, crspm.formulas(_T), 17)
 
 
+#: Variants of the replication, and yearly accounts on a monthly grid: a period is twelve rows.
+_JKP, _M12 = Terms(jkp=True), Terms(m=12)
+_register("funda_chars_jkp", _FUNDA, _FUNDA_COLS, funda.prepare, funda.formulas(_JKP), 40, _JKP, ["debt_gr3", "inv_gr1a", "fnl_gr1a", "netis_at", "eqnetis_at", "oaccruals_at", "lnoa_gr1a", "dsale_dinv", "be_gr1a", "f_score", "kz_index"])
+_MONTHLY_ITEMS = f"(select id, date, (row_number() over (partition by id order by date) - 1) % 12 as ph, cast(year(date) as int) as fyear, cast(2000 + (ind * 173 + id % 4) % 5200 as string) as sic, '3254' as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PM}) a) b)"
+_register("funda_chars_monthly", _MONTHLY_ITEMS, ["id", "date", "ph", *_FUNDA_COLS[2:]], funda.prepare, funda.formulas(_M12), 40, _M12, ["at_gr1", "sale_gr3", "noa_gr1a", "acc", "capex_abn", "earnings_variability", "ni_ar1", "ni_ivol", "dsale_dinv", "emp_gr1", "f_score", "age", "herf_sale", "rd5_at"])
+
+
 def _daily(spark, sf_dir):
     return frame(spark, sf_dir, f"select * from {_DAILY} t")
 

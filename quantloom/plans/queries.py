@@ -447,6 +447,39 @@ def time_varying_cost(spark, sf_dir):
     return rounded(P.time_varying_cost(monthly(spark, sf_dir).df, "me", "date").select("id", "date", "cost"))
 
 
+@query(f", {_PF}, e as (select pf, date, avg(gross_ret) over w as m, stddev_pop(gross_ret) over w as s from net window w as (partition by pf order by date)) select pf, date, round(m * 12, 6) as mean, round(s * sqrt(12), 6) as std, round(m / nullif(s, 0) * sqrt(12), 5) as sharpe from e")
+def evaluate_series(spark, sf_dir):
+    e = P.evaluate_series(P.portfolio_returns(_position(spark, sf_dir), cost=0.002))
+    return e.select("pf", "date", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("sharpe", 5).alias("sharpe"))
+
+
+_EVENT = "ev as (select id, date, case when cnt % 3 = 0 then -0.1 end as dlret, cast(case when cnt % 4 = 0 then 400 + (id * 7) % 190 end as double) as dlstcd, cast(exchcd as double) as exchcd, cast(1000 + (id * 31 + month(date)) % 600 as double) as distcd, sale / 1000 as divamt from pm where id % 5 = 0) "
+
+
+def _events(spark, sf_dir):
+    df = monthly(spark, sf_dir).df.where("id % 5 = 0")
+    e = {"dlret": "cast(case when cnt % 3 = 0 then -0.1 end as double)", "dlstcd": "cast(case when cnt % 4 = 0 then 400 + (id * 7) % 190 end as double)", "exchcd": "cast(exchcd as double)", "distcd": "cast(1000 + (id * 31 + month(date)) % 600 as double)", "divamt": "sale / 1000"}
+    return df.selectExpr("id", "date", *(f"{v} as {k}" for k, v in e.items()))
+
+
+@query(f", {_EVENT}, dl as (select id, date, coalesce(dlret, case when dlstcd = 500 or dlstcd between 520 and 584 then case when exchcd = 3 then -0.55 else -0.35 end when dlstcd >= 400 then -0.30 end) as dl from ev where dlstcd is not null), ca as (select id, date, divamt from ev where floor(distcd / 100) % 10 in (2, 3)) select pm.id, pm.date, round(case when dl is not null then (1 + coalesce(ret, 0)) * (1 + dl) - 1 else ret end, 6) as ret, round(divamt, 6) as cash_div from pm left join dl using (id, date) left join ca using (id, date)")
+def delisting_returns(spark, sf_dir):
+    stocks = monthly(spark, sf_dir).df.select("id", "date", "ret", "exchcd")
+    return rounded(J.delisting_returns(stocks, _events(spark, sf_dir), "id", "date").select("id", "date", "ret", "cash_div"))
+
+
+_CUR = "case id % 3 when 0 then 'USD' when 1 then 'CAD' else 'EUR' end"
+
+
+@query(f", r as (select date, 1.2 + month(date) / 50.0 as usd, 1.7 + year(date) % 10 / 20.0 as cad from (select distinct date from pm)), f as (select id, date, sale, {_CUR} as cur from pm) select id, date, cur, round(case when cur = 'USD' then sale when cur = 'CAD' then sale * usd / cad end, 4) as sale from f join r using (date)")
+def currency_to_usd(spark, sf_dir):
+    df = monthly(spark, sf_dir).df
+    dates = df.select("date").distinct()
+    rates = dates.selectExpr("date as datadate", "'USD' as tocurd", "cast(1.2 as double) + month(date) / cast(50 as double) as exratd").unionByName(dates.selectExpr("date as datadate", "'CAD' as tocurd", "cast(1.7 as double) + (year(date) % 10) / cast(20 as double) as exratd"))
+    f = df.select("id", "date", "sale", F.expr(_CUR).alias("cur"))
+    return rounded(J.to_usd(f, rates, "date", "cur", ["sale"]).select("id", "date", "cur", "sale"), 4)
+
+
 # Daily rows by month: partial sums per month, then a range of months.
 
 
