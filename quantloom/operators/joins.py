@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,14 +44,15 @@ def interval(left: DataFrame, right: DataFrame, by: str, at: str, start: str, en
     return left.join(r, on, how).drop("_by", "_s", "_e")
 
 
-def primary(df: DataFrame, date: str, firm: str, group: str, linked: str, volume: Column) -> Column:
-    """Whether a security is its firm's primary one at a date: linked as such, or the firm's only one; where no security of the firm
-    is, that with the most volume. Securities without a firm go by `group` in the last step."""
-    key = F.coalesce(F.col(firm).cast("string"), F.concat(F.lit("#"), F.col(group).cast("string")))
-    w = W.partitionBy(date, key)
-    sure = F.coalesce(F.col(linked), F.lit(False)) | (F.count("*").over(w) == 1)
-    any_link = F.max(F.coalesce(F.col(linked), F.lit(False)).cast("int")).over(w)
-    return sure | ((any_link == 0) & (volume == F.max(volume).over(w)))
+def primary(df: DataFrame, date: str, firm: str, group: str, linked: str, volume: str, out: str = "primary") -> DataFrame:
+    """out: whether a security is its firm's primary one at a date. In three steps: linked as such, or the firm's only one; where a
+    firm has none, that with the most volume; among securities without a firm the same by `group`."""
+    by_firm, by_group = W.partitionBy(date, firm), W.partitionBy(date, group)
+    has, yes = F.col(firm).isNotNull(), F.col(out).cast("int")
+    df = df.withColumn(out, F.coalesce(F.col(linked), F.lit(False)) | (has & (F.count("*").over(by_firm) == 1)))
+    most = lambda w: (F.sum(yes).over(w) == 0) & F.coalesce(F.col(volume) == F.max(volume).over(w), F.lit(False))
+    df = df.withColumn(out, F.col(out) | (has & most(by_firm)))
+    return df.withColumn(out, F.col(out) | (~has & most(by_group)))
 
 
 def fill_outer(a: DataFrame, q: DataFrame, on: list[str], age: str, suffix: str = "_q") -> DataFrame:
@@ -85,21 +86,23 @@ def to_usd(df: DataFrame, rates: DataFrame, date: str, currency: str, columns: l
     return j.withColumns({c: F.when(F.col(currency) != "USD", F.col(c) * F.col("_rate")).otherwise(F.col(c)) for c in columns}).drop("_d", "_cur", "_rate")
 
 
-def delisting_returns(stocks: DataFrame, events: DataFrame, id: str, date: str, month_end: bool = True) -> DataFrame:
-    """Returns that include delisting returns, and cash dividends. stocks: ret, exchcd; events: dlret, dlstcd, exchcd, distcd, divamt.
+def delisting_returns(stocks: DataFrame, events: DataFrame, id: str, date: str, method: int = 1) -> DataFrame:
+    """Returns that include delisting returns, and cash dividends. stocks: ret; events: dlret, dlstcd, exchcd, distcd, divamt, dates as in stocks.
 
-    A missing delisting return of code 500 or 520 to 584 is -0.35, on exchange 3 -0.55; of other performance codes from 400 on -0.30.
+    A missing delisting return of code 500 or 520 to 584 is, by method 1, -0.30; by method 2 -0.35 on exchanges 1 and 2 and -0.55 on 3.
+    Distributions are cash if the hundreds digit of their code is 2 or 3; a date with others only has 0.
     """
-    at = (F.last_day(F.col(date)) if month_end else F.col(date)).alias(date)
     code = F.col("dlstcd")
     bad = (code == 500) | code.between(520, 584)
-    filled = F.coalesce(F.col("dlret"), F.when(bad, F.when(F.col("exchcd") == 3, -0.55).otherwise(-0.35)).when(code >= 400, F.lit(-0.30)))
-    delisted = events.where(F.col("dlstcd").isNotNull()).select(id, at, filled.alias("_dl")).groupBy(id, date).agg(F.first("_dl").alias("dlret"))
+    fill = F.lit(-0.30) if method == 1 else F.when(F.col("exchcd").isin(1, 2), -0.35).when(F.col("exchcd") == 3, -0.55)
+    filled = F.coalesce(F.col("dlret"), F.when(bad, fill)) if method else F.col("dlret")
+    delisted = events.where(code.isNotNull()).select(id, date, filled.alias("dlret")).groupBy(id, date).agg(F.max("dlret").alias("dlret"))
     kind = F.floor(F.col("distcd") / 100) % 10
-    cash = events.where(kind.isin(2, 3)).select(id, at, "divamt").groupBy(id, date).agg(F.sum("divamt").alias("cash_div"))
+    paid = events.where(F.col("distcd").isNotNull()).select(id, date, "distcd", "divamt").distinct()
+    cash = paid.groupBy(id, date).agg(F.coalesce(F.sum(F.when(kind.isin(2, 3), F.col("divamt"))), F.lit(0.0)).alias("cash_div"))
     out = stocks.join(delisted, [id, date], "left").join(cash, [id, date], "left")
-    both = (1 + F.coalesce(F.col("ret"), F.lit(0.0))) * (1 + F.col("dlret")) - 1
-    return out.withColumn("ret", F.when(F.col("dlret").isNotNull(), both).otherwise(F.col("ret")))
+    both = (1 + F.coalesce("ret", F.lit(0.0))) * (1 + F.coalesce("dlret", F.lit(0.0))) - 1
+    return out.withColumn("ret", F.when(F.coalesce("ret", "dlret").isNotNull(), both))
 
 
 def compare(a: DataFrame, b: DataFrame, on: list[str], tolerance: float = 0.01) -> DataFrame:

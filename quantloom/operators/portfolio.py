@@ -43,11 +43,11 @@ def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "d
     """pf, date, gross_ret, net_ret, excess, value, n_long, n_short, turnover, cost.
 
     What the long positions leave of the value is cash, at rf if there is a column of it. Weights are at the date's start, returns
-    over the date; a name that is not held any more is sold. cost: a rate of the amount traded, as a number or a column.
+    over the date; a name that is not held any more is sold. The excess return is the positions' plus the cash's return. cost: a rate of the amount traded, as a number or a column.
     """
     rate = F.col(rf).cast("double") if rf else F.lit(0.0)
     by = position.groupBy("pf", date).agg(
-        F.sum(F.col("wgt") * F.col("ret")).alias("_r"), F.sum(F.when(F.col("wgt") > 0, F.col("wgt")).otherwise(0.0)).alias("_long"), F.max(rate).alias("_rf"),
+        F.sum(F.col("wgt") * F.col("ret")).alias("_r"), F.sum(F.col("wgt") * (F.col("ret") - rate)).alias("_e"), F.sum(F.when(F.col("wgt") > 0, F.col("wgt")).otherwise(0.0)).alias("_long"), F.max(rate).alias("_rf"),
         F.count_if(F.col("wgt") > 0).alias("n_long"), F.count_if(F.col("wgt") < 0).alias("n_short"))
     over = W.partitionBy("pf").orderBy(date)
     run = over.rowsBetween(W.unboundedPreceding, 0)
@@ -64,7 +64,7 @@ def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "d
     traded = trades.groupBy("pf", date).agg(F.sum(amount).alias("_amount"), F.sum(amount * F.coalesce("rate", F.lit(0.0 if isinstance(cost, str) else float(cost or 0.0)))).alias("_cost"))
     out = by.join(traded, ["pf", date])
     out = out.withColumns({"turnover": F.when(F.col("_first"), 0.0).otherwise(div("_amount", "_value0")), "cost": F.when(F.col("_first"), 0.0).otherwise(div("_cost", "_value0"))})
-    out = out.withColumns({"net_ret": F.col("gross_ret") - F.col("cost"), "excess": F.col("_r") + (1 - F.col("_long")) * F.col("_rf") - F.col("_rf")})
+    out = out.withColumns({"net_ret": F.col("gross_ret") - F.col("cost"), "excess": F.col("_e") + (1 - F.col("_long")) * F.col("_rf")})
     return out.select("pf", date, "gross_ret", "net_ret", "excess", "value", "n_long", "n_short", "turnover", "cost")
 
 

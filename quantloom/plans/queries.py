@@ -346,10 +346,10 @@ def interval_join(spark, sf_dir):
     return J.interval(probe, link, "key", "date", "linkdt", "linkend")
 
 
-@query(", s as (select id, date, case when ind % 4 <> 0 then ind end as firm, exchcd as grp, id % 7 = 0 as linked, sale from pm), k as (select *, coalesce(cast(firm as varchar), '#' || cast(grp as varchar)) as key from s) select id, date, (linked or count(*) over w = 1) or (max(cast(linked as int)) over w = 0 and sale = max(sale) over w) as prim from k window w as (partition by date, key)")
+@query(", s as (select id, date, case when ind % 4 <> 0 then ind end as firm, exchcd as grp, id % 7 = 0 as linked, sale from pm), a as (select *, linked or (firm is not null and count(*) over (partition by date, firm) = 1) as p1 from s), b as (select *, p1 or (firm is not null and sum(cast(p1 as int)) over (partition by date, firm) = 0 and sale = max(sale) over (partition by date, firm)) as p2 from a) select id, date, p2 or (firm is null and sum(cast(p2 as int)) over (partition by date, grp) = 0 and sale = max(sale) over (partition by date, grp)) as prim from b")
 def primary_stock(spark, sf_dir):
     df = monthly(spark, sf_dir).df.select("id", "date", F.expr("case when ind % 4 <> 0 then ind end").alias("firm"), F.col("exchcd").alias("grp"), (F.col("id") % 7 == 0).alias("linked"), "sale")
-    return df.withColumn("prim", J.primary(df, "date", "firm", "grp", "linked", F.col("sale"))).select("id", "date", "prim")
+    return J.primary(df, "date", "firm", "grp", "linked", "sale", "prim").select("id", "date", "prim")
 
 
 @query(", a as (select id, date, cast(year(date) as int) as age, case when cnt > 3 then sale end as sale, net from pm where month(date) > 2), q as (select id, date, cast(year(date) + id % 2 as int) as age, sale * 3 as sale, case when cnt > 2 then net end as net from pm where month(date) < 11), j as (select coalesce(a.id, q.id) as id, coalesce(a.date, q.date) as date, a.id is null or coalesce(a.age < q.age, false) as newer, a.age, q.age as qage, a.sale, q.sale as qsale, a.net, q.net as qnet from a full join q on a.id = q.id and a.date = q.date) select id, date, case when (newer or age is null) and qage is not null then qage else age end as age, case when (newer or sale is null) and qsale is not null then qsale else sale end as sale, case when (newer or net is null) and qnet is not null then qnet else net end as net from j")
@@ -462,10 +462,10 @@ def _events(spark, sf_dir):
     return df.selectExpr("id", "date", *(f"{v} as {k}" for k, v in e.items()))
 
 
-@query(f", {_EVENT}, dl as (select id, date, coalesce(dlret, case when dlstcd = 500 or dlstcd between 520 and 584 then case when exchcd = 3 then -0.55 else -0.35 end when dlstcd >= 400 then -0.30 end) as dl from ev where dlstcd is not null), ca as (select id, date, divamt from ev where floor(distcd / 100) % 10 in (2, 3)) select pm.id, pm.date, round(case when dl is not null then (1 + coalesce(ret, 0)) * (1 + dl) - 1 else ret end, 6) as ret, round(divamt, 6) as cash_div from pm left join dl using (id, date) left join ca using (id, date)")
+@query(f", {_EVENT}, dl as (select id, date, coalesce(dlret, case when dlstcd = 500 or dlstcd between 520 and 584 then case when exchcd in (1, 2) then -0.35 when exchcd = 3 then -0.55 end end) as dl from ev where dlstcd is not null), ca as (select id, date, case when floor(distcd / 100) % 10 in (2, 3) then divamt else 0 end as divamt from ev) select pm.id, pm.date, round(case when coalesce(ret, dl) is not null then (1 + coalesce(ret, 0)) * (1 + coalesce(dl, 0)) - 1 end, 6) as ret, round(divamt, 6) as cash_div from pm left join dl using (id, date) left join ca using (id, date)")
 def delisting_returns(spark, sf_dir):
     stocks = monthly(spark, sf_dir).df.select("id", "date", "ret", "exchcd")
-    return rounded(J.delisting_returns(stocks, _events(spark, sf_dir), "id", "date").select("id", "date", "ret", "cash_div"))
+    return rounded(J.delisting_returns(stocks, _events(spark, sf_dir), "id", "date", 2).select("id", "date", "ret", "cash_div"))
 
 
 _CUR = "case id % 3 when 0 then 'USD' when 1 then 'CAD' else 'EUR' end"
