@@ -33,6 +33,7 @@ _MOST_STATES = 250_000
 _MOST_PAIRS = 800_000
 _MOST_MATCHES = 800_000
 _MOST_PIECES = 1_000_000
+_MARKS = frozenset(".,;:!?")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -237,9 +238,19 @@ class Codec:
             ids = encode(m.encode())
             return struct.pack(f"<{len(ids)}I", *ids)
 
+        def split(x: str) -> list[str]:
+            """Matches of the pattern; a word, and a word and a mark, are told without it."""
+            word = x[1:]
+            if x[:1] == " " and word:
+                if word.isalpha():
+                    return [x]
+                if word[-1] in _MARKS and word[:-1].isalpha():
+                    return [x[:-1], word[-1]]
+            return find(x)
+
         def piece(x: str) -> bytes:
             # A piece that is one match is remembered by the piece encoder.
-            ms = find(x)
+            ms = split(x)
             return b"".join(map(one, ms)) if len(ms) > 1 else matches.get(x) or fresh(x)
 
         pieces = PieceEncoder(lambda xs: list(map(piece, xs)), _MOST_PIECES)

@@ -34,7 +34,9 @@ class PieceEncoder:
             got = [fresh[x] if y is None else y for x, y in zip(rest, got)]
             if len(known) > self.most:
                 known.clear()
-            known.update((k, v) for k, v in fresh.items() if len(k) <= LONG)
+            if max(map(len, fresh)) > LONG:
+                fresh = {k: v for k, v in fresh.items() if len(k) <= LONG}
+            known.update(fresh)
         elif rest and not _cut(first):
             return self._merged(first, rest)
         return self.encode_pieces([first])[0] + b"".join(got)
