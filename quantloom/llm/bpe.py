@@ -33,6 +33,8 @@ _MOST_STATES = 250_000
 _MOST_PAIRS = 800_000
 _MOST_MATCHES = 800_000
 _MOST_PIECES = 1_000_000
+#: Part of these that a codec remembers where other stages need the memory too.
+SMALL = 0.25
 _MARKS = frozenset(".,;:!?")
 
 
@@ -42,8 +44,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], part: float = 1.0):
         self.ranks = ranks
+        self.most_states, self.most_pairs = int(part * _MOST_STATES), int(part * _MOST_PAIRS)
         self.bytes_of = {i: x for x, i in ranks.items()}
         self.single = [bytes((i,)) for i in range(256)]
         # Of each prefix of a token: 1 if a longer token starts with it, plus 2 * (id + 1) if it is one.
@@ -91,7 +94,7 @@ class Transducer:
         """Whether [a, b] is the encoding of the two tokens' bytes; for a = -1 whether b is its own encoding."""
         got = self.pairs.get((a, b))
         if got is None:
-            if len(self.pairs) > _MOST_PAIRS:
+            if len(self.pairs) > self.most_pairs:
                 self.pairs.clear()
             got = self.pairs[a, b] = self._is_own(b) and (a < 0 or self._keeps_apart(a, b))
         return got
@@ -145,7 +148,7 @@ class Transducer:
         whole = self.ranks.get(x)
         if whole is not None:
             return [whole]
-        if len(self.hypotheses) > _MOST_STATES:
+        if len(self.hypotheses) > self.most_states:
             self._forget()
         out, state, get = [], 0, self.moves.get
         for byte in x:
@@ -217,10 +220,11 @@ class Decoder:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary file; a Python worker keeps one."""
+    """Encoder and decoder for one vocabulary file; a Python worker keeps one. part: of the states and pieces remembered at most."""
 
-    def __init__(self, path: str):
-        self.transducer = Transducer(read_ranks(path))
+    def __init__(self, path: str, part: float = 1.0):
+        self.transducer = Transducer(read_ranks(path), part)
+        most_matches = int(part * _MOST_MATCHES)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         encode, find, matches = self.transducer.encode, self.pattern.findall, {}
 
@@ -228,7 +232,7 @@ class Codec:
             got = matches.get(m) or (known.get(m[1:]) if m[0] == " " else None)
             if got is None:
                 got = fresh(m)
-                if len(matches) > _MOST_MATCHES:
+                if len(matches) > most_matches:
                     matches.clear()
                 if len(m) <= LONG:
                     matches[m] = got
@@ -253,7 +257,7 @@ class Codec:
             ms = split(x)
             return b"".join(map(one, ms)) if len(ms) > 1 else matches.get(x) or fresh(x)
 
-        pieces = PieceEncoder(lambda xs: list(map(piece, xs)), _MOST_PIECES)
+        pieces = PieceEncoder(lambda xs: list(map(piece, xs)), int(part * _MOST_PIECES))
         known = pieces.known
         self.encode = pieces.encode  # ids as little-endian unsigned 32-bit integers
         self.decoder = Decoder(self.transducer.bytes_of)
@@ -264,8 +268,8 @@ class Codec:
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, part: float = 1.0) -> Codec:
+    return Codec(path, part)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -309,12 +313,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def tokens(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, lang, source, ids array<int>, n_tokens and both digests of each row of docs."""
+def tokens(docs: DataFrame, path: str, part: float = SMALL) -> DataFrame:
+    """doc_id, lang, source, ids array<int>, n_tokens and both digests of each row of docs. part: see Codec."""
     names = ["doc_id", "lang", "source"]
 
     def run(batches):
-        c = codec(path)
+        c = codec(path, part)
         for b in batches:
             ids = [c.encode(x or "") for x in b.column("text").to_pylist()]
             cols = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([len(x) // 4 for x in ids], pa.int64())]
