@@ -261,6 +261,13 @@ class Codec:
         known = pieces.known
         self.encode = pieces.encode  # ids as little-endian unsigned 32-bit integers
         self.decoder = Decoder(self.transducer.bytes_of)
+        self.remembered = (matches, known, self.transducer.pairs)
+
+    def forget(self) -> None:
+        """Gives back the memory of all that was remembered."""
+        self.transducer._forget()
+        for x in self.remembered:
+            x.clear()
 
     def decode(self, ids: bytes) -> bytes:
         at = np.frombuffer(ids, "<u4")
@@ -324,6 +331,7 @@ def tokens(docs: DataFrame, path: str, part: float = SMALL) -> DataFrame:
             cols = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([len(x) // 4 for x in ids], pa.int64())]
             cols += [pa.array([sha256(y).hexdigest() for y in z], pa.string()) for z in (ids, map(c.decode, ids))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *cols], names=[*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     return docs.select(*names, "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
