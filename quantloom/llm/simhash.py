@@ -32,15 +32,19 @@ SEED = 42
 _AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64 bits as a signed integer."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the runs of `shingle` words, in order; a shorter text is one run, one without words has none."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
-    line, k = b" ".join(words), min(SHINGLE, len(words))
+        return np.zeros(0, np.uint64)
+    line, k = b" ".join(words), min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: len(words) - k].tolist()]
-    h = np.fromiter([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64, len(starts))
+    return np.fromiter([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, (ends[k - 1 :] - 1).tolist())], np.uint64, len(starts))
+
+
+def bits(h: np.ndarray) -> int:
+    """The majority of each of the 64 bits, as a signed integer."""
     count = np.zeros(64, np.int64)
     for i in range(0, len(h), _AT_ONCE):
         part = h[i : i + _AT_ONCE]
@@ -48,6 +52,11 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(count * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None) -> int:
+    """The 64 bits as a signed integer."""
+    return bits(shingle_hashes(text))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with a last column fp long; any columns, of which text is read."""
     names = docs.columns
