@@ -81,7 +81,7 @@ def crspd_chars(spark, sf_dir):
     return rounded(crspd.characteristics(_daily(spark, sf_dir)), 5)
 
 
-def _crspd_oracle() -> str:
+def _crspd_source() -> str:
     cols, source = list(_DAILY_COLS), _DAILY
     for step in crspd.prepare(_T):
         keep = [c for c in cols if c not in step]
@@ -92,8 +92,12 @@ def _crspd_oracle() -> str:
     source = f"({sums})"
     for step in levels(f, [k for k in f if not k.startswith("_")]):
         source = f"(select *, {', '.join(f'{v} as {k}' for k, v in step.items())} from {source} t)"
-    names = [*crspd.DIRECT, *(k for k in f if not k.startswith("_"))]
-    return oracle(f"select id, mon, date, {', '.join(f'round({c}, 5) as {c}' for c in names)} from {source} t")
+    return source
+
+
+def _crspd_oracle() -> str:
+    names = [*crspd.DIRECT, *(k for k in crspd.formulas() if not k.startswith("_"))]
+    return oracle(f"select id, mon, date, {', '.join(f'round({c}, 5) as {c}' for c in names)} from {_crspd_source()} t")
 
 
 QUERIES["crspd_chars"] = crspd_chars
@@ -110,7 +114,24 @@ def crspd_rmax5(spark, sf_dir):
 
 QUERIES["crspd_rmax5"] = crspd_rmax5
 ORACLES["crspd_rmax5"] = oracle(f"select id, mon, case when n > 5 then round(list_avg(list_sort(list_r, 'desc', 'nulls last')[1:5]), 6) end as rmax5_21d from (select id, cast((year(date) - 1900) * 12 + month(date) as bigint) as mon, count(*) as n, list(ret) filter (where ret is not null) as list_r from {_DAILY} t group by all) u")
-QUERIES["crspd_residuals"] = lambda spark, sf_dir: crspd.residual_statistics(_prepared(spark, sf_dir))
+
+
+def crspd_rmax5_rvol(spark, sf_dir):
+    return rounded(crspd.largest_to_volatility(_daily(spark, sf_dir)), 5)
+
+
+QUERIES["crspd_rmax5_rvol"] = crspd_rmax5_rvol
+ORACLES["crspd_rmax5_rvol"] = oracle(f"select id, mon, date, round(case when n > 5 then list_avg(list_sort(list_r, 'desc', 'nulls last')[1:5]) end / nullif(rvol_252d, 0), 5) as rmax5_rvol_21d from {_crspd_source()} s join (select id, cast((year(date) - 1900) * 12 + month(date) as bigint) as mon, count(*) as n, list(ret) filter (where ret is not null) as list_r from {_DAILY} t group by all) u using (id, mon)")
+
+#: The factors of the q model, of the kind that the daily panel has for the others.
+_Q_FACTORS = {c: f"{a} * {f}({b} * (year(date) * 366 + dayofyear(date)))" for c, a, f, b in (("smb_hxz", 0.007, "cos", 1.3), ("inv", 0.005, "sin", 2.3), ("roe", 0.004, "cos", 2.9))}
+
+
+def crspd_residuals(spark, sf_dir):
+    return crspd.residual_statistics(_prepared(spark, sf_dir).withColumns({c: F.expr(v) for c, v in _Q_FACTORS.items()}))
+
+
+QUERIES["crspd_residuals"] = crspd_residuals
 QUERIES["crspd_weekly"] = lambda spark, sf_dir: crspd.weekly(_prepared(spark, sf_dir))
 QUERIES["crspd_trend_factor"] = lambda spark, sf_dir: crspd.trend_factor(_prepared(spark, sf_dir), (1, 3, 5, 10, 20))
 

@@ -105,9 +105,16 @@ def five_largest(daily: DataFrame) -> DataFrame:
     return daily.groupBy("id", "mon").agg(F.when(F.count("*") > 5, F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)).alias("rmax5_21d"))
 
 
+def largest_to_volatility(daily: DataFrame, t: Terms = Terms()) -> DataFrame:
+    """id, mon, date, rmax5_rvol_21d: rmax5_21d over a year's volatility of excess returns."""
+    largest = five_largest(replaced(daily, prepare(t)))
+    return characteristics(daily, ["rvol_252d"], t).join(largest, ["id", "mon"], "left").select("id", "mon", "date", (F.col("rmax5_21d") / F.nullif("rvol_252d", F.lit(0.0))).alias("rmax5_rvol_21d"))
+
+
 def residual_statistics(daily: DataFrame, models: dict[str, list[str]] = {"capm": ["mktrf"], "ff3": ["mktrf", "hml", "smb_ff"], "hxz4": ["mktrf", "smb_hxz", "inv", "roe"]}, least: int = 15) -> DataFrame:  # noqa: B006
-    """id, mon, ivol_<model>_21d, iskew_<model>_21d, coskew_21d, beta_dimson_21d of prepared daily rows. Models with missing factors are left out."""
-    models = {k: v for k, v in models.items() if set(v) <= set(daily.columns)}
+    """id, mon, ivol_<model>_21d, iskew_<model>_21d, coskew_21d, beta_dimson_21d of prepared daily rows."""
+    if missing := sorted({c for v in models.values() for c in v} - set(daily.columns)):
+        raise ValueError(f"no such factors: {', '.join(missing)}")
     by_id = W.partitionBy("id").orderBy("date")
     cols = sorted({"exret", "mktrf", *(c for v in models.values() for c in v)})
     rows = daily.select("id", "date", "mon", *cols).withColumns({"_lag": F.lag("mktrf").over(by_id), "_lead": F.lead("mktrf").over(by_id)})
