@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 def test_q_model_residuals(spark):
     out = cq.QUERIES["crspd_residuals"](spark, SF).where("id = 1").toPandas().set_index("mon")
-    daily = cq._prepared(spark, SF).where("id = 1").selectExpr("mon", "exret", "mktrf", *(f"{v} as {k}" for k, v in cq._Q_FACTORS.items())).toPandas().astype(float)
+    daily = cq._prepared_many(spark, SF).where("id = 1").selectExpr("mon", "exret", "mktrf", *(f"{v} as {k}" for k, v in cq._Q_FACTORS.items())).toPandas().astype(float)
     seen = 0
     for mon, g in daily.groupby("mon"):
         d = g.dropna().to_numpy()[:, 1:]
