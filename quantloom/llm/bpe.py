@@ -4,7 +4,7 @@ A split of a byte string into tokens is its BPE encoding just if every token is
 encoding of their bytes. So each prefix has one last token, found from the last tokens of the prefixes a token's length before.
 A state of the transducer is the set of live hypotheses: tokens not yet emitted, and the bytes of a token begun. Reading a byte
 moves all hypotheses on; what all of them agree on is emitted, at most a token's length behind. States and moves are made when
-first needed, and forgotten when there are too many.
+first needed, and forgotten when they take more memory than they may, also within a long match.
 
 The pattern is matched by the library regex, whose Unicode tables may be newer than another library's for a few letters.
 
@@ -25,16 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from .common import documents
-from .pieces import LONG, PieceEncoder
+from .common import documents, slices
+from .pieces import PieceEncoder, Remembered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_MOST_STATES = 250_000
-_MOST_PAIRS = 800_000
-_MOST_MATCHES = 800_000
-_MOST_PIECES = 1_000_000
-#: Part of these that a codec remembers where other stages need the memory too.
-SMALL = 0.25
+#: Bytes that a Python worker remembers of states, moves, pairs and pieces; less where other stages need the memory too.
+MEMORY = 480_000_000
+SMALL = 80_000_000
 _MARKS = frozenset(".,;:!?")
 
 
@@ -43,24 +40,34 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
+def trie(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The prefixes of tokens as edges: node << 8 | byte to node << 21 | (token's id + 1, or 0) << 1 | whether a token goes on. Node 0 is the empty prefix."""
+    nodes: dict[int, int] = {}
+    ends, inner = {}, {0}
+    for x, i in ranks.items():
+        node = 0
+        for byte in x:
+            inner.add(node)
+            node = nodes.setdefault(node << 8 | byte, len(nodes) + 1)
+        ends[node] = i + 1
+    return {k: node << 21 | ends.get(node, 0) << 1 | (node in inner) for k, node in nodes.items()}
+
+
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], part: float = 1.0):
-        self.ranks = ranks
-        self.most_states, self.most_pairs = int(part * _MOST_STATES), int(part * _MOST_PAIRS)
+    """memory: bytes that states, moves and pairs may take; when they are used up all are forgotten, also within a match."""
+
+    def __init__(self, ranks: dict[bytes, int], memory: int = MEMORY // 2):
+        self.ranks, self.memory, self.step = ranks, memory, trie(ranks).get
         self.bytes_of = {i: x for x, i in ranks.items()}
-        self.single = [bytes((i,)) for i in range(256)]
-        # Of each prefix of a token: 1 if a longer token starts with it, plus 2 * (id + 1) if it is one.
-        self.begun = dict.fromkeys((x[:n] for x in ranks for n in range(1, len(x))), 1)
-        for x, i in ranks.items():
-            self.begun[x] = self.begun.get(x, 0) + 2 * (i + 1)
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        start = ((-1, (), b""),)  # hypotheses: last token emitted, tokens pending, bytes of the token begun; the one with none begun is last
+    def forget(self) -> None:
+        start = ((-1, (), 0),)  # hypotheses: last token emitted, tokens pending, node of the token begun; the one with none begun is last
         self.hypotheses, self.number = [start], {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte: next state, tokens emitted
+        self.pairs: dict[int, bool] = {}
+        self.used = 0
 
     def merge(self, x: bytes, below: int = 1 << 60) -> list[int]:
         """Plain BPE of a short byte string: the pair of least rank is joined, leftmost first, as long as one has a rank less than `below`."""
@@ -92,11 +99,11 @@ class Transducer:
 
     def follows(self, a: int, b: int) -> bool:
         """Whether [a, b] is the encoding of the two tokens' bytes; for a = -1 whether b is its own encoding."""
-        got = self.pairs.get((a, b))
+        key = (a + 1) << 32 | b
+        got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > self.most_pairs:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._is_own(b) and (a < 0 or self._keeps_apart(a, b))
+            got = self.pairs[key] = self._is_own(b) and (a < 0 or self._keeps_apart(a, b))
+            self.used += 130
         return got
 
     def _keeps_apart(self, a: int, b: int) -> bool:
@@ -115,21 +122,23 @@ class Transducer:
                 limit, b = b + 1, right
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        live, more, done, said = [], self.single[byte], None, ()
+        live, done, said, step, known = [], None, (), self.step, self.pairs.get
         for last, pending, begun in self.hypotheses[state]:
-            x = begun + more
-            token = self.begun.get(x)
-            if token is None:
+            at = step(begun << 8 | byte)
+            if at is None:
                 continue
-            if token & 1:
-                live.append((last, pending, x))
-            if done is None and token > 1 and self.follows(pending[-1] if pending else last, (token >> 1) - 1):
-                done = (last, pending + ((token >> 1) - 1,), b"")  # the prefix read so far has one last token
+            if at & 1:
+                live.append((last, pending, at >> 21))
+            if done is None and at & 0x1FFFFE:
+                token, before = (at >> 1 & 0xFFFFF) - 1, pending[-1] if pending else last
+                fits = known((before + 1) << 32 | token)
+                if self.follows(before, token) if fits is None else fits:
+                    done = (last, (*pending, token), 0)  # the prefix read so far has one last token
         live.append(done)
         one = live[0][1]
         if one:  # else nothing is agreed: the longest hypothesis has no token yet
-            agreed = 0
-            for ids in zip(*[p for _, p, _ in live]):
+            agreed = len(one) if len(live) == 1 else 0
+            for ids in zip(*[p for _, p, _ in live] if not agreed else ()):
                 if ids.count(ids[0]) != len(ids):
                     break
                 agreed += 1
@@ -137,10 +146,17 @@ class Transducer:
                 said = one[:agreed]
                 live = [(said[-1], p[agreed:], b) for _, p, b in live]
         key = tuple(live)
+        if self.used > self.memory:
+            self.forget()
+            state = -1  # its number is no more
         to = self.number.setdefault(key, len(self.hypotheses))
         if to == len(self.hypotheses):
             self.hypotheses.append(key)
-        self.moves[state << 8 | byte] = out = (to, said)
+            self.used += 250 + 150 * len(key)
+        out = (to, said)
+        if state >= 0:
+            self.moves[state << 8 | byte] = out
+            self.used += 220
         return out
 
     def encode(self, x: bytes) -> list[int]:
@@ -148,11 +164,9 @@ class Transducer:
         whole = self.ranks.get(x)
         if whole is not None:
             return [whole]
-        if len(self.hypotheses) > self.most_states:
-            self._forget()
-        out, state, get = [], 0, self.moves.get
+        out, state = [], 0
         for byte in x:
-            state, said = get(state << 8 | byte) or self._move(state, byte)
+            state, said = self.moves.get(state << 8 | byte) or self._move(state, byte)
             if said:
                 out.extend(said)
         out.extend(self.hypotheses[state][-1][1])
@@ -201,6 +215,8 @@ class Decoder:
             key = (self.state, i)
             got = done.get(key)
             if got is None:
+                if len(done) > 20_000:
+                    done.clear()
                 got = done[key] = self._run(*key)
             self.state, left = got
             x = self.bytes_of[i]
@@ -220,23 +236,12 @@ class Decoder:
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary file; a Python worker keeps one. part: of the states and pieces remembered at most."""
+    """Encoder and decoder for one vocabulary file; a Python worker keeps one. memory: bytes of what is remembered, about."""
 
-    def __init__(self, path: str, part: float = 1.0):
-        self.transducer = Transducer(read_ranks(path), part)
-        most_matches = int(part * _MOST_MATCHES)
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        encode, find, matches = self.transducer.encode, self.pattern.findall, {}
-
-        def one(m: str) -> bytes:
-            got = matches.get(m) or (known.get(m[1:]) if m[0] == " " else None)
-            if got is None:
-                got = fresh(m)
-                if len(matches) > most_matches:
-                    matches.clear()
-                if len(m) <= LONG:
-                    matches[m] = got
-            return got
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.transducer = Transducer(read_ranks(path), memory // 2)
+        encode, find = self.transducer.encode, regex.compile(public_tokenizers.PATTERN).findall
+        matches = Remembered(memory // 5)
 
         def fresh(m: str) -> bytes:
             ids = encode(m.encode())
@@ -252,31 +257,43 @@ class Codec:
                     return [x[:-1], word[-1]]
             return find(x)
 
-        def piece(x: str) -> bytes:
+        def pieces(xs: list[str]) -> list[bytes]:
+            cut = list(map(split, xs))
+            distinct = list(dict.fromkeys(m for ms in cut for m in ms))
+            got = dict(zip(distinct, matches.get(distinct)))
+            other = [m for m, y in got.items() if y is None]
+            got.update((m, y or fresh(m)) for m, y in zip(other, self.pieces.known.get(other)))
             # A piece that is one match is remembered by the piece encoder.
-            ms = split(x)
-            return b"".join(map(one, ms)) if len(ms) > 1 else matches.get(x) or fresh(x)
+            for m in {m for ms in cut if len(ms) > 1 for m in ms}:
+                matches.put(m, got[m])
+            return [b"".join([got[m] for m in ms]) for ms in cut]
+
+        self.pieces = PieceEncoder(pieces, "<u4", 3 * memory // 10)
+        self.matches, self.decoder = matches, Decoder(self.transducer.bytes_of)
 
-        pieces = PieceEncoder(lambda xs: list(map(piece, xs)), int(part * _MOST_PIECES))
-        known = pieces.known
-        self.encode = pieces.encode  # ids as little-endian unsigned 32-bit integers
-        self.decoder = Decoder(self.transducer.bytes_of)
-        self.remembered = (matches, known, self.transducer.pairs)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each end."""
+        return self.pieces.encode(texts)
 
     def forget(self) -> None:
         """Gives back the memory of all that was remembered."""
-        self.transducer._forget()
-        for x in self.remembered:
-            x.clear()
+        self.transducer.forget(), self.matches.clear(), self.pieces.known.clear(), self.decoder.done.clear()
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join([self.decoder.feed(ids[i : i + 65536]) for i in range(0, len(ids), 65536)]) + self.decoder.close()
+
 
-    def decode(self, ids: bytes) -> bytes:
-        at = np.frombuffer(ids, "<u4")
-        return b"".join([self.decoder.feed(at[i : i + 65536]) for i in range(0, len(at), 65536)]) + self.decoder.close()
+@lru_cache(1)
+def codec(path: str, memory: int = MEMORY) -> Codec:
+    return Codec(path, memory)
 
 
-@lru_cache(2)
-def codec(path: str, part: float = 1.0) -> Codec:
-    return Codec(path, part)
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.view("<i4")))
+
+
+def _by_text(flat: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    return [flat[i:j] for i, j in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -285,9 +302,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         c = codec(path)
-        for b in batches:
-            ids = [np.frombuffer(c.encode(x or ""), "<i4") for x in b.column(names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(*c.encode(b.column(names.index("text"))))], names=[*names, "ids"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("ids", ArrayType(IntegerType())))
 
@@ -299,41 +315,44 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            out = [c.decode(np.asarray(x or [], "<u4").tobytes()) for x in b.column(names.index("ids")).to_pylist()]
+            out = [c.decode(np.asarray(x or [], "<u4")) for x in b.column(names.index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", BinaryType()))
 
 
+def _digested(c: Codec, flat: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    """n_tokens, ids_sha256, decoded_sha256 of each text."""
+    texts = _by_text(flat, ends)
+    return [pa.array(np.diff(ends, prepend=0), pa.int64()), *(pa.array([sha256(f(x)).hexdigest() for x in texts], pa.string()) for f in (np.ndarray.tobytes, c.decode))]
+
+
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what the ids decode to; the ids stay within the task."""
 
     def run(batches):
         c = codec(path)
-        for b in batches:
-            n, a, d = [], [], []
-            for x in b.column(1).to_pylist():
-                ids = c.encode(x or "")
-                n.append(len(ids) // 4), a.append(sha256(ids).hexdigest()), d.append(sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), *_digested(c, *c.encode(b.column(1)))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_DIGESTS}")
 
 
-def tokens(docs: DataFrame, path: str, part: float = SMALL) -> DataFrame:
-    """doc_id, lang, source, ids array<int>, n_tokens and both digests of each row of docs. part: see Codec."""
+def tokens(docs: DataFrame, path: str, memory: int = SMALL) -> DataFrame:
+    """doc_id, lang, source, ids array<int>, n_tokens and both digests of each row of docs. memory: see Codec."""
     names = ["doc_id", "lang", "source"]
 
     def run(batches):
-        c = codec(path, part)
-        for b in batches:
-            ids = [c.encode(x or "") for x in b.column("text").to_pylist()]
-            cols = [pa.array([np.frombuffer(x, "<i4") for x in ids], pa.list_(pa.int32())), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            cols += [pa.array([sha256(y).hexdigest() for y in z], pa.string()) for z in (ids, map(c.decode, ids))]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *cols], names=[*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c = codec(path, memory)
+        for b in slices(batches):
+            flat, ends = c.encode(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(flat, ends), *_digested(c, flat, ends)], names=[*names, "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
         c.forget()
 
-    return docs.select(*names, "text").mapInArrow(run, "doc_id long, lang string, source string, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(*names, "text").mapInArrow(run, f"doc_id long, lang string, source string, ids array<int>, {_DIGESTS}")
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:

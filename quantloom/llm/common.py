@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, column: str = "text", most: int = 2_000_000):
+    """Parts of batches that hold about `most` bytes of a column of texts; a longer text is a part of its own."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def blocks(texts: list, most: int = BLOCK_CHARS):
     """(first, last+1) of runs of texts that hold about `most` characters; a longer text is a run of its own."""
     at = size = 0

@@ -1,59 +1,126 @@
 """Texts cut at single spaces between two characters that aren't white space.
 
 No match of the byte-level pattern goes over such a cut: in every alternative white space stands only first, or all is white
-space. So each piece, with its space in front, is encoded by itself, and a piece met before is looked up. Pieces that hold other
-white space than the first space, as at line ends, are encoded whole; runs of spaces stay within one piece.
+space. So each piece, with its space in front, is encoded by itself. A run of texts is cut by Arrow, each distinct piece is looked
+up once, all new ones are encoded together, and the texts' ids are gathered from those of the pieces. Where a text has other white
+space next to a space, the pieces that touch there are one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-MOST = 400_000  # pieces remembered; then all are forgotten
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 LONG = 64  # characters of a piece that is still remembered
+_ENTRY = 220  # bytes that a remembered piece takes, about
+
+
+class Remembered:
+    """A dictionary of pieces in two generations: when the young one has taken half of `most` bytes, the old one is forgotten."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old, self.used = most // 2, {}, {}, 0
+
+    def get(self, xs: list[str]) -> list:
+        got, old = list(map(self.young.get, xs)), self.old
+        if old:
+            for i, y in enumerate(got):
+                if y is None and (y := old.get(xs[i])) is not None:
+                    got[i] = y
+                    self.put(xs[i], y)
+        return got
+
+    def put(self, x: str, y: bytes) -> None:
+        if len(x) <= LONG:
+            if self.used > self.half:
+                self.old, self.young, self.used = self.young, {}, 0
+            self.young[x] = y
+            self.used += _ENTRY + len(y)
+
+    def clear(self) -> None:
+        self.young, self.old, self.used = {}, {}, 0
 
 
 class PieceEncoder:
-    """encode(text): the joined bytes that `encode_pieces` gives for the text's pieces."""
-
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], most: int = MOST):
-        self.encode_pieces, self.most = encode_pieces, most
-        self.known: dict[str, bytes] = {}  # by piece without its space
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        known = self.known
-        got = list(map(known.get, rest))
-        if None in got:
-            new = list(dict.fromkeys([x for x, y in zip(rest, got) if y is None]))
-            if not _cut(first, *new):
-                return self._merged(first, rest)
-            fresh = dict(zip(new, self.encode_pieces([f" {x}" for x in new])))
-            got = [fresh[x] if y is None else y for x, y in zip(rest, got)]
-            if len(known) > self.most:
-                known.clear()
-            if max(map(len, fresh)) > LONG:
-                fresh = {k: v for k, v in fresh.items() if len(k) <= LONG}
-            known.update(fresh)
-        elif rest and not _cut(first):
-            return self._merged(first, rest)
-        return self.encode_pieces([first])[0] + b"".join(got)
-
-    def _merged(self, first: str, rest: list[str]) -> bytes:
-        """For texts with runs of white space next to spaces: pieces that touch there are one."""
-        whole, pieces = first, []
-        for x in rest:
-            if _cut(whole, x):
-                pieces.append(whole)
-                whole = x
-            else:
-                whole = f"{whole} {x}"
-        pieces.append(whole)
-        return b"".join(self.encode_pieces([pieces[0], *(f" {x}" for x in pieces[1:])]))
-
-
-def _cut(*pieces: str) -> bool:
-    """Whether no piece is empty or has white space at an end."""
-    return all(pieces) and not any(x[0].isspace() or x[-1].isspace() for x in pieces)
+    """encode(texts): the ids of texts, by what `encode_pieces` gives for lists of pieces, as bytes of ids of type `dtype`."""
+
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int):
+        self.encode_pieces, self.dtype, self.known = encode_pieces, np.dtype(dtype), Remembered(most)
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end. end: what follows each text's ids."""
+        if not len(texts):
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(texts, " ")
+        words, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        first = np.zeros(len(words), bool)
+        first[at[:-1]] = True
+        rest, begin = words.filter(pa.array(~first)).dictionary_encode(), words.filter(pa.array(first)).dictionary_encode()
+        pieces = [*(f" {x}" for x in rest.dictionary.to_pylist()), *begin.dictionary.to_pylist()]
+        code = np.empty(len(words), np.int64)
+        code[~first] = rest.indices.to_numpy()
+        code[first] = begin.indices.to_numpy().astype(np.int64) + len(rest.dictionary)
+        got = self.known.get(pieces)
+        touched = np.zeros(len(pieces), bool)
+        new = []
+        for i, y in enumerate(got):
+            if y is None:
+                x = pieces[i][1:] if i < len(rest.dictionary) else pieces[i]
+                if not x or x[0].isspace() or x[-1].isspace():
+                    touched[i], got[i] = True, b""
+                else:
+                    new.append(i)
+        for i, y in zip(new, self._fresh([pieces[i] for i in new])):
+            got[i] = y
+        if touched.any():
+            self._touched(texts, np.flatnonzero(np.logical_or.reduceat(touched[code], at[:-1])), code, at, got)
+        if end:
+            code, at = np.insert(code, at[1:], len(got)), at + np.arange(len(at))
+            got.append(end)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
+        begins, long = (np.cumsum(size) - size)[code], size[code]
+        upto = np.cumsum(long)
+        flat = np.frombuffer(b"".join(got), self.dtype)[np.repeat(begins - upto + long, long) + np.arange(int(upto[-1]))]
+        return flat, upto[at[1:] - 1]
+
+    def _fresh(self, xs: list[str]) -> list[bytes]:
+        out = self.encode_pieces(xs) if xs else []
+        for x, y in zip(xs, out):
+            self.known.put(x, y)
+        return out
+
+    def _touched(self, texts: pa.Array, which: np.ndarray, code: np.ndarray, at: np.ndarray, got: list) -> None:
+        """Texts whose pieces touch: a text's first piece stands for all of it."""
+        merged = {int(i): merge(texts[int(i)].as_py()) for i in which}
+        distinct = list(dict.fromkeys(x for xs in merged.values() for x in xs))
+        known = dict(zip(distinct, self.known.get(distinct)))
+        new = [x for x, y in known.items() if y is None]
+        for plain in (True, False):  # pieces with white space inside go by themselves
+            some = [x for x in new if plain == (" " not in x[1:])]
+            known.update(zip(some, self._fresh(some)))
+        empty = len(got)
+        got.append(b"")
+        for i, xs in merged.items():
+            code[at[i] : at[i + 1]] = empty
+            code[at[i]] = len(got)
+            got.append(b"".join([known[x] for x in xs]))
+
+
+def merge(text: str) -> list[str]:
+    """The pieces of a text in which some touch."""
+    if not text:
+        return []
+    whole, *rest = text.split(" ")
+    out = []
+    for x in rest:
+        if whole and x and not (whole[-1].isspace() or x[0].isspace()):
+            out.append(whole)
+            whole = f" {x}"
+        else:
+            whole = f"{whole} {x}"
+    return [*out, whole]

@@ -6,11 +6,12 @@ constant time to the place of its ids: a hash gives a bucket, the bucket's pilot
 fingerprint in the slot tells keys that aren't there. Spark's text writer writes the files: a document's row goes out as it is, and
 the line separator, one zero byte, is the last byte of its id 0, so any file system that Spark writes to will do.
 
-Documents are dealt into shards by ranges of doc_id, so that the order of the files is the order of the documents. The texts are
-encoded after that, in pieces that are looked up if met before; each new piece goes through the tokenizers library.
+Documents are dealt into shards by ranges of doc_id, and of a hash within a doc_id, so that the order of the files is the order of
+the documents and rows with one or no doc_id are no hot shard. The texts are encoded after that, in pieces that are looked up if met
+before; new pieces go through the tokenizers library, also its added tokens. A manifest beside the files tells each shard's keys.
 
 Defined results: null and empty texts have id 0 alone. Rows with a null doc_id come first. Rows with the same doc_id follow each
-other, and a lookup gives all of them. An empty table gives no rows. Other columns are ignored.
+other, in an order that reruns keep, and a lookup gives all of them. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, mix64, scratch_dir
+from .common import documents, materialise, mix64, scratch_dir, slices
 from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 32_000_000
+MEMORY = 100_000_000  # bytes of pieces that a Python worker remembers
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
@@ -118,65 +120,90 @@ class Shard:
         return start, self.ids[start : int(self.ends[i])]
 
 
-def pack_index(width: int, doc_ids: list, ends: list[int]) -> bytes:
+def pack_index(width: int, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
     """doc_ids ascending, nulls first; ends: ids up to the end of each row."""
-    nulls = sum(x is None for x in doc_ids)
-    keys, first, count = np.unique(np.array(doc_ids[nulls:], np.int64), return_index=True, return_counts=True)
+    nulls = doc_ids.null_count
+    keys, first, count = np.unique(doc_ids.slice(nulls).to_numpy(), return_index=True, return_counts=True)
     mph = PerfectHash.build(keys)
     slot = mph.slots(keys) if len(keys) else np.zeros(0, np.int64)
     prints, f, c = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<i4"), np.zeros(len(keys), "<i4")
     prints[slot], f[slot], c[slot] = (_hash(keys, 3) >> np.uint64(32)).astype(np.uint32), first + nulls, count
-    body = struct.pack("<5q", width, len(doc_ids), nulls, len(keys), len(mph.pilots)) + np.array(ends, "<i8").tobytes() + mph.pilots.astype("<i8").tobytes() + prints.tobytes() + f.tobytes() + c.tobytes() + keys.astype("<i8").tobytes()
+    body = struct.pack("<5q", width, len(doc_ids), nulls, len(keys), len(mph.pilots)) + ends.astype("<i8").tobytes() + mph.pilots.astype("<i8").tobytes() + prints.tobytes() + f.tobytes() + c.tobytes() + keys.astype("<i8").tobytes()
     return body + struct.pack("<q8s", len(body), _MARK)
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _encoder(path: str):
+    """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
     opens = np.array([(t.id_to_token(i) or "").startswith(_SPACE) for i in range(t.get_vocab_size())])
+    # Pieces never cut an added token, as long as none has white space or takes any from its sides.
+    whole = any(x.lstrip or x.rstrip or x.single_word or any(c.isspace() for c in x.content) for x in t.get_added_tokens_decoder().values())
+
+    def ids(xs: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{width}") for e in t.encode_batch_fast(xs, add_special_tokens=False)]
 
     def pieces(xs: list[str]) -> list[bytes]:
         # Pieces are encoded as one string, which the library does faster; a piece's first token is its only one with a space.
-        if len(xs) > 1:
-            ids = np.array(t.encode_batch_fast(["".join(xs)], add_special_tokens=False)[0].ids, f"<u{width}")
-            cuts = np.flatnonzero(opens[ids])
-            if len(cuts) == len(xs) and cuts[0] == 0:
-                whole, at = ids.tobytes(), (np.append(cuts, len(ids)) * width).tolist()
-                return [whole[i:j] for i, j in zip(at, at[1:])]
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)]
-
-    return width, PieceEncoder(pieces).encode
+        at = [i for i, x in enumerate(xs) if x[0] == " "]
+        out = [b""] * len(xs)
+        if len(at) > 1:
+            got = ids(["".join([xs[i] for i in at])])[0]
+            cuts = np.flatnonzero(opens[got])
+            if len(cuts) == len(at) and cuts[0] == 0:
+                raw, ends = got.tobytes(), (np.append(cuts, len(got)) * width).tolist()
+                for i, k, j in zip(at, ends, ends[1:]):
+                    out[i] = raw[k:j]
+        left = [i for i, x in enumerate(out) if not x]
+        for i, x in zip(left, ids([xs[i] for i in left]) if left else ()):
+            out[i] = x.tobytes()
+        return out
+
+    def plain(texts: pa.Array, end: bytes):
+        got = [np.append(x, np.frombuffer(end, x.dtype)) for x in ids([x or "" for x in texts.to_pylist()])]
+        return np.concatenate(got), np.cumsum([len(x) for x in got])
+
+    return width, plain if whole else PieceEncoder(pieces, f"<u{width}", MEMORY).encode
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> None:
-    """Writes the shards of docs (doc_id, text) to the folder `path`."""
+    """Writes the shards of docs (doc_id, text) and their manifest to the folder `path`."""
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
 
     def run(batches):
         width, encode = _encoder(vocabulary)
-        ids, ends, end, size = [], [], 0, b"\0" * width
-        for b in batches:
-            out = []
-            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                row = encode(x or "") + size
-                end += len(row) // width
-                ids.append(i), ends.append(end), out.append(row[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+        ids, upto, end = [], [], 0
+        for b in slices(batches):
+            flat, ends = encode(b.column("text"), b"\0" * width)
+            raw, at = memoryview(flat.tobytes()), (ends * width).tolist()
+            ids.append(b.column("doc_id")), upto.append(ends + end)
+            end += len(flat)
+            yield pa.RecordBatch.from_arrays([pa.array([raw[i : j - 1] for i, j in zip([0, *at], at)], pa.binary())], names=["value"])
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([pack_index(width, ids, ends)[:-1]], pa.binary())], names=["value"])
+            index = pack_index(width, pa.concat_arrays(ids), np.concatenate(upto))
+            yield pa.RecordBatch.from_arrays([pa.array([index[:-1]], pa.binary())], names=["value"])
 
-    dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), "doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    shards(docs.sparkSession, path).mapInArrow(_spans, "shard long, nulls long, least long, greatest long").write.parquet(f"{path}/_manifest")
+
+
+def _spans(batches):
+    """Of each shard the least and greatest key, and the rows without one."""
+    for b in batches:
+        got = [(n, s.nulls, *((int(s.keys[0]), int(s.keys[-1])) if len(s.keys) else (None, None))) for n, c in zip(b.column(0).to_pylist(), b.column(1)) for s in (Shard(c.as_buffer()),)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in list(zip(*got)) or [[]] * 4], names=["shard", "nulls", "least", "greatest"])
 
 
-def shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard (the number in the file's name), content of each shard file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+def shards(spark: SparkSession, path: str, numbers: list[int] | None = None) -> DataFrame:
+    """shard (the number in the file's name), content of each shard file, or of those with the given numbers."""
+    names = "part-*" if numbers is None else f"part-{{{','.join(f'{n:05d}' for n in numbers)}}}-*"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).where("length > 0")
     return files.select(F.regexp_extract("path", r"/part-(\d+)", 1).cast("long").alias("shard"), "content")
 
 
@@ -189,46 +216,42 @@ def _rows(batches):
         for number, content in zip(b.column(0).to_pylist(), b.column(1)):
             s = Shard(content.as_buffer())
             first, count = s.find(s.keys)
-            out = []
-            for key, i, n in [(None, 0, s.nulls), *zip(s.keys.tolist(), first.tolist(), count.tolist())]:
-                for k in range(i, i + n):
-                    start, ids = s.row(k)
-                    out.append((number, key, start, len(ids), crc32(ids.astype("<u4"))))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+            keys = pa.concat_arrays([pa.nulls(s.nulls, pa.int64()), pa.array(np.repeat(s.keys, count))])
+            at = np.concatenate([np.arange(s.nulls), np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))])
+            ends = s.ends[at]
+            starts = np.where(at > 0, s.ends[at - 1], 0)
+            crc = [crc32(s.ids[i:j].astype("<u4")) for i, j in zip(starts.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), keys, pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id, ids of those keys (doc_id long, distinct) that the files hold. Each key goes to the one shard whose range has it."""
-    from bisect import bisect_right
-
-    def span(batches):
-        for b in batches:
-            got = [(n, Shard(c.as_buffer()).keys) for n, c in zip(b.column(0).to_pylist(), b.column(1))]
-            got = [(n, int(k[0])) for n, k in got if len(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=["shard", "least"])
-
-    files = shards(spark, path)
-    spans = sorted((r[1], r[0]) for r in files.mapInArrow(span, "shard long, least long").collect())  # one row for each file
-    least, number = [x for x, _ in spans], [x for _, x in spans]
+    """doc_id, ids of those keys (doc_id long, distinct) that the files hold. By the manifest a key goes to the shards whose range has
+    it, and only shards that are asked are opened."""
+    rows = spark.read.parquet(f"{path}/_manifest").where("least is not null").orderBy("least", "greatest").collect()  # one for each file
+    number, least, greatest = (np.array([r[c] for r in rows], np.int64) for c in ("shard", "least", "greatest"))
 
     def dealt(batches):
         for b in batches:
-            at = [bisect_right(least, i) - 1 for i in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([number[i] if i >= 0 else -1 for i in at], pa.int64()), b.column(0)], names=["shard", "doc_id"])
+            k = b.column(0).to_numpy()
+            lo, hi = np.searchsorted(greatest, k, "left"), np.searchsorted(least, k, "right")
+            n = np.maximum(hi - lo, 0)
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(number[at]), pa.array(np.repeat(k, n))], names=["shard", "doc_id"])
+
+    asked = materialise(keys.select("doc_id").where("doc_id is not null").mapInArrow(dealt, "shard long, doc_id long"))
+    wanted = [r[0] for r in asked.select("shard").distinct().collect()]  # numbers of shards
 
     def fetch(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, docs = [], []
         for content in right.column("content"):
             s = Shard(content.as_buffer())
-            asked = left.column("doc_id").to_numpy()
-            for doc, i, n in zip(asked.tolist(), *(x.tolist() for x in s.find(asked))):
+            keys = left.column("doc_id").to_numpy()
+            for doc, i, n in zip(keys.tolist(), *(x.tolist() for x in s.find(keys))):
                 for k in range(i, i + n):
                     docs.append(doc), ids.append(s.row(k)[1].astype(np.int64))
         return pa.table({"doc_id": pa.array(docs, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64()))})
 
-    asked = keys.select("doc_id").where("doc_id is not null").mapInArrow(dealt, "shard long, doc_id long")
-    return asked.groupBy("shard").cogroup(files.groupBy("shard")).applyInArrow(fetch, "doc_id long, ids array<long>")
+    return asked.groupBy("shard").cogroup(shards(spark, path, wanted).groupBy("shard")).applyInArrow(fetch, "doc_id long, ids array<long>")
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:

@@ -160,13 +160,15 @@ def test_bpe_is_that_of_tiktoken(docs):
 
 
 def test_transducer_pairs_and_decoder():
+    import pyarrow as pa
+
     c = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
     t, r = c.transducer, random.Random(1)
     for _ in range(3000):
         a, b = r.randrange(len(t.ranks)), r.randrange(len(t.ranks))
         if t._is_own(a):
             assert t.follows(a, b) == (t.merge(t.bytes_of[a] + t.bytes_of[b]) == [a, b])
-    ids = np.frombuffer(c.encode("naïve 中文 😀 é" * 20), "<u4")
+    ids, _ = c.encode(pa.array(["naïve 中文 😀 é" * 20]))
     whole = b""
     for i in ids:
         part = c.decoder.feed(np.array([i]))
@@ -176,15 +178,15 @@ def test_transducer_pairs_and_decoder():
 
 
 def test_pieces_are_cut_only_where_they_may_be():
-    said = []
-
-    def note(xs):
-        said.extend(xs)
-        return [x.encode() for x in xs]
+    import pyarrow as pa
 
-    e = pieces.PieceEncoder(note)
-    for t in ("a b", " a  b\n c ", "x \n y", "", " ", "a b"):
-        assert e.encode(t) == t.encode()
+    e = pieces.PieceEncoder(lambda xs: [x.encode() for x in xs], "u1", 3000)
+    for _ in range(2):
+        some = ["a b", " a  b\n c ", None, "x \n y", "", " ", "a b", "a\n b c", "d e\n"] + [words(40, k) for k in range(6)]
+        ids, ends = e.encode(pa.array(some), b"!")
+        assert ids.tobytes().decode() == "".join(f"{x or ''}!" for x in some)
+        assert ends.tolist() == np.cumsum([len(x or "") + 1 for x in some]).tolist()
+    assert pieces.merge(" a  b\n c d") == [" a  b\n c", " d"]
 
 
 def test_token_files_round_trip(spark, docs, tmp_path):
@@ -193,7 +195,6 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     path, vocabulary = f"file://{tmp_path}/ids", public_tokenizers.path(tokenfiles.VOCABULARY)
     tokenfiles.write(docs, path, vocabulary, 20_000)
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     ids = {i: [*t.encode(x, add_special_tokens=False).ids, 0] for i, x in texts() if i is not None}
     got = tokenfiles.shards(spark, path).mapInArrow(tokenfiles._rows, tokenfiles._ROW).collect()
     assert len(got) == len(rows())
@@ -202,6 +203,12 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     assert Counter(r.doc_id for r in found) == {1: 1, 10: 1, 11: 2} and all(list(r.ids) == ids[r.doc_id] for r in found)
 
 
+def test_memory_of_the_transducer_is_bounded_within_a_match():
+    t, x = bpe.codec(public_tokenizers.path(bpe.VOCABULARY)).transducer, "".join(random.Random(8).choices("abcdefgh", k=30_000)).encode()
+    want, small = t.encode(x), bpe.Transducer(t.ranks, 200_000)
+    assert small.encode(x) == want and small.used < 210_000
+
+
 def test_perfect_hash_is_minimal():
     for n in (0, 1, 2, 7, 1000):
         keys = np.random.default_rng(n).choice(10**12, n, replace=False) - 5 * 10**11
