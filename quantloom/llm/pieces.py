@@ -61,7 +61,7 @@ class PieceEncoder:
         first = np.zeros(len(words), bool)
         first[at[:-1]] = True
         rest, begin = words.filter(pa.array(~first)).dictionary_encode(), words.filter(pa.array(first)).dictionary_encode()
-        pieces = [*(f" {x}" for x in rest.dictionary.to_pylist()), *begin.dictionary.to_pylist()]
+        pieces = [*(f" {x}" for x in _strings(rest.dictionary)), *_strings(begin.dictionary)]
         code = np.empty(len(words), np.int64)
         code[~first] = rest.indices.to_numpy()
         code[first] = begin.indices.to_numpy().astype(np.int64) + len(rest.dictionary)
@@ -124,3 +124,7 @@ def merge(text: str) -> list[str]:
         else:
             whole = f"{whole} {x}"
     return [*out, whole]
+
+
+def _strings(xs: pa.Array) -> list[str]:
+    return xs.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()

@@ -32,7 +32,7 @@ from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 32_000_000
-MEMORY = 100_000_000  # bytes of pieces that a Python worker remembers
+MEMORY = 200_000_000  # bytes of pieces that a Python worker remembers
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
