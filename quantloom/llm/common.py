@@ -32,7 +32,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.gettempdir()}/checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/checkpoints"  # one machine, as in tests
     path = f"{base.rstrip('/')}/quantloom-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -42,14 +44,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
+    row_groups: bytes of Parquet's row groups, for tables of long binary values.
 
     Spark deletes the shuffle files of what went before once the driver's JVM has collected its garbage, hence the call of gc().
     """
     spark = df.sparkSession
     path = scratch_dir(spark) + "/t"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.option("parquet.block.size", row_groups) if row_groups else out).parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -215,28 +215,61 @@ def test_perfect_hash_is_minimal():
         assert sorted(tokenfiles.PerfectHash.build(keys).slots(keys).tolist()) == list(range(n)) if n else True
 
 
-def test_katz_counts_and_sums_to_one(spark):
-    r = random.Random(3)
-    data = [(i, " ".join(f"t{int(r.paretovariate(0.9))}" for _ in range(r.randrange(0, 40)))) for i in range(150)] + [(200, None), (None, "t1 t2"), (201, "t1 T2"), (201, "t1 T2")]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    train = docs.where("doc_id < 120")
-    p = katz.KatzParams(head=40, hot=30)
-    out = katz.score(docs, train, p).collect()
-    assert len(out) == len(data)
+def plain_katz(data, cutoff=5):
+    """doc_id -> list of results, by dictionaries: (n_tokens, n_known, N, base, score); and the sums of probabilities by history."""
     toks = lambda t: [*(t or "").encode().translate(LOW).split(), b"\n"]
-    c = Counter(w for i, t in data if i is not None and i < 120 for w in toks(t))
+    train = [t for _, t, learn in data if learn]
+    c = Counter(w for t in train for w in toks(t))
+    two = Counter(z for t in train for z in zip([b"\n", *toks(t)], toks(t)))
     n, v = sum(c.values()), len(c)
-    want = Counter((i, len(toks(t)), sum(c[w] > 0 for w in toks(t)), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in toks(t)), 6)) for i, t in data)
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
-    tokens, k = katz.fit_tokens(train, p)
-    table, _ = katz.fit_bigrams(train, k, p)
-    delta = {r.pair: r.delta for r in table.collect()}
-    for hist in range(k.rare + 1):
-        total = sum(10 ** (k.log_alpha[hist] + k.log_p[w] + delta.get(hist << 32 | w, 0.0)) for w in range(k.rare + 1))
-        assert abs(total - 1) < 1e-9
-    rare = [r.c for r in tokens.collect() if r.h not in set(k.hash.tolist())]
-    within = sum((k.d[x] if x <= p.cutoff else 1) * x for x in rare) + k.unseen
-    assert abs(within / k.rare_total - 1) < 1e-9
+
+    def ratios(counts):
+        of = Counter(counts)
+        last = (cutoff + 1) * of[cutoff + 1] / of[1] if of[1] else 1.0
+        d = {}
+        for r in range(1, cutoff + 1):
+            x = ((r + 1) * of[r + 1] / (r * of[r]) - last) / (1 - last) if of[r] and last < 1 else -1
+            d[r] = x if 0 < x < 1 else 1 - min(0.9, of[1] / (of[1] + 2 * of[2]) if of[1] else 0.5) / r
+        return d
+
+    d1, d2 = ratios(c.values()), ratios(two.values())
+    freed = sum((1 - d1.get(x, 1)) * x for x in c.values())
+    uni = lambda w: (d1.get(c[w], 1) * c[w] if c[w] else freed or 1.0) / (n + (0 if freed else 1))
+    after = {}
+    for (h, w), x in two.items():
+        after.setdefault(h, []).append((w, x))
+    norm, alpha, sums = {}, {}, {}
+    for h, ws in after.items():
+        total, left, seen = sum(x for _, x in ws), sum(d2.get(x, 1) * x for _, x in ws), sum(uni(w) for w, _ in ws)
+        norm[h] = total if total > left else total + 1
+        alpha[h] = (1 - left / norm[h]) / (1 - seen)
+        sums[h] = left / norm[h] + alpha[h] * (sum(uni(w) for w in c if w not in dict(ws)) + uni(b" "))
+    out = []
+    for i, t, _ in data:
+        ws, s = toks(t), 0.0
+        for h, w in zip([b"\n", *ws], ws):
+            x = two[h, w]
+            s += math.log10(d2.get(x, 1) * x / norm[h] if x else alpha.get(h, 1.0) * uni(w))
+        out.append((i, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), s))
+    return out, sums
+
+
+@pytest.mark.parametrize("p", [katz.KatzParams(), katz.KatzParams(head=40, run_tokens=300, part_tokens=150, often=3), katz.KatzParams(head=0, run_tokens=100), katz.KatzParams(head=5, often=1, part_tokens=20)])
+def test_katz_agrees_with_plain_counts(spark, p):
+    r = random.Random(3)
+    data = [(i, " ".join(f"t{int(r.paretovariate(0.9))}" for _ in range(r.randrange(0, 40))) + " of the" * 3, i % 7 != 2) for i in range(150)]
+    data += [(200, None, True), (None, "t1 t2 new", False), (201, "t1 T2", True), (201, "t1 T2", True), (202, "unseen unseen words words unseen", False)]
+    want, sums = plain_katz(data)
+    assert all(abs(x - 1) < 1e-9 for x in sums.values())
+    got = katz.score(spark.createDataFrame(data, "doc_id long, text string, learn boolean").repartition(3), p).collect()
+    key = lambda x: (-1 if x[0] is None else x[0], x[1:4])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-8 and abs(a[5] - b[5]) < 1e-8, (a, b)
+
+
+def test_katz_without_training(spark):
+    got = katz.score(spark.createDataFrame([(1, "a b", False), (2, None, False)], "doc_id long, text string, learn boolean")).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
 
 
 def test_language_and_toxicity(spark, docs):
@@ -316,7 +349,7 @@ def test_empty_tables(spark, docs):
     none = docs.where("false")
     path = public_tokenizers.path(bpe.VOCABULARY)
     assert simhash.near_duplicates(none).count() == substrings.remove_repeats(none).count() == bpe.digests(none, path).count() == 0
-    assert mixing.mix(mixing.sized(none.select("doc_id", "source", "text"))).count() == katz.score(none, none).count() == 0
+    assert mixing.mix(mixing.sized(none.select("doc_id", "source", "text"))).count() == katz.score(none.select("doc_id", "text", F.lit(True).alias("learn"))).count() == 0
 
 
 def test_pipeline(spark, docs, tmp_path):
