@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .common import blocks, documents, fold, uniform
+from .common import blocks, documents, fold, slices, uniform
 
 UND = "und"
 ORDERS = 3
@@ -208,12 +208,12 @@ def _temperature(held: DataFrame, m: LangModel) -> float:
     return float(min(ts, key=lambda t: -np.log(_softmax(x / t)[np.arange(len(y)), y] + 1e-12).mean()))
 
 
-def predict(docs: DataFrame, m: LangModel | None) -> DataFrame:
-    """docs with lang_pred and score; docs may have any columns but these two."""
+def predict(docs: DataFrame, m: LangModel | None, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """docs with two last columns, language and score; docs may have any columns but these two."""
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(names.index("text")).to_pylist()
             if m is None:
                 lang, score = [UND] * len(texts), [0.0] * len(texts)
@@ -223,9 +223,9 @@ def predict(docs: DataFrame, m: LangModel | None) -> DataFrame:
                 best = pr.argmax(1)
                 lang = [m.labels[i] if h else UND for i, h in zip(best, has)]
                 score = np.where(has, pr.max(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, lang_name, score_name])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
+    schema = StructType([*docs.schema.fields]).add(lang_name, StringType()).add(score_name, DoubleType())
     return docs.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, documents, materialise
+from .common import LOWER, documents, materialise, slices
 from .components import components
 
 MAX_BITS = 2
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = pa.array([fingerprint(x) for x in b.column(names.index("text")).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(names.index("doc_id")), fp], names=["doc_id", "fp"])
 

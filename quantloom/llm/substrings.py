@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, materialise, mix64
+from .common import documents, materialise, mix64, slices
 
 WINDOW = 50
 PERIOD = 31
@@ -58,7 +58,7 @@ def anchor_positions(n: int, window: int = WINDOW) -> np.ndarray:
 
 
 def _anchors(batches):
-    for b in batches:
+    for b in slices(batches):
         ts, hs = [], []
         for x, t in zip(b.column("text").to_pylist(), b.column("t1").to_pylist()):
             words = (x or "").encode().split()
@@ -77,7 +77,7 @@ _NO_WORDS = sha256(b"").hexdigest()
 
 def _windows(batches):
     """Per document: its number of words and its words' digest; if it has a shared anchor, its text and the windows around such anchors."""
-    for b in batches:
+    for b in slices(batches):
         out = []
         for i, t1, t2, x, got, copy in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "t2", "text")), b.column("hs"), b.column("copy").to_pylist()):
             words = (x or "").encode().split()

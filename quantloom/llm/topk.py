@@ -1,13 +1,17 @@
 """Exact top-k by inner product: pivot-table elimination.
 
 For each vector the distances to some pivots are computed once. By the triangle inequality the largest difference of two vectors'
-distances to a pivot is a lower bound of their distance, and with the norms an upper bound of their inner product. A query
-evaluates candidates in the order of this bound until no bound left reaches its k-th score. Queries and candidates meet in blocks;
-the best of each block are merged.
+distances to a pivot is a lower bound of their distance, and with the norms an upper bound of their inner product.
+
+Vectors are dealt into cells by their nearest centre, large cells into blocks. A query first asks its own block, which gives it a
+first k-th score. Then it goes only to cells whose bound, from the least and greatest distances of the cell to each pivot, reaches
+that score. In a block it evaluates candidates in the order of their bounds until none left reaches its k-th score so far. Each
+candidate is sent once, and a block's queries are read as a stream.
 
 Defined results: rows with a null vec_id, null vectors and such with null or non-finite components take no part. A shorter vector
 counts as one with zeros at its end. With fewer than k candidates all are given. Of rows with the same vec_id none is a candidate
-for the other. An empty table gives an empty result. Other columns are ignored. Scores are exact while they fit 63 bits.
+for the other, and the least of their vectors is asked. An empty table gives an empty result. Other columns are ignored. Scores are
+exact while they fit 63 bits.
 """
 
 from __future__ import annotations
@@ -27,10 +31,10 @@ from .vectors import clean, matrix, sample
 @dataclass(frozen=True)
 class TopKParams:
     k: int = 20
-    pivots: int = 16
-    sample: int = 2000  # vectors that the pivots are chosen from
-    candidates: int = 16384  # expected in a block
-    queries: int = 2048
+    pivots: int = 32
+    sample: int = 2000  # vectors that pivots and centres are chosen from
+    centres: int = 512  # at most: what tasks know of cells is bounded
+    block: int = 4096  # candidates in a block, about
     seed: int = 3
 
 
@@ -45,20 +49,30 @@ def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
     return x[at]
 
 
-def _distances(pivots: np.ndarray):
+def _square_distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    width = max(x.shape[1], to.shape[1])
+    x, to = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, to))
+    return np.maximum(0, (x * x).sum(1)[:, None] + (to * to).sum(1) - 2 * (x @ to.T))
+
+
+_ROW = "vec_id long, v array<double>, sq double, d array<double>, cell int"
+
+
+def _placed(centres: np.ndarray, pivots: int):
+    """Rows with their squared norm, distances to the pivots, which are the first centres, and nearest centre."""
+
     def run(batches):
         for b in batches:
-            x = matrix(b.column("v").to_pylist(), pivots.shape[1])
-            p = np.pad(pivots, ((0, 0), (0, x.shape[1] - pivots.shape[1])))
-            sq = (x * x).sum(1)
-            d = np.sqrt(np.maximum(0, sq[:, None] + (p * p).sum(1) - 2 * (x @ p.T)))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(sq), pa.array(list(d), pa.list_(pa.float64()))], names=["vec_id", "v", "sq", "d"])
+            x = matrix(b.column("v").to_pylist(), centres.shape[1])
+            d = _square_distances(x, centres)
+            cols = pa.array((x * x).sum(1)), pa.array(list(np.sqrt(d[:, :pivots])), pa.list_(pa.float64())), pa.array(d.argmin(1), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), *cols], names=["vec_id", "v", "sq", "d", "cell"])
 
     return run
 
 
 def search(q: dict, c: dict, k: int):
-    """(query_id, vec_id, score) arrays: the best k of a block of candidates for each query of a block."""
+    """(query_id, vec_id, score) arrays: the best k of a block of candidates for each query, of those that reach its score so far."""
     width = max(q["x"].shape[1], c["x"].shape[1])
     qx, cx = (np.pad(m["x"], ((0, 0), (0, width - m["x"].shape[1]))) for m in (q, c))
     if np.abs(qx).max(initial=0) * np.abs(cx).max(initial=0) * width >= 2**53:  # sums of doubles wouldn't be exact
@@ -72,51 +86,111 @@ def search(q: dict, c: dict, k: int):
         total = q["sq"][i] + c["sq"]
         bound = (total - low * low) / 2 + 1e-9 * (1 + total)  # and room for rounding
         bound[c["id"] == q["id"][i]] = -np.inf
-        n, done = min(len(cx), 4 * k), np.zeros(0, np.int64)
-        left = np.argpartition(-bound, n - 1)[:n] if n < len(cx) else np.arange(n)
-        scores, kth = np.zeros(0), -np.inf
+        done, scores, kth = np.zeros(0, np.int64), np.zeros(0), q["kth"][i]
+        left = np.flatnonzero((bound >= kth) & (bound > -np.inf))
+        many = 4 * k
         while len(left):
-            left = left[bound[left] > -np.inf]
-            done, scores = np.concatenate([done, left]), np.concatenate([scores, cx[left] @ x])
-            if n == len(cx):
-                break
+            if len(left) > many:
+                left = left[np.argpartition(-bound[left], many - 1)[:many]]
+            done, scores, many = np.concatenate([done, left]), np.concatenate([scores, cx[left] @ x]), 1024
+            bound[left] = -np.inf
             if len(scores) >= k:
-                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
-            rest = bound >= kth
-            rest[done] = False
-            rest = np.flatnonzero(rest)
-            if len(rest) > 1024:
-                rest = rest[np.argpartition(-bound[rest], 1023)[:1024]]
-            left = rest
+                kth = max(kth, np.partition(scores, len(scores) - k)[len(scores) - k])
+            left = np.flatnonzero((bound >= kth) & (bound > -np.inf))
         best = np.lexsort((c["id"][done], -scores))[:k]
+        best = best[scores[best] >= q["kth"][i]]
         out.append((np.full(len(best), q["id"][i]), c["id"][done[best]], scores[best].astype(np.int64)))
     return [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def _arrays(t: pa.Table) -> dict:
-    return {"id": t.column("vec_id").to_numpy(), "x": matrix(t.column("v").to_pylist()), "sq": t.column("sq").to_numpy(), "d": matrix(t.column("d").to_pylist())}
+def _arrays(bs: list[pa.RecordBatch]) -> dict:
+    t = pa.Table.from_batches(bs)
+    return {"id": t.column("vec_id").to_numpy(), "x": matrix(t.column("v").to_pylist()), "sq": t.column("sq").to_numpy(), "d": matrix(t.column("d").to_pylist()), "kth": t.column("kth").to_numpy()}
+
+
+def _asked(k: int):
+    """Over rows sorted by block, candidates (asks = false) before queries."""
+
+    def run(batches):
+        block, held, table = None, [], None
+        for b in batches:
+            at, asks = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                if i == j:
+                    continue
+                if at[i] != block:
+                    block, held, table = at[i], [], None
+                part = b.slice(i, j - i)
+                if not asks[i]:
+                    held.append(part)
+                elif held:
+                    table = table or _arrays(held)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in search(_arrays([part]), table, k)], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _reached(cells: np.ndarray, low: np.ndarray, high: np.ndarray, norm: np.ndarray, first: np.ndarray, many: np.ndarray):
+    """Queries with each block they go to: those of cells whose bound reaches their score so far, but for their own block."""
+
+    def run(batches):
+        for b in batches:
+            d, sq, kth, own = matrix(b.column("d").to_pylist(), low.shape[1]), *(b.column(c).to_numpy() for c in ("sq", "kth", "block"))
+            for i in range(0, len(d), 256):
+                s = slice(i, i + 256)
+                gap = np.maximum(d[s, None, :] - high[None], low[None] - d[s, None, :]).max(2, initial=0)
+                total = sq[s, None] + norm[None]
+                q, c = np.nonzero((total - gap * gap) / 2 + 1e-9 * (1 + total) >= kth[s, None])
+                n = many[c]
+                q, to = np.repeat(i + q, n), np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                q, to = q[to != own[q]], to[to != own[q]]
+                rows = b.select(["vec_id", "v", "sq", "d", "kth"]).take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to, pa.int64()), pa.array(np.full(len(q), True))], names=[*rows.schema.names, "block", "asks"])
+
+    return run
+
+
+_MET = "query_id long, vec_id long, score long"
 
 
 def top_k(queries: DataFrame, rows: DataFrame, p: TopKParams = TopKParams()) -> DataFrame:
     """queries, rows: vec_id, v array<double>. Gives query_id, rank, vec_id, score."""
-    rows = materialise(rows.mapInArrow(_distances(choose_pivots(sample(rows, p.sample, p.seed), p.pivots)), "vec_id long, v array<double>, sq double, d array<double>"))
-    asked = queries.select("vec_id").distinct()
-    queries = rows.join(asked, "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    n_c = max(1, -(-rows.count() // p.candidates))
-    n_q = max(1, -(-asked.count() // p.queries))
-    names = [*rows.columns, "qb", "cb"]
-    block = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    left = queries.withColumn("qb", block(p.seed, n_q)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    left = left.toDF("q_id", "q_v", "q_sq", "q_d", "q_qb", "q_cb")
-    right = rows.withColumn("cb", block(p.seed + 1, n_c)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def met(q: pa.Table, c: pa.Table) -> pa.Table:
-        a = search(_arrays(q.rename_columns(names)), _arrays(c), p.k) if len(q) and len(c) else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), a)))
-
-    found = left.groupBy("q_qb", "q_cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(met, "query_id long, vec_id long, score long")
+    some = sample(rows, p.sample, p.seed)
+    n = rows.count()
+    centres = choose_pivots(some, max(p.pivots, min(p.centres, n // p.block))) if len(some) else np.zeros((1, 1))
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows, queries = (materialise(x.select("vec_id", "v").mapInArrow(_placed(centres, p.pivots), _ROW)) for x in (rows, queries))
+    used = min(p.pivots, len(centres))
+    spans = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("sq").alias("sq"), *(f(F.col("d")[i]).alias(f"{a}{i}") for i in range(used) for f, a in ((F.min, "lo"), (F.max, "hi")))).toArrow().sort_by("cell")
+    cells, sizes, norm = (spans[c].to_numpy() for c in ("cell", "n", "sq"))  # one row for each centre
+    low, high = (np.stack([spans[f"{a}{i}"].to_numpy() for i in range(used)], 1) for a in ("lo", "hi"))
+    many = np.maximum(1, -(-sizes // p.block))
+    first = np.cumsum(many) - many
+    # Cells are blocks one after the other; which block of its cell a vector is in, a hash decides. A query's cell may have no rows.
+    number = F.array(*map(F.lit, _by_cell(cells, first, len(centres)))), F.array(*map(F.lit, _by_cell(cells, many, len(centres), 1)))
+    block = (number[0][F.col("cell")] + F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), number[1][F.col("cell")])).alias("block")
+    names = ["vec_id", "v", "sq", "d"]
+    candidates = rows.select(*names, F.lit(0.0).alias("kth"), block, F.lit(False).alias("asks"))
+    nothing = F.lit(float("-inf")).alias("kth")
+    own = queries.select(*names, nothing, block, F.lit(True).alias("asks"))
+
+    def met(asking: DataFrame) -> DataFrame:
+        both = candidates.unionByName(asking).repartition(int(max(1, many.sum())), "block").sortWithinPartitions("block", "asks")
+        return both.mapInArrow(_asked(p.k), _MET)
+
+    found = materialise(met(own))
+    kth = found.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score").cast("double")).alias("k"))
+    known = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").select(*names, F.coalesce("k", F.lit(float("-inf"))).alias("kth"), block)
+    more = known.mapInArrow(_reached(cells, low, high, norm, first, many), "vec_id long, v array<double>, sq double, d array<double>, kth double, block long, asks boolean")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+    return found.unionByName(met(more)).withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+
+
+def _by_cell(cells: np.ndarray, values: np.ndarray, n: int, rest: int = -1) -> list[int]:
+    out = np.full(n, rest, np.int64)
+    out[cells] = values
+    return out.tolist()
 
 
 def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, documents, fold, mix64, uniform
+from .common import LOWER, documents, fold, mix64, slices, uniform
 
 #: A-Z to a-z, ASCII punctuation and controls to a blank.
 _CLEAN = bytes(32 if b < 128 and not chr(b).isalnum() else LOWER[b] for b in range(256))
@@ -127,7 +127,7 @@ def score(docs: DataFrame, m: ToxicModel | None) -> DataFrame:
     def run(batches):
         w = np.zeros(1 << p.bits, np.float32)
         w[at] = values
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 h = features((t or "").encode(), p)

@@ -306,7 +306,7 @@ def embeddings(spark):
 
 def test_exact_top_k(spark, embeddings):
     table = topk.clean(embeddings.select("vec_id", "embedding")).select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
-    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table.where("vec_id % 20 = 0"), table, topk.TopKParams(k=20, candidates=200, queries=10)).collect()}
+    got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table.where("vec_id % 20 = 0"), table, topk.TopKParams(k=20, block=50, centres=9, pivots=4)).collect()}
     fine = [(i, np.floor(64 * np.array(v, float)).astype(int)) for i, v in vectors() if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     want = set()
     for i, q in fine:
@@ -356,7 +356,8 @@ def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as cp
 
     more = [(1000 + i, words(60, 50 + i, 60), ("en", "de")[i % 2], "ab"[i % 2], 9, 0.5, 1, 2, 3, 4, 5, 6) for i in range(40)]
-    table = docs.unionByName(spark.createDataFrame(more, SCHEMA)).select("doc_id", "text", "lang", "source", "n_chars")
+    clash = {c: F.lit(7) for c in ("lang_pred", "t1", "t2", "u", "k", "times", "alike", "copy", "n_words", "n_removed", "kept_text", "Root", "s", "taken")}
+    table = docs.unionByName(spark.createDataFrame(more, SCHEMA)).withColumns(clash)
     table.write.parquet(f"{tmp_path}/documents.parquet")
     d = cp.documents(spark, str(tmp_path))
     for k, (_, stage) in enumerate(cp.STAGES[:-1]):
