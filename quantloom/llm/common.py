@@ -17,6 +17,7 @@ WHITE = r"[\x20\x09-\x0D]+"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Characters that numpy handles at a time; bounds a task's memory whatever the texts' lengths.
 BLOCK_CHARS = 400_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,15 +47,18 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
-    row_groups: bytes of Parquet's row groups, for tables of long binary values.
-
-    Spark deletes the shuffle files of what went before once the driver's JVM has collected its garbage, hence the call of gc().
+    row_groups: bytes of Parquet's row groups, for tables of long binary values. The shuffle files of what went before are deleted
+    when the table is written.
     """
     spark = df.sparkSession
     path = scratch_dir(spark) + "/t"
     out = df.write.option("compression", "zstd")
-    (out.option("parquet.block.size", row_groups) if row_groups else out).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (out.option("parquet.block.size", row_groups) if row_groups else out).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ other, in an order that reruns keep, and a lookup gives all of them. An empty ta
 
 from __future__ import annotations
 
+import os
 import struct
 from functools import lru_cache
 from zlib import crc32
@@ -32,7 +33,7 @@ from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 32_000_000
-MEMORY = 200_000_000  # bytes of pieces that a Python worker remembers
+MEMORY = 100_000_000  # bytes of pieces that a Python worker remembers
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
@@ -135,6 +136,7 @@ def pack_index(width: int, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
 @lru_cache(1)
 def _encoder(path: str):
     """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would each keep memory
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
