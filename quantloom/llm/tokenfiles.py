@@ -33,7 +33,8 @@ from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 32_000_000
-MEMORY = 100_000_000  # bytes of pieces that a Python worker remembers
+MEMORY = 80_000_000  # bytes of pieces that a Python worker remembers
+_TOGETHER = 2048  # pieces: the library takes some hundred bytes for each letter
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
@@ -150,9 +151,10 @@ def _encoder(path: str):
 
     def pieces(xs: list[str]) -> list[bytes]:
         # Pieces are encoded as one string, which the library does faster; a piece's first token is its only one with a space.
-        at = [i for i, x in enumerate(xs) if x[0] == " "]
+        opening = [i for i, x in enumerate(xs) if x[0] == " "]
         out = [b""] * len(xs)
-        if len(at) > 1:
+        for first in range(0, len(opening), _TOGETHER):
+            at = opening[first : first + _TOGETHER]
             got = ids(["".join([xs[i] for i in at])])[0]
             cuts = np.flatnonzero(opens[got])
             if len(cuts) == len(at) and cuts[0] == 0:
@@ -179,10 +181,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
     def run(batches):
         width, encode = _encoder(vocabulary)
         ids, upto, end = [], [], 0
-        for b in slices(batches):
+        for b in slices(batches, most=1_000_000):
             flat, ends = encode(b.column("text"), b"\0" * width)
             raw, at = memoryview(flat.tobytes()), (ends * width).tolist()
-            ids.append(b.column("doc_id")), upto.append(ends + end)
+            ids.append(pa.array(b.column("doc_id").to_pylist(), pa.int64())), upto.append(ends + end)
             end += len(flat)
             yield pa.RecordBatch.from_arrays([pa.array([raw[i : j - 1] for i, j in zip([0, *at], at)], pa.binary())], names=["value"])
         if ids:
