@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -62,6 +63,14 @@ def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Memory that a Python worker has freed goes back to the machine; workers live on after a task, and would keep it."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches, column: str = "text", most: int = 2_000_000):
     """Parts of batches that hold about `most` bytes of a column of texts; a longer text is a part of its own."""
     for b in batches:

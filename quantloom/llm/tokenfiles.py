@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, mix64, scratch_dir, slices
+from .common import documents, give_back, materialise, mix64, scratch_dir, slices
 from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
-SHARD_CHARS = 32_000_000
-MEMORY = 80_000_000  # bytes of pieces that a Python worker remembers
+SHARD_CHARS = 12_000_000
+MEMORY = 120_000_000  # bytes of pieces that a Python worker remembers
 _TOGETHER = 2048  # pieces: the library takes some hundred bytes for each letter
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
@@ -190,6 +190,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
         if ids:
             index = pack_index(width, pa.concat_arrays(ids), np.concatenate(upto))
             yield pa.RecordBatch.from_arrays([pa.array([index[:-1]], pa.binary())], names=["value"])
+        give_back()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), *order).sortWithinPartitions(*order)
