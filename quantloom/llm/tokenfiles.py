@@ -8,7 +8,7 @@ the line separator, one zero byte, is the last byte of its id 0, so any file sys
 
 Documents are dealt into shards by ranges of doc_id, and of a hash within a doc_id, so that the order of the files is the order of
 the documents and rows with one or no doc_id are no hot shard. The texts are encoded after that, in pieces that are looked up if met
-before; new pieces go through the tokenizers library, also its added tokens. A manifest beside the files tells each shard's keys.
+before; new pieces go through the tokenizers library, also its added tokens. For lookups a manifest beside the files tells each shard's keys.
 
 Defined results: null and empty texts have id 0 alone. Rows with a null doc_id come first. Rows with the same doc_id follow each
 other, in an order that reruns keep, and a lookup gives all of them. An empty table gives no rows. Other columns are ignored.
@@ -174,9 +174,9 @@ def _encoder(path: str):
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> None:
-    """Writes the shards of docs (doc_id, text) and their manifest to the folder `path`."""
+    """Writes the shards of docs (doc_id, text) to the folder `path`; shard_chars: bytes of text to a shard, about."""
     docs = docs.select("doc_id", "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
         width, encode = _encoder(vocabulary)
@@ -195,7 +195,11 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), *order).sortWithinPartitions(*order)
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
-    shards(docs.sparkSession, path).mapInArrow(_spans, "shard long, nulls long, least long, greatest long").write.parquet(f"{path}/_manifest")
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Writes beside the shards the keys that each has, once, for lookups."""
+    shards(spark, path).mapInArrow(_spans, "shard long, nulls long, least long, greatest long").write.mode("overwrite").parquet(f"{path}/_manifest")
 
 
 def _spans(batches):

@@ -199,6 +199,7 @@ def test_token_files_round_trip(spark, docs, tmp_path):
     got = tokenfiles.shards(spark, path).mapInArrow(tokenfiles._rows, tokenfiles._ROW).collect()
     assert len(got) == len(rows())
     assert all(r.n_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id], "<u4").tobytes()) for r in got if r.doc_id is not None)
+    tokenfiles.write_manifest(spark, path)
     found = tokenfiles.lookup(spark, path, spark.createDataFrame([(k,) for k in (1, 10, 11, 999, -4)], "doc_id long")).collect()
     assert Counter(r.doc_id for r in found) == {1: 1, 10: 1, 11: 2} and all(list(r.ids) == ids[r.doc_id] for r in found)
 
