@@ -104,17 +104,28 @@ def zrank(df: DataFrame, columns: list[str], out: str, group: list[str]) -> Data
     return df.withColumn(out, zscore("_rank", group)).drop("_mean", "_rank", *(f"_{k}_{c}" for k in "rz" for c in columns))
 
 
-def anomalies(df: DataFrame, column: str, id: str, date: str, out: str, tails: tuple[float, float] = (0.01, 0.99), multiples: tuple[float, float] = (3.0, 3.0), rare_negative: float = 0.01) -> DataFrame:
-    """out: whether the value and its changes from the one before and to the next all lie beyond the quantiles by a multiple of their distance from the median.
+def anomalies(df: DataFrame, column: str, id: str, date: str, out: str, kinds: tuple[str, ...] = ("change",), tails: tuple[float, float] = (0.05, 0.95), multiples: tuple[float, float] = (1.0, 1.0), rare_negative: float = 0.0005) -> DataFrame:
+    """out: whether a value is odd by one of the kinds; bounds are over the whole panel.
 
-    Bounds are over the whole panel. A negative value is one too where negatives are rarer than `rare_negative`.
+    change: its percentage changes from the value before and from the next one back both lie beyond the quantiles by a multiple of
+    their distance from the median. value: the value itself does. negative: it is negative where few are, a part below `rare_negative`.
     """
-    w = W.partitionBy(id).orderBy(date)
-    df = df.withColumns({"_before": F.col(column) - F.lag(column).over(w), "_after": F.lead(column).over(w) - F.col(column)})
-    names, bounds = [column, "_before", "_after"], []
-    for i, c in enumerate(names):
-        bounds += [quantile(c, q).alias(f"_{k}{i}") for k, q in (("l", tails[0]), ("m", 0.5), ("u", tails[1]))]
-    wide = df.crossJoin(F.broadcast(df.agg(*bounds, F.avg((F.col(column) < 0).cast("double")).alias("_neg"))))
-    beyond = lambda i: (F.col(names[i]) < F.col(f"_l{i}") - multiples[0] * (F.col(f"_m{i}") - F.col(f"_l{i}"))) | (F.col(names[i]) > F.col(f"_u{i}") + multiples[1] * (F.col(f"_u{i}") - F.col(f"_m{i}")))
-    odd = (beyond(0) & beyond(1) & beyond(2)) | ((F.col(column) < 0) & (F.col("_neg") < rare_negative))
-    return wide.withColumn(out, F.coalesce(odd, F.lit(False))).select(*[c for c in df.columns if c not in ("_before", "_after")], out)
+    w, x = W.partitionBy(id).orderBy(date), F.col(column).cast("double")
+    wide = df.withColumns({"_before": div(x, F.lag(x).over(w)) - 1, "_after": div(x, F.lead(x).over(w)) - 1, "_value": x})
+    names = [c for kind, cs in (("change", ["_before", "_after"]), ("value", ["_value"])) if kind in kinds for c in cs]
+    bounds = [quantile(c, q).alias(f"{c}_{k}") for c in names for k, q in (("l", tails[0]), ("m", 0.5), ("u", tails[1]))]
+    share = div(F.count_if(F.col("_value") < 0), F.count("_value")).alias("_negative")
+    wide = wide.crossJoin(F.broadcast(wide.agg(*bounds, share)))
+
+    def beyond(c: str) -> Column:
+        v, low, mid, high = (F.col(f"{c}{k}") for k in ("", "_l", "_m", "_u"))
+        return F.coalesce((v < low - multiples[0] * (mid - low)) | (v > high + multiples[1] * (high - mid)), F.lit(False))
+
+    odd = F.lit(False)
+    if "change" in kinds:
+        odd = odd | (beyond("_before") & beyond("_after"))
+    if "value" in kinds:
+        odd = odd | beyond("_value")
+    if "negative" in kinds:
+        odd = odd | F.coalesce((F.col("_value") < 0) & (F.col("_negative") < rare_negative), F.lit(False))
+    return wide.withColumn(out, odd).select(*df.columns, out)

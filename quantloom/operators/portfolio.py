@@ -40,7 +40,7 @@ def time_varying_cost(df: DataFrame, me: str, date: str, out: str = "cost") -> D
 
 
 def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "date", id: str = "id", cost: str | float | None = None, start: float = 1.0) -> DataFrame:
-    """pf, date, gross_ret, net_ret, excess, value, n_long, n_short, turnover, cost.
+    """pf, date, gross_ret, net_ret, excess, net_excess, value, n_long, n_short, turnover, cost.
 
     What the long positions leave of the value is cash, at rf if there is a column of it. Weights are at the date's start, returns
     over the date; a name that is not held any more is sold. The excess return is the positions' plus the cash's return. cost: a rate of the amount traded, as a number or a column.
@@ -65,7 +65,8 @@ def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "d
     out = by.join(traded, ["pf", date])
     out = out.withColumns({"turnover": F.when(F.col("_first"), 0.0).otherwise(div("_amount", "_value0")), "cost": F.when(F.col("_first"), 0.0).otherwise(div("_cost", "_value0"))})
     out = out.withColumns({"net_ret": F.col("gross_ret") - F.col("cost"), "excess": F.col("_e") + (1 - F.col("_long")) * F.col("_rf")})
-    return out.select("pf", date, "gross_ret", "net_ret", "excess", "value", "n_long", "n_short", "turnover", "cost")
+    out = out.withColumn("net_excess", F.col("excess") - F.col("cost"))
+    return out.select("pf", date, "gross_ret", "net_ret", "excess", "net_excess", "value", "n_long", "n_short", "turnover", "cost")
 
 
 def drawdowns(returns: DataFrame, ret: str, pf: str = "pf", date: str = "date") -> DataFrame:
@@ -80,20 +81,30 @@ def drawdowns(returns: DataFrame, ret: str, pf: str = "pf", date: str = "date")
     return df.drop("_t", "_peak", "_at")
 
 
-def evaluate(returns: DataFrame, ret: str = "net_ret", excess: str = "excess", pf: str = "pf", date: str = "date", per_year: int = 12, log: bool = True) -> DataFrame:
-    """One row per portfolio: means and population deviations of excess returns, Sharpe ratio, cumulative return, worst drawdown and
-    successive loss with their dates, turnover, numbers held."""
+def _sharpe(mean: Column, std: Column, per_year: int) -> Column:
+    return F.when(std == 0, 0.0).otherwise(div(mean, std) * F.sqrt(F.lit(float(per_year))))
+
+
+def evaluate(returns: DataFrame, ret: str = "net_ret", excess: str = "net_excess", pf: str = "pf", date: str = "date", per_year: int = 12, log: bool = True) -> DataFrame:
+    """One row per portfolio, after costs unless ret and excess are others: means and population deviations of excess returns, Sharpe
+    ratio (0 without deviation), cumulative return, worst drawdown and successive loss with their dates, turnover, numbers held.
+    Mean, deviation, Sharpe ratio and turnover are those of a year of `per_year` periods."""
     d = drawdowns(returns, ret, pf, date)
     end = F.max_by("cum", date)
+    m, s = F.avg(excess), F.stddev_pop(excess)
     return d.groupBy(pf).agg(
-        F.count("*").alias("periods"), (F.avg(excess) * per_year).alias("mean"), (F.stddev_pop(excess) * F.sqrt(F.lit(float(per_year)))).alias("std"),
-        (div(F.avg(excess), F.stddev_pop(excess)) * F.sqrt(F.lit(float(per_year)))).alias("sharpe"), (end if log else F.expm1(end)).alias("cum_ret"),
+        F.count("*").alias("periods"), (m * per_year).alias("mean"), (s * F.sqrt(F.lit(float(per_year)))).alias("std"),
+        _sharpe(m, s, per_year).alias("sharpe"), (end if log else F.expm1(end)).alias("cum_ret"),
         F.max("drawdown").alias("mdd"), F.max_by(date, "drawdown").alias("mdd_end"), F.max_by("duration", "drawdown").alias("mdd_duration"),
-        F.max("succdown").alias("msd"), F.max_by(date, "succdown").alias("msd_end"), F.avg("turnover").alias("turnover"), F.avg("n_long").alias("n_long"), F.avg("n_short").alias("n_short"))
+        F.max("succdown").alias("msd"), F.max_by(date, "succdown").alias("msd_end"), (F.avg("turnover") * per_year).alias("turnover"), F.avg("n_long").alias("n_long"), F.avg("n_short").alias("n_short"))
 
 
-def evaluate_series(returns: DataFrame, excess: str = "excess", pf: str = "pf", date: str = "date", per_year: int = 12) -> DataFrame:
-    """Mean, deviation and Sharpe ratio up to each date."""
+def evaluate_series(returns: DataFrame, ret: str = "net_ret", excess: str = "net_excess", pf: str = "pf", date: str = "date", per_year: int = 12, log: bool = True) -> DataFrame:
+    """What evaluate() gives, up to each date."""
     run = W.partitionBy(pf).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    d = drawdowns(returns, ret, pf, date)
     m, s = F.avg(excess).over(run), F.stddev_pop(excess).over(run)
-    return returns.select(pf, date, (m * per_year).alias("mean"), (s * F.sqrt(F.lit(float(per_year)))).alias("std"), (div(m, s) * F.sqrt(F.lit(float(per_year)))).alias("sharpe"))
+    return d.select(
+        pf, date, (m * per_year).alias("mean"), (s * F.sqrt(F.lit(float(per_year)))).alias("std"), _sharpe(m, s, per_year).alias("sharpe"), (F.col("cum") if log else F.expm1("cum")).alias("cum_ret"),
+        F.max("drawdown").over(run).alias("mdd"), F.max("succdown").over(run).alias("msd"), (F.avg("turnover").over(run) * per_year).alias("turnover"),
+        F.avg("n_long").over(run).alias("n_long"), F.avg("n_short").over(run).alias("n_short"))

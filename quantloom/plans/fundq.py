@@ -10,16 +10,19 @@ RAW = "atq saleq revtq ibq txtq seqq txditcq pstkq ceqq ltq cshprq ajexq epspxq
 
 
 def prepare(t: Terms) -> list[dict[str, str]]:
+    """Negative values of what can't be negative are missing; book equity; then values near zero are zero, and negative book equity is missing."""
+    zero = lambda x: f"case when abs({x}) < 1e-7 then 0.0 else {x} end"
     return [
-        {x: f"case when abs({x}) < 1e-7 then 0.0 else {x} end" for x in RAW},
-        {"saleq": "coalesce(saleq, revtq)", "atq": "case when atq > 0 then atq end", "seqq": "coalesce(seqq, ceqq, atq - ltq)"},
-        {"be": f"seqq + {nz('txditcq')} - {nz('pstkq')}"},
+        {x: f"case when {x} >= 0 then {x} end" for x in ("atq", "saleq", "revtq", "cheq")},
+        {"be": f"coalesce(seqq, ceqq + pstkq, atq - ltq) + {nz('txditcq')} - {nz('pstkq')}"},
+        {x: zero(x) for x in [*RAW, "be"]},
+        {"be": "case when be >= 0 then be end"},
     ]
 
 
 def formulas(t: Terms) -> dict[str, str]:
     L, D, R = t.L, t.D, t.R
-    surprise = lambda d: div(f"{d} - {R('mean', d, 8, 6, 1)}", R("std", d, 8, 6, 1))
+    surprise = lambda d: div(f"{d} - {R('mean', d, 8, 6, 1)}", above(R("std", d, 8, 6, 1)))
     return {
         "_atq4": L("atq", 4), "_atq1": L("atq"), "_beq1": L("be"), "_dni4": D("ibq", 4), "_rn": f"row_number() {t.over}",
         "chtx": div(D("txtq", 4), nonzero("_atq4")),

@@ -198,15 +198,21 @@ def zrank(spark, sf_dir):
     return rounded(df.select("id", "date", X.zscore("_rk", ["date"]).alias("x")))
 
 
-_BEYOND = " and ".join(f"({c} < l{i} - 3 * (m{i} - l{i}) or {c} > u{i} + 3 * (u{i} - m{i}))" for i, c in enumerate(("sale", "b", "a")))
-_BOUNDS = ", ".join(f"quantile_cont({c}, {q}) as {k}{i}" for i, c in enumerate(("sale", "b", "a")) for k, q in (("l", 0.25), ("m", 0.5), ("u", 0.75)))
+_BEYOND = {c: f"coalesce({c} < l{c} - (m{c} - l{c}) or {c} > u{c} + (u{c} - m{c}), false)" for c in ("sale", "b", "a")}
+_BOUNDS = ", ".join(f"quantile_cont({c}, {q}) as {k}{c}" for c in ("sale", "b", "a") for k, q in (("l", 0.25), ("m", 0.5), ("u", 0.75)))
+_CHANGES = f", d as (select id, date, sale, sale / nullif(lag(sale) {_ID}, 0) - 1 as b, sale / nullif(lead(sale) {_ID}, 0) - 1 as a from pm), s as (select {_BOUNDS}, count_if(sale < 0) / count(sale) as neg from d)"
 
 
-@query(f", d as (select id, date, sale, sale - lag(sale) {_ID} as b, lead(sale) {_ID} - sale as a from pm), s as (select {_BOUNDS}, avg(cast(sale < 0 as int)) as neg from d) select id, date, coalesce({_BEYOND}, false) or coalesce(sale < 0 and neg < 0.01, false) as odd from d, s")
+@query(f"{_CHANGES} select id, date, {_BEYOND['b']} and {_BEYOND['a']} as odd from d, s")
 def anomalies(spark, sf_dir):
     return X.anomalies(monthly(spark, sf_dir).df, "sale", "id", "date", "odd", tails=(0.25, 0.75)).select("id", "date", "odd")
 
 
+@query(f"{_CHANGES} select id, date, ({_BEYOND['b']} and {_BEYOND['a']}) or {_BEYOND['sale']} or coalesce(sale < 0 and neg < 0.01, false) as odd from d, s")
+def anomalies_any(spark, sf_dir):
+    return X.anomalies(monthly(spark, sf_dir).df, "sale", "id", "date", "odd", ("change", "value", "negative"), (0.25, 0.75), rare_negative=0.01).select("id", "date", "odd")
+
+
 # Analytics
 
 _Q5 = f"c as (select *, {_cls(4)} as cls from (select *, {_cuts([0.2, 0.4, 0.6, 0.8])} from pm)) "
@@ -428,7 +434,7 @@ def drawdown(spark, sf_dir):
     return rounded(d.select("pf", "date", "cum", "drawdown", F.col("duration").cast("long").alias("duration"), "succdown"))
 
 
-@query(f", {_DD} select pf, count(*) as periods, round(avg(gross_ret) * 12, 6) as mean, round(stddev_pop(gross_ret) * sqrt(12), 6) as std, round(avg(gross_ret) / stddev_pop(gross_ret) * sqrt(12), 6) as sharpe, round(max_by(cum, date), 6) as cum_ret, round(max(drawdown), 6) as mdd, round(max(succdown), 6) as msd, round(avg(turnover), 6) as turnover from dd group by pf")
+@query(f", {_DD} select pf, count(*) as periods, round(avg(net_ret) * 12, 6) as mean, round(stddev_pop(net_ret) * sqrt(12), 6) as std, round(avg(net_ret) / stddev_pop(net_ret) * sqrt(12), 6) as sharpe, round(max_by(cum, date), 6) as cum_ret, round(max(drawdown), 6) as mdd, round(max(succdown), 6) as msd, round(avg(turnover) * 12, 6) as turnover from dd group by pf")
 def evaluate(spark, sf_dir):
     e = P.evaluate(P.portfolio_returns(_position(spark, sf_dir), cost=0.002))
     return rounded(e.select("pf", "periods", "mean", "std", "sharpe", "cum_ret", "mdd", "msd", "turnover"))
@@ -447,10 +453,10 @@ def time_varying_cost(spark, sf_dir):
     return rounded(P.time_varying_cost(monthly(spark, sf_dir).df, "me", "date").select("id", "date", "cost"))
 
 
-@query(f", {_PF}, e as (select pf, date, avg(gross_ret) over w as m, stddev_pop(gross_ret) over w as s from net window w as (partition by pf order by date)) select pf, date, round(m * 12, 6) as mean, round(s * sqrt(12), 6) as std, round(m / nullif(s, 0) * sqrt(12), 5) as sharpe from e")
+@query(f", {_DD}, e as (select pf, date, cum, avg(net_ret) over w as m, stddev_pop(net_ret) over w as s, max(drawdown) over w as mdd, max(succdown) over w as msd, avg(turnover) over w as t from dd window w as (partition by pf order by date)) select pf, date, round(m * 12, 6) as mean, round(s * sqrt(12), 6) as std, round(case when s = 0 then 0 else m / s end * sqrt(12), 5) as sharpe, round(cum, 6) as cum_ret, round(mdd, 6) as mdd, round(msd, 6) as msd, round(t * 12, 6) as turnover from e")
 def evaluate_series(spark, sf_dir):
     e = P.evaluate_series(P.portfolio_returns(_position(spark, sf_dir), cost=0.002))
-    return e.select("pf", "date", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("sharpe", 5).alias("sharpe"))
+    return rounded(e.select("pf", "date", "mean", "std", "cum_ret", "mdd", "msd", "turnover", F.round("sharpe", 5).alias("sharpe")))
 
 
 _EVENT = "ev as (select id, date, case when cnt % 3 = 0 then -0.1 end as dlret, cast(case when cnt % 4 = 0 then 400 + (id * 7) % 190 end as double) as dlstcd, cast(exchcd as double) as exchcd, cast(1000 + (id * 31 + month(date)) % 600 as double) as distcd, sale / 1000 as divamt from pm where id % 5 = 0) "

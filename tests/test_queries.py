@@ -47,9 +47,10 @@ def test_agrees_with_sql(spark, con, name):
     want = sorted(([_value(r[i]) for i in at] for r in rel.fetchall()), key=_order)
     assert len(got) == len(want)
     bad = [(a, b) for a, b in zip(got, want) if not all(map(_close, a, b))]
-    assert len(bad) <= 0.002 * len(got), bad[:2]
+    assert not bad, (len(bad), len(got), bad[:2])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    rows = QUERIES[name](spark, SF).collect()
+    assert rows and any(v is not None for r in rows for v in r)
