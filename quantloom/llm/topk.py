@@ -58,14 +58,14 @@ def _square_distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
 _ROW = "vec_id long, v array<double>, sq double, d array<double>, cell int"
 
 
-def _placed(centres: np.ndarray, pivots: int):
-    """Rows with their squared norm, distances to the pivots, which are the first centres, and nearest centre."""
+def _placed(points: np.ndarray, pivots: int, cells: int):
+    """Rows with their squared norm, distances to the pivots, which are the first points, and the nearest of the first `cells` points."""
 
     def run(batches):
         for b in batches:
-            x = matrix(b.column("v").to_pylist(), centres.shape[1])
-            d = _square_distances(x, centres)
-            cols = pa.array((x * x).sum(1)), pa.array(list(np.sqrt(d[:, :pivots])), pa.list_(pa.float64())), pa.array(d.argmin(1), pa.int32())
+            x = matrix(b.column("v").to_pylist(), points.shape[1])
+            d = _square_distances(x, points)
+            cols = pa.array((x * x).sum(1)), pa.array(list(np.sqrt(d[:, :pivots])), pa.list_(pa.float64())), pa.array(d[:, :cells].argmin(1), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), *cols], names=["vec_id", "v", "sq", "d", "cell"])
 
     return run
@@ -158,17 +158,19 @@ def top_k(queries: DataFrame, rows: DataFrame, p: TopKParams = TopKParams()) ->
     """queries, rows: vec_id, v array<double>. Gives query_id, rank, vec_id, score."""
     some = sample(rows, p.sample, p.seed)
     n = rows.count()
-    centres = choose_pivots(some, max(p.pivots, min(p.centres, n // p.block))) if len(some) else np.zeros((1, 1))
+    wanted = min(p.centres, max(1, n // p.block))
+    points = choose_pivots(some, max(p.pivots, wanted)) if len(some) else np.zeros((1, 1))
+    centres = min(wanted, len(points))
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows, queries = (materialise(x.select("vec_id", "v").mapInArrow(_placed(centres, p.pivots), _ROW)) for x in (rows, queries))
-    used = min(p.pivots, len(centres))
+    rows, queries = (materialise(x.select("vec_id", "v").mapInArrow(_placed(points, p.pivots, centres), _ROW)) for x in (rows, queries))
+    used = min(p.pivots, len(points))
     spans = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("sq").alias("sq"), *(f(F.col("d")[i]).alias(f"{a}{i}") for i in range(used) for f, a in ((F.min, "lo"), (F.max, "hi")))).toArrow().sort_by("cell")
     cells, sizes, norm = (spans[c].to_numpy() for c in ("cell", "n", "sq"))  # one row for each centre
     low, high = (np.stack([spans[f"{a}{i}"].to_numpy() for i in range(used)], 1) for a in ("lo", "hi"))
     many = np.maximum(1, -(-sizes // p.block))
     first = np.cumsum(many) - many
     # Cells are blocks one after the other; which block of its cell a vector is in, a hash decides. A query's cell may have no rows.
-    number = F.array(*map(F.lit, _by_cell(cells, first, len(centres)))), F.array(*map(F.lit, _by_cell(cells, many, len(centres), 1)))
+    number = F.array(*map(F.lit, _by_cell(cells, first, centres))), F.array(*map(F.lit, _by_cell(cells, many, centres, 1)))
     block = (number[0][F.col("cell")] + F.pmod(F.xxhash64(F.lit(p.seed), "vec_id"), number[1][F.col("cell")])).alias("block")
     names = ["vec_id", "v", "sq", "d"]
     candidates = rows.select(*names, F.lit(0.0).alias("kth"), block, F.lit(False).alias("asks"))
