@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crspd, crspm, factors, funda, fundq, merged
+from . import crspd, crspm, factors, funda, fundq, linkqueries, merged  # noqa: F401 (linkqueries registers its own)
 from .panels import PA, PM, frame, oracle
 from .queries import QUERIES, rounded
 from .queries import ORACLES
