@@ -25,20 +25,25 @@ class Remembered:
         self.half, self.young, self.old, self.used = most // 2, {}, {}, 0
 
     def get(self, xs: list[str]) -> list:
-        got, old = list(map(self.young.get, xs)), self.old
-        if old:
-            for i, y in enumerate(got):
-                if y is None and (y := old.get(xs[i])) is not None:
-                    got[i] = y
-                    self.put(xs[i], y)
+        got = list(map(self.young.get, xs))
+        if self.old:
+            lost = [i for i, y in enumerate(got) if y is None]
+            back = [(i, y) for i, y in zip(lost, map(self.old.get, map(xs.__getitem__, lost))) if y is not None]
+            for i, y in back:
+                got[i] = y
+            self.put_all([xs[i] for i, _ in back], [y for _, y in back])
         return got
 
     def put(self, x: str, y: bytes) -> None:
-        if len(x) <= LONG:
+        self.put_all([x], [y])
+
+    def put_all(self, xs: list[str], ys: list[bytes]) -> None:
+        for i in range(0, len(xs), 4096):
             if self.used > self.half:
                 self.old, self.young, self.used = self.young, {}, 0
-            self.young[x] = y
-            self.used += _ENTRY + len(y)
+            some = {x: y for x, y in zip(xs[i : i + 4096], ys[i : i + 4096]) if len(x) <= LONG}
+            self.young.update(some)
+            self.used += _ENTRY * len(some) + sum(map(len, some.values()))
 
     def clear(self) -> None:
         self.young, self.old, self.used = {}, {}, 0
@@ -58,23 +63,19 @@ class PieceEncoder:
         cut = pc.split_pattern(texts, " ")
         words, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
-        first = np.zeros(len(words), bool)
-        first[at[:-1]] = True
-        rest, begin = words.filter(pa.array(~first)).dictionary_encode(), words.filter(pa.array(first)).dictionary_encode()
-        pieces = [*(f" {x}" for x in _strings(rest.dictionary)), *_strings(begin.dictionary)]
-        code = np.empty(len(words), np.int64)
-        code[~first] = rest.indices.to_numpy()
-        code[first] = begin.indices.to_numpy().astype(np.int64) + len(rest.dictionary)
+        rest, begin = words.dictionary_encode(), words.take(pa.array(at[:-1])).dictionary_encode()
+        spaced = pc.binary_join_element_wise(pa.scalar("", words.type), rest.dictionary, " ")
+        pieces = [*_strings(spaced), *_strings(begin.dictionary)]
+        code = rest.indices.to_numpy().astype(np.int64)
+        code[at[:-1]] = begin.indices.to_numpy().astype(np.int64) + len(spaced)
         got = self.known.get(pieces)
         touched = np.zeros(len(pieces), bool)
-        new = []
-        for i, y in enumerate(got):
-            if y is None:
-                x = pieces[i][1:] if i < len(rest.dictionary) else pieces[i]
-                if not x or x[0].isspace() or x[-1].isspace():
-                    touched[i], got[i] = True, b""
-                else:
-                    new.append(i)
+        new = [i for i, y in enumerate(got) if y is None]
+        for i in new:
+            x = pieces[i]
+            if not x or x[-1].isspace() or (x[1] if i < len(spaced) else x[0]).isspace():
+                touched[i], got[i] = True, b""
+        new = [i for i in new if not touched[i]] if touched.any() else new
         for i, y in zip(new, self._fresh([pieces[i] for i in new])):
             got[i] = y
         if touched.any():
@@ -90,8 +91,7 @@ class PieceEncoder:
 
     def _fresh(self, xs: list[str]) -> list[bytes]:
         out = self.encode_pieces(xs) if xs else []
-        for x, y in zip(xs, out):
-            self.known.put(x, y)
+        self.known.put_all(xs, out)
         return out
 
     def _touched(self, texts: pa.Array, which: np.ndarray, code: np.ndarray, at: np.ndarray, got: list) -> None:

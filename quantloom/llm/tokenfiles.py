@@ -34,7 +34,7 @@ from .pieces import PieceEncoder
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 12_000_000
 MEMORY = 80_000_000  # bytes of pieces that a Python worker remembers
-_TOGETHER = 2048  # pieces: the library takes some hundred bytes for each letter
+_TOGETHER = 512  # pieces: the library takes some hundred bytes for each letter, and more time for longer strings
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
     def run(batches):
         width, encode = _encoder(vocabulary)
         ids, upto, end = [], [], 0
-        for b in slices(batches, most=1_000_000):
+        for b in slices(batches):
             flat, ends = encode(b.column("text"), b"\0" * width)
             raw, at = memoryview(flat.tobytes()), (ends * width).tolist()
             ids.append(pa.array(b.column("doc_id").to_pylist(), pa.int64())), upto.append(ends + end)
