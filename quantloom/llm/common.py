@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """Within, the session has another value of a setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
     row_groups: bytes of Parquet's row groups, for tables of long binary values. The shuffle files of what went before are deleted
@@ -54,12 +66,8 @@ def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark) + "/t"
     out = df.write.option("compression", "zstd")
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"):
         (out.option("parquet.block.size", row_groups) if row_groups else out).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

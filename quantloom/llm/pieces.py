@@ -84,10 +84,8 @@ class PieceEncoder:
             code, at = np.insert(code, at[1:], len(got)), at + np.arange(len(at))
             got.append(end)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        begins, long = (np.cumsum(size) - size)[code], size[code]
-        upto = np.cumsum(long)
-        flat = np.frombuffer(b"".join(got), self.dtype)[np.repeat(begins - upto + long, long) + np.arange(int(upto[-1]))]
-        return flat, upto[at[1:] - 1]
+        flat = np.frombuffer(b"".join(map(got.__getitem__, code.tolist())), self.dtype)
+        return flat, np.cumsum(size[code])[at[1:] - 1]
 
     def _fresh(self, xs: list[str]) -> list[bytes]:
         out = self.encode_pieces(xs) if xs else []

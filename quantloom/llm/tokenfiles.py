@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, materialise, mix64, scratch_dir, slices
+from .common import documents, give_back, materialise, mix64, scratch_dir, setting, slices
 from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 12_000_000
+BATCH = 4_000_000  # bytes of texts that go to a Python worker at a time
 MEMORY = 80_000_000  # bytes of pieces that a Python worker remembers
 _TOGETHER = 512  # pieces: the library takes some hundred bytes for each letter, and more time for longer strings
 _MARK = b"MPHIDX1\0"
@@ -194,7 +195,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    out = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+        out.text(path)
 
 
 def write_manifest(spark: SparkSession, path: str) -> None:
