@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_exact_top_k": ("topk", "op8_exact_top_k"),
     "op9_byte_bpe": ("bpe", "op9_byte_bpe"),
     "op10_simhash_near_dedup": ("simhash", "op10_simhash_near_dedup"),
+    "op11_bin_slack_packing": ("packing", "op11_bin_slack_packing"),
+    "op12_token_alignment": ("alignment", "op12_token_alignment"),
+    "op13_filter_audit": ("filters", "op13_filter_audit"),
 }
 
 
@@ -28,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_filter_audit": import_module(".filters", __package__).OP13_SQL}

@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # all that str.isspace() holds for
+_TOUCHES = f"^$|^{_SPACE}|{_SPACE}$"
 LONG = 64  # characters of a piece that is still remembered
 _ENTRY = 220  # bytes that a remembered piece takes, about
 
@@ -55,46 +57,46 @@ class PieceEncoder:
     def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int):
         self.encode_pieces, self.dtype, self.known = encode_pieces, np.dtype(dtype), Remembered(most)
 
-    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and where those of each text end. end: what follows each text's ids."""
+    def encode(self, texts: pa.Array, end: bytes = b"", spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end. end: what follows each text's ids; spaced: a space is put before each text."""
         if not len(texts):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         texts = pc.fill_null(texts, "")
         cut = pc.split_pattern(texts, " ")
         words, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
-        rest, begin = words.dictionary_encode(), words.take(pa.array(at[:-1])).dictionary_encode()
-        spaced = pc.binary_join_element_wise(pa.scalar("", words.type), rest.dictionary, " ")
-        pieces = [*_strings(spaced), *_strings(begin.dictionary)]
+        rest, begin = words.dictionary_encode(), words.take(pa.array(at[:0] if spaced else at[:-1])).dictionary_encode()
+        opening = pc.binary_join_element_wise(pa.scalar("", words.type), rest.dictionary, " ")
+        pieces = [*_strings(opening), *_strings(begin.dictionary)]
         code = rest.indices.to_numpy().astype(np.int64)
-        code[at[:-1]] = begin.indices.to_numpy().astype(np.int64) + len(spaced)
+        if not spaced:
+            code[at[:-1]] = begin.indices.to_numpy().astype(np.int64) + len(opening)
+        touched = np.concatenate([pc.match_substring_regex(x.dictionary, _TOUCHES).to_numpy(zero_copy_only=False).astype(bool) for x in (rest, begin)])
         got = self.known.get(pieces)
-        touched = np.zeros(len(pieces), bool)
+        for i in np.flatnonzero(touched).tolist():
+            got[i] = b""
         new = [i for i, y in enumerate(got) if y is None]
-        for i in new:
-            x = pieces[i]
-            if not x or x[-1].isspace() or (x[1] if i < len(spaced) else x[0]).isspace():
-                touched[i], got[i] = True, b""
-        new = [i for i in new if not touched[i]] if touched.any() else new
         for i, y in zip(new, self._fresh([pieces[i] for i in new])):
             got[i] = y
         if touched.any():
-            self._touched(texts, np.flatnonzero(np.logical_or.reduceat(touched[code], at[:-1])), code, at, got)
+            self._touched(texts, np.flatnonzero(np.logical_or.reduceat(touched[code], at[:-1])), code, at, got, " " * spaced)
         if end:
             code, at = np.insert(code, at[1:], len(got)), at + np.arange(len(at))
             got.append(end)
         size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        flat = np.frombuffer(b"".join(map(got.__getitem__, code.tolist())), self.dtype)
-        return flat, np.cumsum(size[code])[at[1:] - 1]
+        begins, size = np.cumsum(size) - size, size[code]
+        ends = np.cumsum(size)
+        flat = np.frombuffer(b"".join(got), self.dtype)[np.repeat(begins[code] - ends + size, size) + np.arange(int(ends[-1]))]
+        return flat, ends[at[1:] - 1]
 
     def _fresh(self, xs: list[str]) -> list[bytes]:
         out = self.encode_pieces(xs) if xs else []
         self.known.put_all(xs, out)
         return out
 
-    def _touched(self, texts: pa.Array, which: np.ndarray, code: np.ndarray, at: np.ndarray, got: list) -> None:
+    def _touched(self, texts: pa.Array, which: np.ndarray, code: np.ndarray, at: np.ndarray, got: list, before: str) -> None:
         """Texts whose pieces touch: a text's first piece stands for all of it."""
-        merged = {int(i): merge(texts[int(i)].as_py()) for i in which}
+        merged = {int(i): merge(before + texts[int(i)].as_py()) for i in which}
         distinct = list(dict.fromkeys(x for xs in merged.values() for x in xs))
         known = dict(zip(distinct, self.known.get(distinct)))
         new = [x for x, y in known.items() if y is None]

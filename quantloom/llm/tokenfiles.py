@@ -136,12 +136,14 @@ def pack_index(width: int, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
 
 
 @lru_cache(1)
-def _encoder(path: str):
-    """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0."""
+def _encoder(path: str, ordinary: bool = False):
+    """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0.
+    ordinary: special tokens' strings in a text are text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would each keep memory
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
+    t.encode_special_tokens = ordinary
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
     opens = np.array([(t.id_to_token(i) or "").startswith(_SPACE) for i in range(t.get_vocab_size())])
     # Pieces never cut an added token, as long as none has white space or takes any from its sides.
