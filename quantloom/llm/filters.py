@@ -33,8 +33,9 @@ def failures(docs: DataFrame) -> DataFrame:
     capitals = chars - F.char_length(F.regexp_replace("t", "[A-Z]", ""))
     flags = {"A": n < 200, "B": 100 * F.size(F.array_distinct("w")).cast("long") < 50 * n.cast("long"), "C": 100 * capitals.cast("long") > 2 * chars.cast("long"), "D": F.col("t").rlike(r"[#$%&*|]")}
     rows = materialise(rows.select("doc_id", "part", F.unhex(F.sha2("t", 256)).alias("k"), *(v.alias(c) for c, v in flags.items())))
-    # The first of each text that repeats; a row for each text leaves a task, however many copies it has.
-    first = rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # The first of each text that repeats; a row for each text leaves a task, however many copies it has. As a table of its own, so
+    # that both sides of the join are dealt by plain shuffles: only such a join has its large partitions split.
+    first = materialise(rows.groupBy("k").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     return rows.join(first, "k", "left").select("doc_id", "part", *flags, F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E"))
 
 
