@@ -104,8 +104,9 @@ def solve_normal(names: list[str]):
     return solve
 
 
-def grouped_ols(df: DataFrame, group: list[str], y: str, xs: list[str], constant: bool = True) -> DataFrame:
-    """Per group: n, coefficients b_<name> (b_const) and r2, of rows without nulls; groups with no more rows than coefficients give none.
+def grouped_ols(df: DataFrame, group: list[str], y: str, xs: list[str], constant: bool = True, least: int | None = None) -> DataFrame:
+    """Per group: n, coefficients b_<name> (b_const) and r2, of rows without nulls; groups with fewer than `least` rows (default: one
+    more than coefficients) give none.
 
     Spark sums the cross products; a batch of groups is solved at a time.
     """
@@ -114,7 +115,7 @@ def grouped_ols(df: DataFrame, group: list[str], y: str, xs: list[str], constant
     rows = df.select(*group, y, *xs).na.drop(subset=[y, *xs])
     terms = {f"xx_{i}_{j}": value[names[i]] * value[names[j]] for i in range(len(names)) for j in range(i, len(names))}
     terms |= {f"xy_{i}": value[n] * F.col(y) for i, n in enumerate(names)}
-    sums = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"), *(F.sum(v).alias(k) for k, v in terms.items())).where(F.col("n") > len(names))
+    sums = rows.groupBy(*group).agg(F.count("*").alias("n"), F.sum(y).alias("sy"), F.sum(F.col(y) * F.col(y)).alias("syy"), *(F.sum(v).alias(k) for k, v in terms.items())).where(F.col("n") >= (least or len(names) + 1))
     solve = solve_normal(names)
 
     def run(batches):

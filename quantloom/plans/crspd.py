@@ -1,17 +1,22 @@
 """Monthly characteristics from daily stock data: id, date, prc, bidlo, askhi, ret, vol, shrout, cfacpr, exchcd, rf (monthly), factors.
 
 Daily rows become sums per id and month once; longer windows are ranges of months over these sums, so a five-year window is sixty
-rows. Only residuals of regressions go to Python, an id at a time.
+rows. Regressions are solved from sums of products, batches of ids and months at a time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations_with_replacement, permutations
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quantloom.operators.analytics import grouped_ols, solve_normal
+from quantloom.operators.analytics import grouped_ols
+from quantloom.operators.rolling import moment_columns, moments, running, solve, window_sum
 
 from .spec import Terms, above, create, div, replaced
 
@@ -111,105 +116,147 @@ def largest_to_volatility(daily: DataFrame, t: Terms = Terms()) -> DataFrame:
     return characteristics(daily, ["rvol_252d"], t).join(largest, ["id", "mon"], "left").select("id", "mon", "date", (F.col("rmax5_21d") / F.nullif("rvol_252d", F.lit(0.0))).alias("rmax5_rvol_21d"))
 
 
-def residual_statistics(daily: DataFrame, models: dict[str, list[str]] = {"capm": ["mktrf"], "ff3": ["mktrf", "hml", "smb_ff"], "hxz4": ["mktrf", "smb_hxz", "inv", "roe"]}, least: int = 15) -> DataFrame:  # noqa: B006
-    """id, mon, ivol_<model>_21d, iskew_<model>_21d, coskew_21d, beta_dimson_21d of prepared daily rows."""
+def _indices(k: int, degree: int) -> list[tuple[int, ...]]:
+    return list(combinations_with_replacement(range(k), degree))
+
+
+def _where_full(columns: list[str], prefix: str, rows: str = "true") -> dict[str, Column]:
+    """The columns as prefix0, prefix1, ..., null in rows in which one of them is null, or for which `rows` doesn't hold."""
+    full = " and ".join([rows, *(f"{c} is not null" for c in columns)])
+    return {f"{prefix}{i}": F.expr(f"case when {full} then cast({c} as double) end") for i, c in enumerate(columns)}
+
+
+def _power_sums(k: int, prefix: str, degree: int) -> list[Column]:
+    """Aggregates of such columns: their number as prefix_n, and the sums of their products up to a degree, named by the factors."""
+    products = [at for d in range(1, degree + 1) for at in _indices(k, d)]
+    sums = (f"sum({' * '.join(f'{prefix}{i}' for i in at)}) as {prefix}_{'_'.join(map(str, at))}" for at in products)
+    return [F.expr(x) for x in (f"count({prefix}0) as {prefix}_n", *sums)]
+
+
+def _central(pdf: pd.DataFrame, k: int, prefix: str, degree: int) -> tuple[np.ndarray, ...]:
+    """n, and the central second moments' sums and, for degree 3, the third ones', as arrays by row."""
+    get = lambda *at: pdf["_".join([prefix, *map(str, sorted(at))])].to_numpy(float)
+    n = pdf[f"{prefix}_n"].to_numpy(float)
+    some, rows = np.where(n > 0, n, np.nan), len(pdf)
+    s, p = np.stack([get(i) for i in range(k)], 1), np.empty((rows, k, k))
+    for i, j in _indices(k, 2):
+        p[:, i, j] = p[:, j, i] = get(i, j)
+    m = s / some[:, None]
+    second = p - m[:, :, None] * s[:, None, :]
+    if degree < 3:
+        return n, second
+    third = np.empty((rows, k, k, k))
+    for at in _indices(k, 3):
+        i, j, l = at
+        v = get(*at) - m[:, i] * p[:, j, l] - m[:, j] * p[:, i, l] - m[:, l] * p[:, i, j] + 2 * m[:, i] * m[:, j] * s[:, l]
+        for a in set(permutations(at)):
+            third[(slice(None), *a)] = v
+    return n, second, third
+
+
+def _slopes(second: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Slopes of the first variable on the others, NaN where `rows` is false or they are collinear."""
+    out = np.full((len(second), second.shape[1] - 1), np.nan)
+    d = np.sqrt(np.maximum(np.einsum("rii->ri", second)[:, 1:], 0))
+    at = np.flatnonzero(rows & (d > 0).all(1))
+    r = second[at, 1:, 1:] / (d[at][:, :, None] * d[at][:, None, :])
+    fine = np.linalg.eigvalsh(r)[:, 0] > 1e-11 if len(at) else np.zeros(0, bool)
+    at, r = at[fine], r[fine]
+    if len(at):
+        out[at] = np.linalg.solve(r, (second[at, 1:, 0] / d[at])[:, :, None])[:, :, 0] / d[at]
+    return out
+
+
+#: Regressors by model.
+RESIDUAL_MODELS = {"capm": ["mktrf"], "ff3": ["mktrf", "hml", "smb_ff"], "hxz4": ["mktrf", "smb_hxz", "inv", "roe"]}
+
+
+def residual_statistics(daily: DataFrame, models: dict[str, list[str]] = RESIDUAL_MODELS, least: int = 15) -> DataFrame:
+    """id, mon, ivol_<model>_21d, iskew_<model>_21d, coskew_21d, beta_dimson_21d of prepared daily rows.
+
+    A residual is a linear form of the variables, so its second and third moments are forms of theirs: one aggregate by id and month
+    has the sums of all products up to the third degree, and months are solved a batch at a time. A month's days never meet in a task.
+    """
     if missing := sorted({c for v in models.values() for c in v} - set(daily.columns)):
         raise ValueError(f"no such factors: {', '.join(missing)}")
     by_id = W.partitionBy("id").orderBy("date")
     cols = sorted({"exret", "mktrf", *(c for v in models.values() for c in v)})
-    rows = daily.select("id", "date", "mon", *cols).withColumns({"_lag": F.lag("mktrf").over(by_id), "_lead": F.lead("mktrf").over(by_id)})
+    rows = daily.select("id", "date", "mon", *cols).withColumns({"_lag": F.lag("mktrf").over(by_id), "_lead": F.lead("mktrf").over(by_id), "_next": F.lead("mon").over(by_id)})
+    sizes = {m: 1 + len(xs) for m, xs in models.items()}
+    values = {k: v for m, xs in models.items() for k, v in _where_full(["exret", *xs], m).items()}
+    values |= _where_full(["exret", "mktrf", "_lag", "_lead"], "dimson", "_next <=> mon")  # the last day's lead is next month's
+    sums = [x for m, k in sizes.items() for x in _power_sums(k, m, 3)] + _power_sums(4, "dimson", 2)
+    by_month = rows.select("id", "mon", *(v.alias(k) for k, v in values.items())).groupBy("id", "mon").agg(*sums)
     names = [f"{k}_{m}_21d" for m in models for k in ("ivol", "iskew")] + ["coskew_21d", "beta_dimson_21d"]
 
-    def fit(y, x):
-        a = np.column_stack([np.ones(len(y)), x])
-        b = np.linalg.lstsq(a, y, rcond=None)[0]
-        return b, y - a @ b
-
-    def run(pdf):
-        out = []
-        for mon, g in pdf.sort_values("date").groupby("mon", sort=True):
-            row = dict.fromkeys(names, np.nan)
-            for m, xs in models.items():
-                d = g[["exret", *xs]].to_numpy(float)
-                d = d[~np.isnan(d).any(1)]
-                if len(d) < least:
-                    continue
-                _, e = fit(d[:, 0], d[:, 1:])
-                n, m2 = len(e), (e**2).mean()
-                row[f"ivol_{m}_21d"] = e.std(ddof=1)
-                row[f"iskew_{m}_21d"] = (e**3).mean() / m2**1.5 * np.sqrt(n * (n - 1)) / (n - 2) if m2 > 0 else np.nan
+    def run(batches):
+        for pdf in batches:
+            out = pdf[["id", "mon"]].copy()
+            for m, k in sizes.items():
+                n, second, third = _central(pdf, k, m, 3)
+                b = _slopes(second, n >= least)
+                w = np.column_stack([np.ones(len(b)), -b])  # the residual's weights
+                m2, m3 = np.einsum("ri,rj,rij->r", w, w, second) / n, np.einsum("ri,rj,rl,rijl->r", w, w, w, third) / n
+                flat = ~(m2 > 1e-12 * second[:, 0, 0] / n)
+                m2 = np.where(flat, np.where(np.isnan(m2), np.nan, 0), m2)
+                safe = np.where(flat, np.nan, m2)
+                out[f"ivol_{m}_21d"] = np.sqrt(m2 * n / (n - 1))
+                out[f"iskew_{m}_21d"] = m3 / safe**1.5 * np.sqrt(n * (n - 1)) / (n - 2)
                 if m == "capm":
-                    x = d[:, 1] - d[:, 1].mean()
-                    if m2 > 0 and (x**2).mean() > 0:
-                        row["coskew_21d"] = (e * x**2).mean() / (np.sqrt(m2) * (x**2).mean())
-            d = g[["exret", "mktrf", "_lag", "_lead"]].to_numpy(float)[:-1]  # the last day's lead is next month's
-            d = d[~np.isnan(d).any(1)]
-            if len(d) >= least:
-                row["beta_dimson_21d"] = fit(d[:, 0], d[:, 1:])[0][1:].sum()
-            out.append({"id": g["id"].iloc[0], "mon": mon, **row})
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["id", "mon", *names])
+                    out["coskew_21d"] = (third[:, 0, 1, 1] - b[:, 0] * third[:, 1, 1, 1]) / n / (np.sqrt(safe) * second[:, 1, 1] / n)
+            n, second = _central(pdf, 4, "dimson", 2)
+            out["beta_dimson_21d"] = _slopes(second, n >= least).sum(1)
+            yield out.reindex(columns=["id", "mon", *names])
 
     kinds = dict(daily.dtypes)
-    return rows.groupBy("id").applyInPandas(run, f"id {kinds['id']}, mon long, " + ", ".join(f"{n} double" for n in names))
+    out = by_month.mapInPandas(run, f"id {kinds['id']}, mon long, " + ", ".join(f"{n} double" for n in names))
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in names})
 
 
 def weekly(daily: DataFrame, window: int = 156, least: int = 52, lags: int = 4) -> DataFrame:
     """id, mon, beta, betasq, idiovol, pricedelay, pricedelay_slope of weekly returns on their equal-weight mean; the month's last week.
 
-    The regression on lags is solved from window sums of cross products, a batch of rows at a time.
+    Both regressions, on the week's market return and on its lags too, are solved from running sums, a batch of rows at a time.
     """
     week = F.extract(F.lit("YEAROFWEEK"), F.col("date")) * 100 + F.weekofyear("date")
     ret = daily.groupBy("id", week.alias("yw")).agg(F.expm1(F.sum(F.log1p("ret"))).alias("y"), F.max("mon").alias("mon"))
     market = ret.groupBy("yw").agg(F.avg("y").alias("x0"))
     by_id = W.partitionBy("id").orderBy("yw")
     ret = ret.join(market, "yw").withColumns({f"x{k}": F.lag("x0", k).over(by_id) for k in range(1, lags + 1)})
-    w = by_id.rowsBetween(-(window - 1), 0)
-    both = F.when(F.col("x0").isNotNull(), F.col("y"))
-    full = F.when((F.col(f"x{lags}") + F.col("y")).isNotNull(), F.lit(1.0))  # the longest lag is there, so all are
-    xs = ["c", *(f"x{k}" for k in range(lags + 1))]
-    ret = ret.withColumn("c", full)
-    one = lambda x: F.lit(1.0) if x == "c" else F.col(x)
-    moment = lambda v: F.sum(F.when(F.col("c").isNotNull(), v)).over(w)
-    sums = {f"xx_{i}_{j}": moment(one(xs[i]) * one(xs[j])) for i in range(len(xs)) for j in range(i, len(xs))}
-    sums |= {f"xy_{i}": moment(one(x) * F.col("y")) for i, x in enumerate(xs)}
-    sums |= {"n": F.count("c").over(w), "sy": moment(F.col("y")), "syy": moment(F.col("y") * F.col("y"))}
-    r2 = F.regr_r2(F.col("y"), F.col("x0")).over(w)
-    n1 = F.count(both).over(w)
-    single = {"beta": F.when(n1 >= least, F.regr_slope(F.col("y"), F.col("x0")).over(w)), "r2": F.when(n1 >= least, r2), "idiovol": F.when(n1 >= least, F.sqrt(F.var_samp(both).over(w) * F.greatest(F.lit(0.0), 1 - r2)))}
+    sizes = {"_a": 2, "_b": lags + 2}
+    ret = moments(ret, ["id"], "yw", ["y", "x0"], window, "_a")
+    ret = moments(ret, ["id"], "yw", ["y", *(f"x{k}" for k in range(lags + 1))], window, "_b")
     last = F.row_number().over(W.partitionBy("id", "mon").orderBy(F.desc("yw")))
-    rows = ret.withColumns({**sums, **single}).withColumn("_last", last).where("_last = 1").select("id", "mon", *single, *sums)
-    solve = solve_normal(xs)
+    rows = ret.withColumn("_last", last).where("_last = 1").select("id", "mon", *(c for x, k in sizes.items() for c in moment_columns(k, x)))
+    names = ["beta", "betasq", "idiovol", "pricedelay", "pricedelay_slope"]
     kinds = dict(daily.dtypes)
 
     def run(batches):
         for pdf in batches:
-            ok = (pdf["n"] >= least).to_numpy()
-            delay, slope = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
-            if ok.any():
-                p = pdf[ok]
-                b = solve(p)
-                xy = np.stack([p[f"xy_{i}"].to_numpy() for i in range(len(xs))], 1)
-                total = (p["syy"] - p["sy"] ** 2 / p["n"]).to_numpy()
-                multi = 1 - (p["syy"].to_numpy() - (b * xy).sum(1)) / np.where(total > 0, total, np.nan)
-                delay[ok] = 1 - p["r2"].to_numpy(float) / multi
-                slope[ok] = (b[:, 2:] * np.arange(1, lags + 1)).sum(1) / b[:, 1:].sum(1)
-            yield pdf[["id", "mon", "beta", "idiovol"]].assign(betasq=pdf["beta"] ** 2, pricedelay=delay, pricedelay_slope=slope)[["id", "mon", "beta", "betasq", "idiovol", "pricedelay", "pricedelay_slope"]]
+            one, r2, ivol = solve(pdf, sizes["_a"], "_a", least)
+            many, all_r2, _ = solve(pdf, sizes["_b"], "_b", least)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                delay = 1 - r2 / np.where(all_r2 != 0, all_r2, np.nan)
+                slope = (many[:, 2:] * np.arange(1, lags + 1)).sum(1) / many[:, 1:].sum(1)
+            yield pdf[["id", "mon"]].assign(beta=one[:, 1], betasq=one[:, 1] ** 2, idiovol=ivol, pricedelay=delay, pricedelay_slope=slope)
 
-    return rows.mapInPandas(run, f"id {kinds['id']}, mon long, beta double, betasq double, idiovol double, pricedelay double, pricedelay_slope double")
+    out = rows.mapInPandas(run, f"id {kinds['id']}, mon long, " + ", ".join(f"{n} double" for n in names))
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in names})
 
 
 def trend_factor(daily: DataFrame, days: tuple[int, ...] = (1, 3, 5, 10, 20, 50, 100, 200, 400, 600, 800, 1000)) -> DataFrame:
-    """id, mon, trend_factor: fitted return from normalised moving averages at the month's end and the mean of twelve months' coefficients."""
-    by_id = W.partitionBy("id").orderBy("date")
-    avg = {f"a{k}": F.when(F.count("prc_adj").over(by_id.rowsBetween(-(k - 1), 0)) == k, F.avg("prc_adj").over(by_id.rowsBetween(-(k - 1), 0)) / F.col("prc_adj")) for k in days}
+    """id, mon, trend_factor: fitted return from normalised moving averages at the month's end and the mean of twelve months' coefficients.
+
+    All averages come from one running sum of prices, and only a month's last row has them made into numbers.
+    """
+    rows = running(daily, {"_pn": F.col("prc_adj").isNotNull().cast("long"), "_ps": F.col("prc_adj").cast("double")}, ["id"], "date")
+    avg = {f"a{k}": F.when(window_sum("_pn", k, ["id"], "date") == k, window_sum("_ps", k, ["id"], "date") / k / F.col("prc_adj")) for k in days}
     names = list(avg)
-    rows = daily.withColumns(avg)
+    rows = rows.withColumns(avg)
     ends = rows.groupBy("id", "mon").agg(F.expm1(F.sum(F.log1p("ret"))).alias("ret"), F.max_by(F.struct(*names), "date").alias("a")).select("id", "mon", "ret", "a.*")
     by_mon = W.partitionBy("id").orderBy("mon")
     fit = ends.select("mon", "ret", *(F.lag(a).over(by_mon).alias(a) for a in names))
-    betas = grouped_ols(fit, ["mon"], "ret", names, constant=False)
+    betas = grouped_ols(fit, ["mon"], "ret", names, constant=False, least=len(names))
     year = W.orderBy("mon").rowsBetween(-11, 0)  # one row for each month
     mean = betas.select("mon", *(F.when(F.count(f"b_{a}").over(year) == 12, F.avg(f"b_{a}").over(year)).alias(f"m_{a}") for a in names))
     value = sum((F.col(a) * F.col(f"m_{a}") for a in names), F.lit(0.0))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from quantloom.operators.rolling import moment_columns, moments, running, solve
 
 from .spec import Terms, above, create, div, flag, nonzero, nz, replaced
 
@@ -41,27 +47,46 @@ def characteristics(df: DataFrame, wanted: list[str] | None = None, t: Terms = T
     return create(replaced(df, prepare(t)), formulas(t), wanted)
 
 
+#: Months whose residuals count, without the newest of them.
+_HORIZONS = (6, 12)
+
+
 def residual_momentum(df: DataFrame, factors: tuple[str, ...] = ("mktrf", "hml", "smb_ff"), window: int = 36, least: int = 24) -> DataFrame:
     """id, date, resff3_6_1, resff3_12_1: mean over deviation of the last residuals, without the newest, of rolling regressions.
 
-    Residuals don't come from sums, so an id's months, a few hundred rows, go to Python together.
+    The regressions come from running sums, and so do their residuals' mean and deviation: both are forms of the sums over the last
+    months with all values. A month without all values has those of the month before it.
     """
     cols = ["exret", *factors]
+    k, by_id = len(cols), W.partitionBy("id").orderBy("date")
+    rows = moments(df.select("id", "date", *cols), ["id"], "date", cols, window, "_m")
+    full = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in cols))
+    value = lambda i: F.when(full, F.col(cols[i]).cast("double") - F.col(f"_mo{i}"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    terms = {**{f"s{i}": value(i) for i in range(k)}, **{f"p{i}_{j}": value(i) * value(j) for i, j in pairs}}
+    rows = running(rows, {f"_c{x}": v for x, v in terms.items()}, ["id"], "date").withColumn("_full", full)
+    within = W.partitionBy("id", "_full").orderBy("date")
+    before = lambda x, n: F.coalesce(F.lag(f"_c{x}", n).over(within), F.lit(0.0))
+    recent = F.struct(*((before(x, 1) - before(x, h)).alias(f"h{h}{x}") for h in _HORIZONS for x in terms))
+    rows = rows.withColumn("_h", recent).withColumn("_h", F.last(F.when(F.col("_full"), F.col("_h")), ignorenulls=True).over(by_id))
+    sums = rows.select("id", "date", *moment_columns(k, "_m"), "_h.*")
+    names = [f"resff3_{h}_1" for h in _HORIZONS]
 
-    def run(pdf):
-        pdf = pdf.sort_values("date")
-        x = pdf[cols].to_numpy(float)
-        fine = ~np.isnan(x).any(1)
-        out = np.full((len(x), 2), np.nan)
-        for i in range(least - 1, len(x)):
-            rows = x[max(0, i - window + 1) : i + 1][fine[max(0, i - window + 1) : i + 1]]
-            if len(rows) >= least:
-                a = np.column_stack([np.ones(len(rows)), rows[:, 1:]])
-                e = rows[:, 0] - a @ np.linalg.lstsq(a, rows[:, 0], rcond=None)[0]
-                for k, n in enumerate((6, 12)):
-                    s = e[-n:-1]
-                    out[i, k] = s.mean() / s.std(ddof=1) if s.std(ddof=1) > 0 else np.nan
-        return pdf[["id", "date"]].assign(resff3_6_1=out[:, 0], resff3_12_1=out[:, 1])
+    def run(batches):
+        for pdf in batches:
+            b = solve(pdf, k, "_m", least)[0][:, 1:]
+            w = np.column_stack([np.ones(len(b)), -b])  # a residual's weights
+            out = pdf[["id", "date"]].copy()
+            n = np.maximum(pdf["_mn"].to_numpy(float), 1)
+            level = (w * np.stack([pdf[f"_ms{i}"].to_numpy(float) for i in range(k)], 1)).sum(1) / n
+            for h, name in zip(_HORIZONS, names):
+                total = (w * np.stack([pdf[f"h{h}s{i}"].to_numpy(float) for i in range(k)], 1)).sum(1)
+                square = sum((1 + (i != j)) * w[:, i] * w[:, j] * pdf[f"h{h}p{i}_{j}"].to_numpy(float) for i, j in pairs)
+                variance = (square - total**2 / (h - 1)) / (h - 2)
+                some = variance > 1e-12 * square
+                out[name] = np.where(some, (total / (h - 1) - level) / np.sqrt(np.where(some, variance, 1)), np.nan)
+            yield out
 
     kinds = dict(df.dtypes)
-    return df.select("id", "date", *cols).groupBy("id").applyInPandas(run, f"id {kinds['id']}, date date, resff3_6_1 double, resff3_12_1 double")
+    out = sums.mapInPandas(run, f"id {kinds['id']}, date date, " + ", ".join(f"{c} double" for c in names))
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in names})

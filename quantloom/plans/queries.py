@@ -11,6 +11,7 @@ from quantloom.operators import analytics as A
 from quantloom.operators import cross as X
 from quantloom.operators import joins as J
 from quantloom.operators import portfolio as P
+from quantloom.operators import rolling
 from quantloom.operators.panel import MONTHLY, Panel, add_months
 from quantloom.plans.panels import PA, PD, PM, frame, monthly, oracle, table, yearly
 
@@ -138,6 +139,24 @@ def rolling_ols(spark, sf_dir):
     return rounded(p.df.select("id", "date", *(r[k].alias(k) for k in ("beta", "r2", "ivol"))))
 
 
+_W36 = "over (partition by id order by date rows between 35 preceding and current row)"
+_TWO = "select id, date, case when (id + month(date)) % 7 <> 0 then ret end as y, cast(cnt as double) as a, qty / cnt as b from pm"
+_SUMS = ", ".join(f"sum(case when y + a + b is not null then {x} end) {_W36} as s{k}" for k, x in {"n": "1", "y": "y", "a": "a", "b": "b", "yy": "y * y", "aa": "a * a", "bb": "b * b", "ab": "a * b", "ya": "y * a", "yb": "y * b"}.items())
+_CENTRAL = ", ".join(f"s{i}{j} - s{i} * s{j} / sn as c{i}{j}" for i, j in ("yy", "aa", "bb", "ab", "ya", "yb"))
+
+
+@query(f"""
+, v as ({_TWO}), s as (select id, date, {_SUMS} from v), c as (select *, {_CENTRAL} from s where sn >= 24), d as (select *, caa * cbb - cab * cab as det from c),
+b as (select *, (cya * cbb - cyb * cab) / det as ba, (cyb * caa - cya * cab) / det as bb from d where det > 1e-9 * caa * cbb),
+r as (select *, ba * cya + bb * cyb as fit from b)
+select v.id, v.date, round(sy / sn - ba * sa / sn - bb * sb / sn, 6) as const, round(ba, 6) as b_a, round(bb, 6) as b_b, round(fit / cyy, 6) as r2, round(sqrt(greatest(0, cyy - fit) / (sn - 1)), 6) as ivol
+from v left join r using (id, date)""")
+def rolling_ols_multi(spark, sf_dir):
+    p = monthly(spark, sf_dir)
+    df = p.df.selectExpr("id", "date", "case when (id + month(date)) % 7 <> 0 then ret end as y", "cast(cnt as double) as a", "qty / cnt as b")
+    return rounded(rolling.rolling_regression(p.of(df), "y", ["a", "b"], 36, 24))
+
+
 # Cross-section
 
 

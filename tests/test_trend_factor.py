@@ -29,7 +29,7 @@ def test_twelve_windows_agree_with_numpy(spark):
     betas = {}
     for mon in sorted({x[0] for x in rows}):
         here = [(y, x) for k, y, x in rows if k == mon and np.isfinite(y) and np.isfinite(x).all()]
-        if len(here) > len(DAYS):
+        if len(here) >= len(DAYS):  # as many rows as coefficients will do
             betas[mon] = np.linalg.lstsq(np.array([x for _, x in here]), np.array([y for y, _ in here]), rcond=None)[0]
     have = [(k, v) for k, v in got.items() if v is not None and np.isfinite(v)]
     assert len(have) > 100
