@@ -58,6 +58,13 @@ def setting(spark: SparkSession, name: str, value: str):
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, texts: int):
+    """Within, scans of Parquet hold few rows of texts at a time, and about `texts` bytes of them go to a Python worker."""
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(texts)), setting(spark, "spark.sql.parquet.columnarReaderBatchSize", "512"):
+        yield
+
+
 def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
     row_groups: bytes of Parquet's row groups, for tables of long binary values. The shuffle files of what went before are deleted

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, materialise, setting, slices
+from .common import documents, give_back, materialise, slices, small_batches
 from .tokenfiles import BATCH, VOCABULARY, _encoder
 
 CAPACITY = 1024
@@ -152,7 +152,7 @@ def encoded(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p)), pa.array(rest), pa.array(k), pa.array(f), b.column("doc_id").cast(pa.int64()), pa.array(n), ids], names=["p", "rest", "k", "full", "doc_id", "n", "ids"])
         give_back()
 
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+    with small_batches(docs.sparkSession, BATCH):
         return materialise(docs.select("doc_id", "text").mapInArrow(run, "p long, rest long, k long, full long, doc_id long, n long, ids binary"), 16 << 20)
 
 
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
 
     def run(batches):
         for batch in batches:
-            for b in slices([batch], "ids", 8_000_000):
+            for b in slices([batch], "ids"):
                 n, rest, k, full = (b.column(c).to_numpy() for c in ("n", "rest", "k", "full"))
                 row, window, offset, length = places(made, rest, k)
                 count = n // capacity
@@ -198,8 +198,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), tokens, pa.array(window), pa.array(offset), out], schema=PIECE)
         give_back()
 
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
-        return pieces.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    with small_batches(docs.sparkSession, BATCH):
+        return materialise(pieces.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"), 16 << 20)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
