@@ -147,7 +147,7 @@ def encoded(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
             k[order] = np.arange(len(n)) - first + seen[rest[order]]
             f[order] = before - before[first] + full[rest[order]]
             np.add.at(seen, rest, 1), np.add.at(full, rest, windows)
-            raw, at = memoryview(flat.tobytes()), (ends * width).tolist()
+            raw, at = flat.tobytes(), (ends * width).tolist()  # bytes: Arrow keeps what a memoryview shows for good
             ids = pa.array([raw[i:j] for i, j in zip([0, *at], at)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), p)), pa.array(rest), pa.array(k), pa.array(f), b.column("doc_id").cast(pa.int64()), pa.array(n), ids], names=["p", "rest", "k", "full", "doc_id", "n", "ids"])
         give_back()
@@ -192,7 +192,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
                 width = int((at[-1] - at[0]) // max(1, n.sum()))
                 flat = np.frombuffer(ids.buffers()[2], np.uint8)[at[0] : at[-1]].view(f"<u{width}").astype("<u4")
                 place = ((at[:-1] - at[0]) // width)[row] + start
-                raw = memoryview(flat).cast("B")
+                raw = flat.tobytes()
                 out = pa.array([raw[i:j] for i, j in zip((place * 4).tolist(), ((place + length) * 4).tolist())], pa.binary())
                 doc, tokens = b.column("doc_id").take(pa.array(row)), pa.array(n[row])
                 yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(length), tokens, pa.array(window), pa.array(offset), out], schema=PIECE)

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, materialise, mix64, scratch_dir, setting, slices
+from .common import documents, give_back, materialise, mix64, scratch_dir, slices, small_batches
 from .pieces import PieceEncoder
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 12_000_000
 BATCH = 4_000_000  # bytes of texts that go to a Python worker at a time
-MEMORY = 80_000_000  # bytes of pieces that a Python worker remembers
+MEMORY = 120_000_000  # bytes of pieces that a Python worker remembers
 _TOGETHER = 512  # pieces: the library takes some hundred bytes for each letter, and more time for longer strings
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
@@ -186,7 +186,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
         ids, upto, end = [], [], 0
         for b in slices(batches):
             flat, ends = encode(b.column("text"), b"\0" * width)
-            raw, at = memoryview(flat.tobytes()), (ends * width).tolist()
+            raw, at = flat.tobytes(), (ends * width).tolist()  # bytes: Arrow keeps what a memoryview shows for good
             ids.append(pa.array(b.column("doc_id").to_pylist(), pa.int64())), upto.append(ends + end)
             end += len(flat)
             yield pa.RecordBatch.from_arrays([pa.array([raw[i : j - 1] for i, j in zip([0, *at], at)], pa.binary())], names=["value"])
@@ -198,7 +198,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.repartitionByRange(max(1, -(-chars // shard_chars)), *order).sortWithinPartitions(*order)
     out = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none")
-    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)):
+    with small_batches(docs.sparkSession, BATCH):
         out.text(path)
 
 
