@@ -1,7 +1,8 @@
 """Cross-sectional operators: within a group, usually a date.
 
 Quantiles are exact, with linear interpolation. Breakpoints are aggregates of one row per group, computed for several columns in one
-pass, and joined back; the join is a broadcast where Spark finds the breakpoints small.
+pass, and joined back; the join is a broadcast where Spark finds the breakpoints small. Without a group they are those of the whole
+table: selection of ranks finds them at once, as numbers, and no task ever holds the column.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clamp, col, div
+from quantloom.operators.selection import exact_quantiles
 
 
 def quantile(c: str | Column, q: float) -> Column:
@@ -31,26 +33,28 @@ def breakpoints(df: DataFrame, group: list[str], of: dict[str, tuple[str | Colum
     return df.groupBy(*group).agg(*(quantile(c, q).alias(f"{k}_{i}") for k, (c, qs) in of.items() for i, q in enumerate(qs)))
 
 
-def _joined(df: DataFrame, group: list[str], cuts: DataFrame) -> DataFrame:
-    return df.join(cuts, group, "left") if group else df.join(cuts)
+def with_breakpoints(df: DataFrame, group: list[str], of: dict[str, tuple[str | Column, list[float]]]) -> DataFrame:
+    """df with the columns that breakpoints() has."""
+    if group:
+        return df.join(breakpoints(df, group, of), group, "left")
+    return df.withColumns({f"{k}_{i}": F.lit(x).cast("double") for k, xs in exact_quantiles(df, of).items() for i, x in enumerate(xs)})
 
 
 def classify(df: DataFrame, column: str, split: int | list[float], out: str, group: list[str], by: Column | None = None, ascending: bool = True) -> DataFrame:
     """Class 0, 1, ... by quantile, intervals closed on the right. `by`: values that give the cuts, e.g. those of one exchange; none of them: null."""
     qs = levels(split)
-    cuts = breakpoints(df, group, {"_q": (by if by is not None else column, qs)})
     above = reduce(lambda a, b: a + b, ((F.col(column) > F.col(f"_q_{i}")).cast("int") for i in range(len(qs))), F.lit(0))
     cls = above if ascending else len(qs) - above
     known = F.col(column).isNotNull() & (F.col("_q_0").isNotNull() if qs else F.lit(True))
-    return _joined(df, group, cuts).withColumn(out, F.when(known, cls)).drop(*(f"_q_{i}" for i in range(len(qs))))
+    wide = with_breakpoints(df, group, {"_q": (by if by is not None else column, qs)})
+    return wide.withColumn(out, F.when(known, cls)).drop(*(f"_q_{i}" for i in range(len(qs))))
 
 
 def _limits(df: DataFrame, column: str, limits: tuple, group: list[str], by: Column | None) -> tuple[DataFrame, Column, Column]:
     lo, hi = limits
     of = {k: (by if by is not None else column, [q]) for k, q in (("_lo", lo), ("_hi", None if hi is None else 1 - hi)) if q is not None}
-    cuts = breakpoints(df, group, of)
     at = lambda k: F.col(f"{k}_0") if k in of else F.lit(None).cast("double")
-    return _joined(df, group, cuts), at("_lo"), at("_hi")
+    return with_breakpoints(df, group, of), at("_lo"), at("_hi")
 
 
 def trim(df: DataFrame, column: str, limits: tuple, out: str, group: list[str], by: Column | None = None) -> DataFrame:
@@ -73,9 +77,12 @@ def winsorize(df: DataFrame, column: str, limits: tuple, out: str, group: list[s
     """Values beyond the quantiles become the nearest value there is within them."""
     wide, lo, hi = _limits(df, column, limits, group, by)
     x = by if by is not None else F.col(column)
-    ends = wide.withColumns({"_a": lo, "_b": hi})
-    ends = ends.groupBy(*group).agg(F.min(F.when(x >= F.col("_a"), x)).alias("_least"), F.max(F.when(x <= F.col("_b"), x)).alias("_most"))
-    done = _joined(df, group, ends)
+    inner = {"_least": F.min(F.when(x >= lo, x)), "_most": F.max(F.when(x <= hi, x))}
+    if group:
+        done = df.join(wide.groupBy(*group).agg(*(v.alias(k) for k, v in inner.items())), group, "left")
+    else:
+        ends = wide.agg(*(v.alias(k) for k, v in inner.items())).first()
+        done = df.withColumns({k: F.lit(ends[k]) for k in inner})
     return done.withColumn(out, clamp(column, F.col("_least"), F.col("_most"))).drop("_least", "_most")
 
 
@@ -113,12 +120,11 @@ def anomalies(df: DataFrame, column: str, id: str, date: str, out: str, kinds: t
     w, x = W.partitionBy(id).orderBy(date), F.col(column).cast("double")
     wide = df.withColumns({"_before": div(x, F.lag(x).over(w)) - 1, "_after": div(x, F.lead(x).over(w)) - 1, "_value": x})
     names = [c for kind, cs in (("change", ["_before", "_after"]), ("value", ["_value"])) if kind in kinds for c in cs]
-    bounds = [quantile(c, q).alias(f"{c}_{k}") for c in names for k, q in (("l", tails[0]), ("m", 0.5), ("u", tails[1]))]
-    share = div(F.count_if(F.col("_value") < 0), F.count("_value")).alias("_negative")
-    wide = wide.crossJoin(F.broadcast(wide.agg(*bounds, share)))
+    bounds = exact_quantiles(wide, {c: (c, [tails[0], 0.5, tails[1]]) for c in names}) if names else {}
+    negative = wide.agg(div(F.count_if(F.col("_value") < 0), F.count("_value"))).first()[0] if "negative" in kinds else None
 
     def beyond(c: str) -> Column:
-        v, low, mid, high = (F.col(f"{c}{k}") for k in ("", "_l", "_m", "_u"))
+        v, (low, mid, high) = F.col(c), (F.lit(x).cast("double") for x in bounds[c])
         return F.coalesce((v < low - multiples[0] * (mid - low)) | (v > high + multiples[1] * (high - mid)), F.lit(False))
 
     odd = F.lit(False)
@@ -127,5 +133,5 @@ def anomalies(df: DataFrame, column: str, id: str, date: str, out: str, kinds: t
     if "value" in kinds:
         odd = odd | beyond("_value")
     if "negative" in kinds:
-        odd = odd | F.coalesce((F.col("_value") < 0) & (F.col("_negative") < rare_negative), F.lit(False))
+        odd = odd | F.coalesce((F.col("_value") < 0) & F.lit(negative is not None and negative < rare_negative), F.lit(False))
     return wide.withColumn(out, odd).select(*df.columns, out)
