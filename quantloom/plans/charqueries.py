@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crspd, crspm, factors, funda, fundq, linkqueries, merged  # noqa: F401 (linkqueries registers its own)
+from . import crspd, crspm, factors, funda, fundq, ledgerqueries, linkqueries, merged  # noqa: F401 (ledgerqueries and linkqueries register their own)
 from .panels import PA, PM, frame, oracle
 from .queries import QUERIES, rounded
 from .queries import ORACLES
@@ -32,9 +32,10 @@ _FUNDQ = f"(select id, date, {_items(fundq.RAW, 100)} from (select *, cast(year(
 _STOCK = f"""(select id, date, case when (id + month(date)) % 13 <> 0 then -0.0091731 * prc else 0.0091731 * prc end as prc, ret, ret - case when month(date) % 3 = id % 3 then 0.002 else 0 end as retx, qty as vol, 1000.0 * (10 + id % 7 + cnt) as shrout,
  cast(1 + id % 2 as double) as cfacpr, cast(1 as double) as cfacshr, exchcd, ind as permco, cast(2000 + ind * 173 as double) as hsiccd, case when month(date) % 3 = id % 3 and id % 5 <> 0 then cast(0.25 as double) end as cash_div, cast(0.002 as double) as rf, avg(ret) over (partition by date) as mktrf,
  avg(case when ind % 2 = 0 then ret else -ret end) over (partition by date) as hml, avg(case when exchcd = 1 then ret else -ret end) over (partition by date) as smb_ff from ({PM}) a)"""
+#: Ids grow with the table. Four suppliers are an id: one alone has some 600 days, and the longest moving average takes 1,000.
 _DAILY = """(select id, date, prc, prc * (0.98 - 0.001 * (id % 3)) as bidlo, case when day(date) % 11 = 0 then prc * 0.97 else prc * 1.02 end as askhi, prc / lag(prc) over (partition by id order by date) - 1 as ret, vol, 1000.0 * (20 + id) as shrout, cast(1 as double) as cfacpr, cast(id % 3 + 1 as int) as exchcd, cast(0.002 as double) as rf,
  0.01 * sin(0.7 * (year(date) * 366 + dayofyear(date))) + 0.0005 as mktrf, 0.008 * cos(0.3 * (year(date) * 366 + dayofyear(date))) as hml, 0.006 * sin(1.9 * (year(date) * 366 + dayofyear(date))) as smb_ff
- from (select l_suppkey % 10 as id, cast(l_shipdate as date) as date, round(sum(l_extendedprice), 2) / sum(l_quantity) / 100 as prc, case when sum(l_quantity) < 15 then 0 else sum(l_quantity) end as vol from {lineitem} group by l_suppkey % 10, cast(l_shipdate as date)) a)"""
+ from (select cast(floor(l_suppkey / 4) as bigint) as id, cast(l_shipdate as date) as date, 0.0091731 * round(sum(l_extendedprice), 2) / sum(l_quantity) as prc, case when sum(l_quantity) < 15 then 0 else sum(l_quantity) end as vol from {lineitem} group by cast(floor(l_suppkey / 4) as bigint), cast(l_shipdate as date)) a)"""
 
 
 def _double_quoted(source: str) -> str:
@@ -108,14 +109,6 @@ def _prepared(spark, sf_dir):
     return replaced(_daily(spark, sf_dir), crspd.prepare(_T))
 
 
-#: Ids that grow with the table. Four suppliers are an id: one alone has some 600 days, and the longest moving average takes 1,000.
-_MANY = _DAILY.replace("l_suppkey % 10", "l_suppkey div 4")
-
-
-def _prepared_many(spark, sf_dir):
-    return replaced(frame(spark, sf_dir, f"select * from {_MANY} t"), crspd.prepare(_T))
-
-
 def crspd_rmax5(spark, sf_dir):
     return rounded(crspd.five_largest(_prepared(spark, sf_dir)))
 
@@ -136,15 +129,15 @@ _Q_FACTORS = {c: f"{a} * {f}({b} * (year(date) * 366 + dayofyear(date)))" for c,
 
 
 def crspd_residuals(spark, sf_dir):
-    return crspd.residual_statistics(_prepared_many(spark, sf_dir).withColumns({c: F.expr(v) for c, v in _Q_FACTORS.items()}))
+    return crspd.residual_statistics(_prepared(spark, sf_dir).withColumns({c: F.expr(v) for c, v in _Q_FACTORS.items()}))
 
 
 QUERIES["crspd_residuals"] = crspd_residuals
-QUERIES["crspd_weekly"] = lambda spark, sf_dir: crspd.weekly(_prepared_many(spark, sf_dir))
+QUERIES["crspd_weekly"] = lambda spark, sf_dir: crspd.weekly(_prepared(spark, sf_dir))
 
 
 def crspd_trend_factor(spark, sf_dir):
-    return crspd.trend_factor(_prepared_many(spark, sf_dir))
+    return crspd.trend_factor(_prepared(spark, sf_dir))
 
 
 QUERIES["crspd_trend_factor"] = crspd_trend_factor

@@ -40,7 +40,7 @@ def of_month(g):
 
 def test_residuals_of_all_ids_agree_with_numpy(spark):
     got = cq.QUERIES["crspd_residuals"](spark, SF).toPandas().set_index(["id", "mon"])
-    daily = cq._prepared_many(spark, SF).selectExpr("id", "date", "mon", "exret", "mktrf", "hml", "smb_ff", *(f"{v} as {k}" for k, v in cq._Q_FACTORS.items())).toPandas().sort_values(["id", "date"]).drop(columns="date").astype(float)
+    daily = cq._prepared(spark, SF).selectExpr("id", "date", "mon", "exret", "mktrf", "hml", "smb_ff", *(f"{v} as {k}" for k, v in cq._Q_FACTORS.items())).toPandas().sort_values(["id", "date"]).drop(columns="date").astype(float)
     daily["lag"], daily["lead"] = daily.groupby("id")["mktrf"].shift(1), daily.groupby("id")["mktrf"].shift(-1)
     assert len(got) == daily.groupby(["id", "mon"]).ngroups
     seen = 0

@@ -14,7 +14,7 @@ DAYS = (1, 3, 5, 10, 20, 50, 100, 200, 400, 600, 800, 1000)
 
 def test_twelve_windows_agree_with_numpy(spark):
     got = {(r.id, r.mon): r.trend_factor for r in cq.QUERIES["crspd_trend_factor"](spark, SF).collect()}
-    daily = cq._prepared_many(spark, SF).selectExpr("id", "date", "mon", "cast(prc_adj as double) as p", "ret").toPandas().sort_values(["id", "date"])
+    daily = cq._prepared(spark, SF).selectExpr("id", "date", "mon", "cast(prc_adj as double) as p", "ret").toPandas().sort_values(["id", "date"])
     assert daily["id"].nunique() > 20
     rows, ends = [], {}
     for i, g in daily.groupby("id"):
