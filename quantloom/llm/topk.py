@@ -5,8 +5,8 @@ distances to a pivot is a lower bound of their distance, and with the norms an u
 
 Vectors are dealt into cells by their nearest centre, large cells into blocks. A query first asks its own block, which gives it a
 first k-th score. Then it goes only to cells whose bound, from the least and greatest distances of the cell to each pivot, reaches
-that score. In a block it evaluates candidates in the order of their bounds until none left reaches its k-th score so far. Each
-candidate is sent once, and a block's queries are read as a stream.
+that score. In a block candidates are evaluated in the order of their bounds until none left reaches a query's k-th score so far, for
+some hundred queries at a time. Each candidate is sent once, and a block's queries are read as a stream.
 
 Defined results: rows with a null vec_id, null vectors and such with null or non-finite components take no part. A shorter vector
 counts as one with zeros at its end. With fewer than k candidates all are given. Of rows with the same vec_id none is a candidate
@@ -28,6 +28,11 @@ from .common import materialise
 from .vectors import clean, matrix, sample
 
 
+_QUERIES = 256  # at a time
+_FEW = 4  # pivots that all candidates of a block are held against
+_PRODUCTS = 1024  # candidates at a time
+
+
 @dataclass(frozen=True)
 class TopKParams:
     k: int = 20
@@ -71,38 +76,89 @@ def _placed(points: np.ndarray, pivots: int, cells: int):
     return run
 
 
-def search(q: dict, c: dict, k: int):
-    """(query_id, vec_id, score) arrays: the best k of a block of candidates for each query, of those that reach its score so far."""
+def _ceilings(q: dict, c: dict, s: slice, pivots: slice, cols: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the inner products of queries and candidates by some pivots, and the lower bounds of their distances so far."""
+    low = np.zeros((len(q["id"][s]), len(cols))) if low is None else low
+    for a, b in zip(q["d"][s, pivots].T, c["d"][cols, pivots].T):
+        np.maximum(low, np.abs(a[:, None] - b), out=low)
+    total = q["sq"][s, None] + c["sq"][cols]
+    return (total - low * low) / 2 + 1e-9 * (1 + total), low  # and room for rounding
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, none) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k best scores, ties to smaller ids, and the ids; rows with fewer are filled with `none`."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero((scores >= least[:, None]) & (scores > none))
+    else:
+        row, col = np.nonzero(scores > none)
+    score, own = scores[row, col], ids[row, col]
+    order = np.lexsort((own, -score, row))
+    row, score, own = row[order], score[order], own[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    kept = place < k
+    out, who = np.full((len(scores), k), none, scores.dtype), np.zeros((len(scores), k), np.int64)
+    out[row[kept], place[kept]], who[row[kept], place[kept]] = score[kept], own[kept]
+    return out, who
+
+
+def search(q: dict, c: dict, k: int, count: list | None = None):
+    """(query_id, vec_id, score) arrays: the best k of a block of candidates for each query, of those that reach its score so far.
+
+    Many queries at a time: bounds by few pivots for all candidates, by all pivots for those that are left; then exact products in the
+    order of the bounds, until no query has a candidate left that reaches its k-th score. count: gets the number of products made.
+    """
     width = max(q["x"].shape[1], c["x"].shape[1])
     qx, cx = (np.pad(m["x"], ((0, 0), (0, width - m["x"].shape[1]))) for m in (q, c))
+    kind = np.float64
     if np.abs(qx).max(initial=0) * np.abs(cx).max(initial=0) * width >= 2**53:  # sums of doubles wouldn't be exact
-        qx, cx = qx.astype(np.int64), cx.astype(np.int64)
-    table = np.ascontiguousarray(c["d"].T)
+        qx, cx, kind = qx.astype(np.int64), cx.astype(np.int64), np.int64
+    none = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
     out = []
-    for i, x in enumerate(qx):
-        low = np.zeros(len(cx))
-        for p, d in zip(table, q["d"][i]):
-            np.maximum(low, np.abs(p - d), out=low)
-        total = q["sq"][i] + c["sq"]
-        bound = (total - low * low) / 2 + 1e-9 * (1 + total)  # and room for rounding
-        bound[c["id"] == q["id"][i]] = -np.inf
-        done, scores, kth = np.zeros(0, np.int64), np.zeros(0), q["kth"][i]
-        left = np.flatnonzero((bound >= kth) & (bound > -np.inf))
-        many = 4 * k
-        while len(left):
-            if len(left) > many:
-                left = left[np.argpartition(-bound[left], many - 1)[:many]]
-            done, scores, many = np.concatenate([done, left]), np.concatenate([scores, cx[left] @ x]), 1024
-            bound[left] = -np.inf
-            if len(scores) >= k:
-                kth = max(kth, np.partition(scores, len(scores) - k)[len(scores) - k])
-            left = np.flatnonzero((bound >= kth) & (bound > -np.inf))
-        best = np.lexsort((c["id"][done], -scores))[:k]
-        best = best[scores[best] >= q["kth"][i]]
-        out.append((np.full(len(best), q["id"][i]), c["id"][done[best]], scores[best].astype(np.int64)))
+    for first in range(0, len(qx), _QUERIES):
+        s = slice(first, min(first + _QUERIES, len(qx)))
+        kth = q["kth"][s].astype(float)
+        cols = np.arange(len(cx))
+        bound, low = _ceilings(q, c, s, slice(0, _FEW), cols, None)
+        bound[q["id"][s, None] == c["id"]] = -np.inf
+        known = np.isfinite(kth).any()
+        if known:  # without a score to reach no candidate can go
+            some = (bound >= kth[:, None]).any(0)
+            cols, bound, low = cols[some], bound[:, some], low[:, some]
+            itself = np.isneginf(bound)
+            bound, low = _ceilings(q, c, s, slice(_FEW, None), cols, low)
+            bound[itself] = -np.inf
+        order = np.argsort(-bound.max(0, initial=-np.inf), kind="stable")
+        cols, bound = cols[order], bound[:, order]
+        rest = np.maximum.accumulate(bound[:, ::-1], axis=1)[:, ::-1]
+        best, who = np.full((len(kth), k), none, kind), np.zeros((len(kth), k), np.int64)
+        at = 0
+        while at < len(cols):
+            ask = np.flatnonzero((rest[:, at] >= kth) & (rest[:, at] > -np.inf))
+            if not len(ask):
+                break
+            part = slice(at, at + (4 * k if at == 0 and not known else _PRODUCTS))
+            scores = qx[s][ask] @ cx[cols[part]].T
+            reaches = (bound[ask, part] >= kth[ask, None]) & (bound[ask, part] > -np.inf)
+            if count is not None:
+                count.append(scores.size)
+            scores = np.where(reaches, scores, none)
+            ids = np.broadcast_to(c["id"][cols[part]], scores.shape)
+            best[ask], who[ask] = _best(np.concatenate([best[ask], scores], 1), np.concatenate([who[ask], ids], 1), k, none)
+            full = best[ask, -1] > none
+            kth[ask] = np.where(full, np.maximum(kth[ask], _down(best[ask, -1])), kth[ask])
+            at = part.stop
+        row, col = np.nonzero(best > none)
+        out.append((q["id"][s][row], who[row, col], best[row, col].astype(np.int64)))
     return [np.concatenate(z) for z in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def _down(x: np.ndarray) -> np.ndarray:
+    """x as doubles that are no greater."""
+    y = x.astype(float)
+    return np.where(np.abs(y) < 2.0**53, y, y - np.abs(y) * 3e-16)
+
+
 def _arrays(bs: list[pa.RecordBatch]) -> dict:
     t = pa.Table.from_batches(bs)
     return {"id": t.column("vec_id").to_numpy(), "x": matrix(t.column("v").to_pylist()), "sq": t.column("sq").to_numpy(), "d": matrix(t.column("d").to_pylist()), "kth": t.column("kth").to_numpy()}
@@ -182,7 +238,9 @@ def top_k(queries: DataFrame, rows: DataFrame, p: TopKParams = TopKParams()) ->
         return both.mapInArrow(_asked(p.k), _MET)
 
     found = materialise(met(own))
-    kth = found.groupBy("query_id").agg(F.when(F.count("*") >= p.k, F.min("score").cast("double")).alias("k"))
+    least = F.min("score").cast("double")
+    down = F.when(F.abs(least) < 2.0**53, least).otherwise(least - F.abs(least) * 3e-16)  # no greater than the score itself
+    kth = found.groupBy("query_id").agg(F.when(F.count("*") >= p.k, down).alias("k"))
     known = queries.join(kth, F.col("vec_id") == F.col("query_id"), "left").select(*names, F.coalesce("k", F.lit(float("-inf"))).alias("kth"), block)
     more = known.mapInArrow(_reached(cells, low, high, norm, first, many), "vec_id long, v array<double>, sq double, d array<double>, kth double, block long, asks boolean")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -318,6 +318,32 @@ def test_exact_top_k(spark, embeddings):
     assert topk.top_k(table.where("false"), table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", [1, 1 << 26])
+def test_exact_top_k_of_large_scores_and_repeated_ids(spark, scale):
+    r = np.random.default_rng(9)
+    v = r.integers(-9, 10, (300, 6)) * scale + r.integers(0, 3, (300, 6))
+    v[50:90] = v[50]  # ties
+    ids = [i // 2 if i < 60 else i for i in range(300)]
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in zip(ids, v)], "vec_id long, v array<double>").repartition(3)
+    got = {(x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(table.where("vec_id % 5 = 0"), table, topk.TopKParams(k=7, block=40, centres=6, pivots=5)).collect()}
+    want = set()
+    for i in sorted(set(ids)):
+        if i % 5 == 0:
+            q = min(tuple(row) for j, row in zip(ids, v.tolist()) if j == i)
+            best = sorted((-sum(a * b for a, b in zip(q, row)), j) for j, row in zip(ids, v.tolist()) if j != i)[:7]
+            want |= {(i, k, j, -s) for k, (s, j) in enumerate(best, 1)}
+    assert got == want and (scale == 1 or max(s for *_, s in got) > 2**53)
+
+
+def test_exact_top_k_beyond_doubles(spark):
+    rows = [(1, 1 << 30, 1 << 30), (2, (1 << 30) + 1, (1 << 30) + 40), (3, (1 << 30) + 2, (1 << 30) + 38), (4, (1 << 30) + 3, (1 << 30) + 37), (5, (1 << 30) + 1, (1 << 30) + 39)]
+    table = spark.createDataFrame([(i, [float(a), float(b)]) for i, a, b in rows], "vec_id long, v array<double>")
+    query = spark.createDataFrame([(0, [float((1 << 30) + 1), float((1 << 30) + 3)])], "vec_id long, v array<double>")
+    got = [(r.vec_id, r.score) for r in topk.top_k(query, table, topk.TopKParams(k=3)).orderBy("rank").collect()]
+    best = sorted(((-(((1 << 30) + 1) * a + ((1 << 30) + 3) * b), i) for i, a, b in rows))[:3]
+    assert got == [(i, -s) for s, i in best]
+
+
 def test_forest_finds_the_links(spark, embeddings):
     out = rptree.near_duplicates(embeddings, rptree.ForestParams(leaf=60)).collect()
     fine = [(i, np.array(v, float)) for i, v in vectors() if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v)]
