@@ -76,13 +76,21 @@ def _placed(points: np.ndarray, pivots: int, cells: int):
     return run
 
 
-def _ceilings(q: dict, c: dict, s: slice, pivots: slice, cols: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Upper bounds of the inner products of queries and candidates by some pivots, and the lower bounds of their distances so far."""
-    low = np.zeros((len(q["id"][s]), len(cols))) if low is None else low
+def _farther(q: dict, c: dict, s: slice, pivots: slice, cols: np.ndarray, low: np.ndarray) -> None:
+    """Raises the lower bounds of distances to what some pivots give."""
+    gap = np.empty_like(low)
     for a, b in zip(q["d"][s, pivots].T, c["d"][cols, pivots].T):
-        np.maximum(low, np.abs(a[:, None] - b), out=low)
+        np.subtract(a[:, None], b, out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(low, gap, out=low)
+
+
+def _ceilings(q: dict, c: dict, s: slice, cols: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Upper bounds of inner products, -inf for a query itself."""
     total = q["sq"][s, None] + c["sq"][cols]
-    return (total - low * low) / 2 + 1e-9 * (1 + total), low  # and room for rounding
+    bound = (total - low * low) / 2 + 1e-9 * (1 + total)  # and room for rounding
+    bound[q["id"][s, None] == c["id"][cols]] = -np.inf
+    return bound
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, none) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +113,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, none) -> tuple[np.ndarray
 def search(q: dict, c: dict, k: int, count: list | None = None):
     """(query_id, vec_id, score) arrays: the best k of a block of candidates for each query, of those that reach its score so far.
 
-    Many queries at a time: bounds by few pivots for all candidates, by all pivots for those that are left; then exact products in the
-    order of the bounds, until no query has a candidate left that reaches its k-th score. count: gets the number of products made.
+    Many queries at a time: bounds by some pivots for all candidates, by more of them as long as these rule out an eighth of what is
+    left; then exact products in the order of the bounds, until no query has a candidate left that reaches its k-th score. count: gets the number of products made.
     """
     width = max(q["x"].shape[1], c["x"].shape[1])
     qx, cx = (np.pad(m["x"], ((0, 0), (0, width - m["x"].shape[1]))) for m in (q, c))
@@ -119,15 +127,18 @@ def search(q: dict, c: dict, k: int, count: list | None = None):
         s = slice(first, min(first + _QUERIES, len(qx)))
         kth = q["kth"][s].astype(float)
         cols = np.arange(len(cx))
-        bound, low = _ceilings(q, c, s, slice(0, _FEW), cols, None)
-        bound[q["id"][s, None] == c["id"]] = -np.inf
-        known = np.isfinite(kth).any()
-        if known:  # without a score to reach no candidate can go
+        low, used, known = np.zeros((len(kth), len(cols))), 0, np.isfinite(kth).any()
+        while True:
+            _farther(q, c, s, slice(used, used + _FEW), cols, low)
+            used += _FEW
+            bound = _ceilings(q, c, s, cols, low)
             some = (bound >= kth[:, None]).any(0)
-            cols, bound, low = cols[some], bound[:, some], low[:, some]
-            itself = np.isneginf(bound)
-            bound, low = _ceilings(q, c, s, slice(_FEW, None), cols, low)
-            bound[itself] = -np.inf
+            gone = len(cols) - int(some.sum())
+            if known and gone:
+                cols, bound, low = cols[some], bound[:, some], low[:, some]
+            # Further pivots are worth it while they rule out; without a score to reach none can.
+            if not known or used >= q["d"].shape[1] or 8 * gone < gone + len(cols):
+                break
         order = np.argsort(-bound.max(0, initial=-np.inf), kind="stable")
         cols, bound = cols[order], bound[:, order]
         rest = np.maximum.accumulate(bound[:, ::-1], axis=1)[:, ::-1]
