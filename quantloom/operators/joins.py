@@ -86,12 +86,26 @@ def to_usd(df: DataFrame, rates: DataFrame, date: str, currency: str, columns: l
     return j.withColumns({c: F.when(F.col(currency) != "USD", F.col(c) * F.col("_rate")).otherwise(F.col(c)) for c in columns}).drop("_d", "_cur", "_rate")
 
 
-def delisting_returns(stocks: DataFrame, events: DataFrame, id: str, date: str, method: int = 1) -> DataFrame:
+def carried(df: DataFrame, id: str, date: str, columns: list[str]) -> DataFrame:
+    """df with an id's last known values where there are none."""
+    run = W.partitionBy(id).orderBy(date).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(run) for c in columns})
+
+
+def delisting_returns(stocks: DataFrame, events: DataFrame, id: str, date: str, method: int = 1, codes: tuple[str, ...] = ()) -> DataFrame:
     """Returns that include delisting returns, and cash dividends. stocks: ret; events: dlret, dlstcd, exchcd, distcd, divamt, dates as in stocks.
 
+    codes: columns of share and exchange codes, which are often missing from a delisting on: in stocks the last known one counts, and
+    an event without an exchange code has that which the stock had last.
+
     A missing delisting return of code 500 or 520 to 584 is, by method 1, -0.30; by method 2 -0.35 on exchanges 1 and 2 and -0.55 on 3.
     Distributions are cash if the hundreds digit of their code is 2 or 3; a date with others only has 0.
     """
+    if codes:
+        stocks = carried(stocks, id, date, list(codes))
+    if "exchcd" in codes:
+        known = stocks.where(F.col("exchcd").isNotNull()).select(id, F.col(date).alias("_since"), F.col("exchcd").alias("_exchcd"))
+        events = asof(events, known, id, date, "_since", values=["_exchcd"]).withColumn("exchcd", F.coalesce("exchcd", "_exchcd")).drop("_exchcd")
     code = F.col("dlstcd")
     bad = (code == 500) | code.between(520, 584)
     fill = F.lit(-0.30) if method == 1 else F.when(F.col("exchcd").isin(1, 2), -0.35).when(F.col("exchcd") == 3, -0.55)

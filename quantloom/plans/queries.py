@@ -478,19 +478,36 @@ def evaluate_series(spark, sf_dir):
     return rounded(e.select("pf", "date", "mean", "std", "cum_ret", "mdd", "msd", "turnover", F.round("sharpe", 5).alias("sharpe")))
 
 
-_EVENT = "ev as (select id, date, case when cnt % 3 = 0 then -0.1 end as dlret, cast(case when cnt % 4 = 0 then 400 + (id * 7) % 190 end as double) as dlstcd, cast(exchcd as double) as exchcd, cast(1000 + (id * 31 + month(date)) % 600 as double) as distcd, sale / 1000 as divamt from pm where id % 5 = 0) "
+#: Events of two thirds of all months of all ids; codes of the exchange are missing at times, there and in the stocks.
+_MOMENTS = {"dlret": "cast(case when cnt % 3 = 0 then -0.1 end as double)", "dlstcd": "cast(case when (cnt + id) % 4 = 0 then 400 + (id * 7 + month(date) * 31) % 190 end as double)", "exchcd": "cast(case when (id + month(date)) % 4 = 1 then exchcd end as double)", "distcd": "cast(1000 + (id * 31 + month(date)) % 600 as double)", "divamt": "sale / 1000"}
+_EVENTS = f"select id, date, {', '.join(f'{v} as {k}' for k, v in _MOMENTS.items())} from pm where (id + month(date)) % 3 <> 0"
+_CODED = "select id, date, ret, cast(case when (id + month(date)) % 5 in (0, 3) then exchcd end as double) as exchcd, case when month(date) % 4 = 0 then 10 + id % 3 end as shrcd from pm"
 
 
-def _events(spark, sf_dir):
-    df = monthly(spark, sf_dir).df.where("id % 5 = 0")
-    e = {"dlret": "cast(case when cnt % 3 = 0 then -0.1 end as double)", "dlstcd": "cast(case when cnt % 4 = 0 then 400 + (id * 7) % 190 end as double)", "exchcd": "cast(exchcd as double)", "distcd": "cast(1000 + (id * 31 + month(date)) % 600 as double)", "divamt": "sale / 1000"}
-    return df.selectExpr("id", "date", *(f"{v} as {k}" for k, v in e.items()))
+def _delisting_sql(fill: str) -> str:
+    carry = f"last_value(%s ignore nulls) {_ID}"
+    return f""", sk as (select id, date, ret, {carry % 'exchcd'} as exchcd, {carry % 'shrcd'} as shrcd from ({_CODED}) s), ev as ({_EVENTS}),
+ ex as (select ev.* exclude (exchcd), coalesce(ev.exchcd, k.exchcd) as exchcd from ev asof left join (select * from sk where exchcd is not null) k on ev.id = k.id and ev.date >= k.date),
+ dl as (select id, date, coalesce(dlret, case when dlstcd = 500 or dlstcd between 520 and 584 then {fill} end) as dlret from ex where dlstcd is not null),
+ ca as (select id, date, case when floor(distcd / 100) % 10 in (2, 3) then divamt else 0 end as cash_div from ex)
+ select sk.id, sk.date, round(case when coalesce(ret, dlret) is not null then (1 + coalesce(ret, 0)) * (1 + coalesce(dlret, 0)) - 1 end, 6) as ret, round(dlret, 6) as dlret, round(cash_div, 6) as cash_div, exchcd, cast(shrcd as int) as shrcd from sk left join dl using (id, date) left join ca using (id, date)"""
 
 
-@query(f", {_EVENT}, dl as (select id, date, coalesce(dlret, case when dlstcd = 500 or dlstcd between 520 and 584 then case when exchcd in (1, 2) then -0.35 when exchcd = 3 then -0.55 end end) as dl from ev where dlstcd is not null), ca as (select id, date, case when floor(distcd / 100) % 10 in (2, 3) then divamt else 0 end as divamt from ev) select pm.id, pm.date, round(case when coalesce(ret, dl) is not null then (1 + coalesce(ret, 0)) * (1 + coalesce(dl, 0)) - 1 end, 6) as ret, round(divamt, 6) as cash_div from pm left join dl using (id, date) left join ca using (id, date)")
+def _delisted(spark, sf_dir, method: int):
+    pm = monthly(spark, sf_dir).df
+    stocks, events = (spark.sql(x.replace("from pm", "from {pm}"), pm=pm) for x in (_CODED, _EVENTS))
+    out = J.delisting_returns(stocks, events, "id", "date", method, ("exchcd", "shrcd"))
+    return rounded(out.select("id", "date", "ret", "dlret", "cash_div", "exchcd", F.col("shrcd").cast("int").alias("shrcd")))
+
+
+@query(_delisting_sql("-0.30"))
+def delisting_returns_1(spark, sf_dir):
+    return _delisted(spark, sf_dir, 1)
+
+
+@query(_delisting_sql("case when exchcd in (1, 2) then -0.35 when exchcd = 3 then -0.55 end"))
 def delisting_returns(spark, sf_dir):
-    stocks = monthly(spark, sf_dir).df.select("id", "date", "ret", "exchcd")
-    return rounded(J.delisting_returns(stocks, _events(spark, sf_dir), "id", "date", 2).select("id", "date", "ret", "cash_div"))
+    return _delisted(spark, sf_dir, 2)
 
 
 _CUR = "case id % 3 when 0 then 'USD' when 1 then 'CAD' else 'EUR' end"
