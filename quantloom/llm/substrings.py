@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import documents, materialise, mix64, slices
+from .common import documents, materialise, mix64, slices, small_batches
 
 WINDOW = 50
 PERIOD = 31
@@ -27,6 +27,8 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 ANCHOR = WINDOW - PERIOD + 1
 _M = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_TEXTS = 4_000_000  # bytes of texts that go to a Python worker at a time
+_GROUPS = 16 << 20  # bytes of a written table's row groups
 _POWERS: list[np.ndarray] = []
 
 
@@ -97,7 +99,7 @@ def _windows(batches):
 
 def _kept(batches):
     names = ["doc_id", "t1", "t2", "n_words", "n_removed", "kept_sha256", "kept_text"]
-    for b in batches:
+    for b in slices(batches):
         removed, digest, texts = [], [], []
         for n, copy, sha, x, pos in zip(*(b.column(c).to_pylist() for c in ("n_words", "copy", "sha", "text")), b.column("pos")):
             if not pos.is_valid:
@@ -116,7 +118,11 @@ def _kept(batches):
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, t1, t2 (hashes of the text), n_words, n_removed, kept_sha256, kept_text (null: nothing removed) of each row of docs."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    with small_batches(docs.sparkSession, _TEXTS):
+        return _removed(docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")))
+
+
+def _removed(docs: DataFrame) -> DataFrame:
     anchors = docs.where("doc_id is not null").select("text", "t1").mapInArrow(_anchors, "h long, t1 long")
     shared = materialise(anchors.groupBy("h").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).where("lo < hi").select("h"))
     hits = anchors.join(shared, "h", "left_semi").groupBy("t1").agg(F.collect_set("h").alias("hs"))
@@ -124,14 +130,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = docs.where("doc_id is not null").groupBy("t1", "t2").agg(F.min("doc_id").alias("first"))
     classes = materialise(classes.join(hits, "t1", "left"))
     cand = docs.join(classes, ["t1", "t2"], "left").select("doc_id", "t1", "t2", "text", "hs", (F.col("doc_id") > F.col("first")).alias("copy")).mapInArrow(_windows, _CAND_DDL)
-    cand = materialise(cand)
+    cand = materialise(cand, _GROUPS)
     rows = cand.where("pos is not null").select("doc_id", F.inline(F.arrays_zip("w1", "w2", "pos")))
     least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
     key = ["doc_id", "t1", "t2"]
     rows = cand.where("pos is not null").select(*key, F.inline(F.arrays_zip("w1", "w2", "pos")))
     gone = rows.join(materialise(least), ["w1", "w2"]).where("doc_id > lo").groupBy(key).agg(F.collect_set("pos").alias("pos"))
     out = cand.drop("pos", "w1", "w2").join(gone, key, "left").select(*key, "n_words", "copy", "sha", "text", "pos")
-    return out.mapInArrow(_kept, "doc_id long, t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return materialise(out.mapInArrow(_kept, "doc_id long, t1 long, t2 long, n_words long, n_removed long, kept_sha256 string, kept_text string"), _GROUPS)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
