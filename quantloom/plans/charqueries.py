@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crspd, crspm, factors, funda, fundq, ledgerqueries, linkqueries, merged, spanqueries  # noqa: F401 (ledgerqueries, linkqueries and spanqueries register their own)
+from . import crspd, crspm, factorqueries, factors, funda, fundq, ledgerqueries, linkqueries, merged, spanqueries  # noqa: F401 (those named queries register their own)
 from .panels import PA, PM, frame, oracle
 from .queries import QUERIES, rounded
 from .queries import ORACLES

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import div
 from quantloom.operators.analytics import weighted
 from quantloom.operators.cross import breakpoints
+from quantloom.operators.selection import exact_quantiles
 
 #: Factors by model: name -> (characteristic, whether high is good, name of its size factor).
 MODELS = {
@@ -21,6 +22,48 @@ MODELS = {
 }
 
 
+#: The name of each model's size factor.
+SIZE_FACTORS = {"ff3": "smb_ff", "ff5": "smb_ff5", "hxz4": "smb_hxz", "sy4": "smb_sy"}
+
+
+def held_next(df: DataFrame, ret: str = "exret", size: str = "me", id: str = "id", date: str = "date", primary: str | None = "primary") -> DataFrame:
+    """Rows for sorts: all columns but `ret` as they were a row of the id before, so that they are known when the return begins; rows
+    without a return or a size go, and so do those that weren't primary."""
+    by = W.partitionBy(id).orderBy(date)
+    out = df.withColumns({c: F.lag(c).over(by) for c in df.columns if c not in (id, date, ret)}).where(F.col(ret).isNotNull() & F.col(size).isNotNull())
+    return out.where(F.coalesce(F.col(primary), F.lit(False))) if primary else out
+
+
+def daily_held_next(daily: DataFrame, monthly: DataFrame, chars: list[str], ret: str = "exret", size: str = "me", id: str = "id", date: str = "date", primary: str | None = "primary") -> DataFrame:
+    """Daily rows for sorts: as held_next(), with the monthly characteristics of the month in which the day before lies."""
+    own = daily.withColumn("_month", F.last_day(date))
+    rows = held_next(own, ret, size, id, date, primary)
+    return rows.join(monthly.select(id, F.last_day(date).alias("_month"), *chars), [id, "_month"], "left").drop("_month")
+
+
+def factor_models(df: DataFrame, models: dict[str, dict[str, tuple[str, bool]]] = MODELS, size_factors: dict[str, str] = SIZE_FACTORS, ret: str = "exret", size: str = "me", date: str = "date", rf: str | None = "rf", **how) -> DataFrame:
+    """date, mktrf, rf, and the factors of all models with their size factors, of rows for sorts, monthly or daily.
+
+    The models are one plan: a characteristic that several factors sort on has its breakpoints and portfolios once, all breakpoints
+    are one aggregate, and all portfolios are another. A model's size factor is the mean over its factors.
+    """
+    sorts: dict[tuple[str, bool], str] = {}
+    for factors in models.values():
+        for name, sort in factors.items():
+            sorts.setdefault(sort, name)
+    by = factor_portfolios(df, {name: sort for sort, name in sorts.items()}, ret, size, size, date, size_factor=None, **how)
+    out = {"mktrf": F.col("mkt")}
+    for m, factors in models.items():
+        own = [sorts[s] for s in factors.values()]
+        out |= {size_factors[m]: reduce(lambda a, b: a + b, (F.col(f"smb_{k}") for k in own)) / len(own)}
+        out |= {name: F.col(sorts[s]) for name, s in factors.items()}
+    by = by.select(date, *(c.alias(k) for k, c in out.items()))
+    if not rf:
+        return by
+    rates = df.groupBy(date).agg(F.max(rf).alias("rf"))
+    return by.join(rates, date).select(date, "mktrf", "rf", *(k for k in out if k != "mktrf"))
+
+
 def factor_portfolios(df: DataFrame, factors: dict[str, tuple[str, bool]], ret: str, weight: str, size: str = "me", date: str = "date", nyse: str = "exchcd = 1", split: tuple[float, ...] = (0.3, 0.7), size_factor: str | None = "smb") -> DataFrame:
     """One row per date: mkt, and per factor its return and `smb_<factor>`; `size_factor`: their mean over the factors.
 
@@ -51,28 +94,57 @@ def factor_portfolios(df: DataFrame, factors: dict[str, tuple[str, bool]], ret:
     return by.select(date, "mkt", *out, *([size_factor] if size_factor else []))
 
 
+def _long_form(df: DataFrame, chars: list[str], ret: str, date: str, size: str, nyse: str, small: float, cap: float | None) -> DataFrame:
+    """date, char, x, r, the weights ew, vw and vw_cap, and whether a stock is above the exchange's size quantile `small`; one row for
+    each characteristic that a row has. vw_cap: the greatest size of the exchange's stocks, over all dates, up to its quantile `cap`."""
+    on_nyse = F.when(F.expr(nyse), F.col(size)).cast("double")
+    rows = df.join(breakpoints(df, [date], {"_small": (on_nyse, [small])}), date)
+    most = None
+    if cap is not None:
+        (q,) = exact_quantiles(df, {"cap": (on_nyse, [cap])})["cap"]
+        most = df.agg(F.max(F.when(on_nyse <= F.lit(q), on_nyse))).first()[0] if q is not None else None
+    capped = F.least(F.col(size), F.lit(most).cast("double"))  # least() takes no notice of null
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("char"), F.col(c).cast("double").alias("x")) for c in chars)))
+    return rows.select(date, F.col(ret).alias("r"), F.lit(1.0).alias("ew"), F.col(size).cast("double").alias("vw"), capped.cast("double").alias("vw_cap"), (F.col(size) > F.col("_small_0")).alias("_big"), each).where(F.col("x").isNotNull())
+
+
+def char_portfolios(df: DataFrame, chars: list[str], ret: str = "exret", date: str = "date", size: str = "me", nyse: str = "exchcd = 1", split: int = 3, small: float = 0.2, cap: float = 0.8) -> DataFrame:
+    """date, char, group, ret_ew, ret_vw, ret_vw_cap, signal, n_firms: portfolios h, m, l of each characteristic, and hml, h less l in
+    all columns, of rows for sorts.
+
+    Cut points are of stocks above the exchange's size quantile `small`. Characteristics are in long form, so one aggregate makes all
+    portfolios with all weights, and hml comes of it without another pass over the rows.
+    """
+    long = _long_form(df, chars, ret, date, size, nyse, small, cap)
+    keys = [date, "char"]
+    cuts = breakpoints(long, keys, {"_q": (F.when(F.col("_big"), F.col("x")), [i / split for i in range(1, split)])})
+    above = reduce(lambda a, b: a + b, ((F.col("x") > F.col(f"_q_{i}")).cast("int") for i in range(split - 1)))
+    rows = long.join(cuts, keys).where(F.col("_q_0").isNotNull()).withColumn("_cls", split - 1 - above)
+    by = rows.groupBy(*keys, "_cls").agg(*(weighted("r", w).alias(f"ret_{w}") for w in ("ew", "vw", "vw_cap")), F.avg("x").alias("signal"), F.count("x").alias("n_firms"))
+    values = ["ret_ew", "ret_vw", "ret_vw_cap", "signal", "n_firms"]
+    names = {0: "h", split - 1: "l"} | ({1: "m"} if split == 3 else {i: f"m{i}" for i in range(1, split - 1)})
+    one = by.groupBy(*keys).pivot("_cls", list(range(split))).agg(F.first(F.struct(*values)))
+    spread = F.struct(*((F.col(f"`0`.{v}") - F.col(f"`{split - 1}`.{v}")).alias(v) for v in values))
+    each = F.array(*(F.struct(F.lit(names[i]).alias("group"), F.col(f"`{i}`").alias("v")) for i in range(split)), F.struct(F.lit("hml").alias("group"), spread.alias("v")))
+    return one.select(*keys, F.inline(each)).where("v.n_firms is not null").select(*keys, "group", "v.*")
+
+
 def characteristic_portfolios(df: DataFrame, chars: list[str], ret: str, date: str = "date", size: str = "me", nyse: str = "exchcd = 1", split: tuple[float, ...] = (1 / 3, 2 / 3), small: float = 0.2, cap: float | None = 0.8) -> DataFrame:
     """date, characteristic, ret_ew, ret_vw, ret_vw_cap, signal, n_firms of tercile portfolios, highest less lowest.
 
     Breakpoints are of stocks above the exchange's size quantile `small`; vw_cap limits weights at the exchange's quantile `cap` of
     size over all dates. Characteristics are put into long form, so that one pass makes all portfolios.
     """
-    on_nyse = F.when(F.expr(nyse), F.col(size))
-    sizes = breakpoints(df, [date], {"_small": (on_nyse, [small])})
-    rows = df.join(sizes, date)
-    most = df.agg(F.percentile(on_nyse.cast("double"), F.lit(cap or 1.0)).alias("_cap"))
-    rows = rows.crossJoin(F.broadcast(most))
-    long = rows.select(date, F.col(ret).alias("r"), F.col(size).alias("w"), F.least(F.col(size), F.col("_cap")).alias("wc"), (F.col(size) > F.col("_small_0")).alias("big"), F.inline(F.array(*(F.struct(F.lit(c).alias("characteristic"), F.col(c).cast("double").alias("x")) for c in chars))))
-    long = long.where(F.col("x").isNotNull())
-    cuts = breakpoints(long, [date, "characteristic"], {"_q": (F.when(F.col("big"), F.col("x")), list(split))})
+    long = _long_form(df, chars, ret, date, size, nyse, small, cap).withColumnRenamed("char", "characteristic")
+    cuts = breakpoints(long, [date, "characteristic"], {"_q": (F.when(F.col("_big"), F.col("x")), list(split))})
     j = long.join(cuts, [date, "characteristic"])
     high, low = F.col("x") > F.col(f"_q_{len(split) - 1}"), F.col("x") <= F.col("_q_0")
 
     def spread(w):
-        of = lambda c: div(F.sum(F.when(c & F.col("r").isNotNull(), F.col("r") * w)), F.sum(F.when(c & F.col("r").isNotNull(), w)))
-        return of(high) - of(low)
+        of = lambda c: weighted(F.when(c, F.col("r")), F.when(c, F.col(w)))
+        return (of(high) - of(low)).alias(f"ret_{w}")
 
-    return j.groupBy(date, "characteristic").agg(spread(F.lit(1.0)).alias("ret_ew"), spread(F.col("w")).alias("ret_vw"), spread(F.col("wc")).alias("ret_vw_cap"), (F.avg(F.when(high, F.col("x"))) - F.avg(F.when(low, F.col("x")))).alias("signal"), F.count("*").alias("n_firms"))
+    return j.groupBy(date, "characteristic").agg(*map(spread, ("ew", "vw", "vw_cap")), (F.avg(F.when(high, F.col("x"))) - F.avg(F.when(low, F.col("x")))).alias("signal"), F.count("*").alias("n_firms"))
 
 
 def june_sorts(monthly: DataFrame, annual: DataFrame, ret: str = "ret", me: str = "me", firm: str = "id", nyse: str = "exchcd = 1") -> DataFrame:
