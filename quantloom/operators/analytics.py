@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,15 +167,42 @@ def _betainc(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
+def cross_products(df: DataFrame, columns: list[str]) -> np.ndarray:
+    """Sums of the products of all pairs of (1, *columns), over the rows without nulls, as a matrix. Each task sums its rows; the driver
+    gets one number for each pair of columns."""
+    k = 1 + len(columns)
+
+    def run(batches):
+        total = np.zeros((k, k))
+        for pdf in batches:
+            x = np.column_stack([np.ones(len(pdf)), pdf.to_numpy(float)])
+            total += x.T @ x
+        yield pd.DataFrame({"at": np.arange(k * k), "s": total.ravel()})
+
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns))).na.drop()
+    out = np.zeros(k * k)
+    for r in rows.mapInPandas(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).collect():
+        out[r["at"]] = r["s"]
+    return out.reshape(k, k)
+
+
 def grs_test(assets: DataFrame, factors: DataFrame, date: str) -> dict[str, float]:
-    """GRS statistic and p-value. Returns by date are few rows, one per period; only this test brings them to the driver."""
-    both = assets.join(factors, date).orderBy(date).na.drop().toPandas()
-    r, f = (both[[c for c in x.columns if c != date]].to_numpy(float) for x in (assets, factors))
-    t, n, k = len(r), r.shape[1], f.shape[1]
-    x = np.column_stack([np.ones(t), f])
-    b = np.linalg.lstsq(x, r, rcond=None)[0]
-    e = r - x @ b
-    sigma, omega, mu = e.T @ e / (t - k - 1), np.atleast_2d(np.cov(f.T)), f.mean(0)
+    """GRS statistic and p-value of whether the factors explain all assets' mean returns, over the dates at which all are there.
+
+    All comes from one matrix of cross products, so returns may be of any length, daily ones of many years too.
+    """
+    own, others = ([c for c in x.columns if c != date] for x in (assets, factors))
+    clash = {c: f"{c}_f" for c in others if c in own}
+    factors, others = factors.withColumnsRenamed(clash), [clash.get(c, c) for c in others]
+    s = cross_products(assets.join(factors, date), [*others, *own])
+    t, k, n = s[0, 0], len(others), len(own)
+    if t - n - k <= 0:
+        return {"grs": float("nan"), "p": float("nan")}
+    xx, xr, rr = s[: 1 + k, : 1 + k], s[: 1 + k, 1 + k :], s[1 + k :, 1 + k :]
+    b = np.linalg.solve(xx, xr)
+    sigma = (rr - b.T @ xr) / (t - k - 1)
+    mu = s[0, 1 : 1 + k] / t
+    omega = (s[1 : 1 + k, 1 : 1 + k] - t * np.outer(mu, mu)) / (t - 1)
     stat = t / n * (t - n - k) / (t - k - 1) * (b[0] @ np.linalg.solve(sigma, b[0])) / (1 + mu @ np.linalg.solve(omega, mu))
     d1, d2 = n, t - n - k
     return {"grs": float(stat), "p": float(1 - _betainc(d1 / 2, d2 / 2, float(d1 * stat / (d1 * stat + d2))))}

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.selection import exact_quantiles
+
 
 def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", drop: str | None = None, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
     """Join on equal, not null keys. drop: 'right' or 'left', the side that loses columns both have; None: both stay, with suffixes."""
@@ -119,6 +121,9 @@ def delisting_returns(stocks: DataFrame, events: DataFrame, id: str, date: str,
     return out.withColumn("ret", F.when(F.coalesce("ret", "dlret").isNotNull(), both))
 
 
+_PERCENTILES = ((0.001, "p0_1"), (0.01, "p1"), (0.25, "p25"), (0.5, "p50"), (0.75, "p75"), (0.99, "p99"), (0.999, "p99_9"))
+
+
 def compare(a: DataFrame, b: DataFrame, on: list[str], tolerance: float = 0.01) -> DataFrame:
     """Per common column: share that matches (within a relative tolerance, or both about zero), correlation, nulls on either side."""
     names = [c for c, t in a.dtypes if c in b.columns and c not in on and t != "string"]
@@ -133,7 +138,20 @@ def compare(a: DataFrame, b: DataFrame, on: list[str], tolerance: float = 0.01)
 
 
 def inspect(df: DataFrame, date: str, id: str) -> DataFrame:
-    """Per numeric column: rows, nulls, mean, deviation, least, quartiles, largest; with the numbers of dates and ids."""
+    """Per numeric column: rows, nulls, infinities, mean, deviation, least, percentiles, largest; with the numbers of dates and ids.
+    Nulls and infinities don't count in the others."""
     names = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c not in (date, id)]
-    parts = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), *(F.percentile(F.col(c).cast("double"), F.lit(q)).alias(k) for k, q in (("min", 0.0), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("max", 1.0))), F.count_distinct(date).alias("dates"), F.count_distinct(id).alias("ids")) for c in names]
+    x = {c: F.col(c).cast("double") for c in names}
+    endless = {c: F.abs(v) == float("inf") for c, v in x.items()}
+    finite = {c: F.when(~endless[c] & ~F.isnan(v), v) for c, v in x.items()}
+    cuts = exact_quantiles(df, {c: (finite[c], [q for q, _ in _PERCENTILES]) for c in names})
+    parts = [
+        F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(endless[c]).alias("infs"), F.avg(finite[c]).alias("mean"), F.stddev_samp(finite[c]).alias("std"), F.min(finite[c]).alias("min"), *(F.lit(v).cast("double").alias(k) for v, (_, k) in zip(cuts[c], _PERCENTILES)), F.max(finite[c]).alias("max"), F.count_distinct(date).alias("dates"), F.count_distinct(id).alias("ids"))
+        for c in names
+    ]
     return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
+
+
+def ids_by_date(df: DataFrame, date: str) -> DataFrame:
+    """date, n: the rows of each date, which in a panel are its ids."""
+    return df.groupBy(date).agg(F.count("*").alias("n"))

@@ -147,6 +147,22 @@ def _stocks(spark, sf_dir):
     return replaced(frame(spark, sf_dir, f"select * from {_STOCK} t"), crspm.prepare(_T))
 
 
+_W60 = "over (partition by id order by date rows between 59 preceding and current row)"
+
+
+def crspm_beta_jkp(spark, sf_dir):
+    """Beta on excess returns that are winsorised over the whole panel."""
+    df = frame(spark, sf_dir, f"select * from {_STOCK} t")
+    out = crspm.characteristics(df, ["beta_60m"], _JKP)
+    return out.select("id", "date", F.round("exret", 6).alias("exret"), F.round("beta_60m", 5).alias("beta_60m"))
+
+
+QUERIES["crspm_beta_jkp"] = crspm_beta_jkp
+ORACLES["crspm_beta_jkp"] = oracle(f"""with e as (select id, date, ret - rf as x, mktrf as m from {_STOCK} t), q as (select quantile_cont(x, 0.001) as a, quantile_cont(x, 0.999) as b from e),
+ n as (select min(x) filter (where x >= a) as lo, max(x) filter (where x <= b) as hi from e, q), w as (select id, date, m, case when x is not null then greatest(least(x, hi), lo) end as x from e, n)
+ select id, date, round(x, 6) as exret, case when count(case when m is not null then x end) {_W60} >= 36 then round(regr_slope(x, m) {_W60}, 5) end as beta_60m from w""")
+
+
 QUERIES["crspm_residual_momentum"] = lambda spark, sf_dir: crspm.residual_momentum(_stocks(spark, sf_dir))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quantloom.operators.cross import winsorize
 from quantloom.operators.rolling import moment_columns, moments, running, solve
 
 from .spec import Terms, above, create, div, flag, nonzero, nz, replaced
@@ -43,8 +44,14 @@ def formulas(t: Terms) -> dict[str, str]:
     return f
 
 
+def prepared(df: DataFrame, t: Terms = Terms()) -> DataFrame:
+    """df with what the characteristics take; under jkp the excess return is winsorised at a thousandth of the whole panel on both sides."""
+    out = replaced(df, prepare(t))
+    return winsorize(out, "exret", (0.001, 0.001), "exret", []) if t.jkp else out
+
+
 def characteristics(df: DataFrame, wanted: list[str] | None = None, t: Terms = Terms()) -> DataFrame:
-    return create(replaced(df, prepare(t)), formulas(t), wanted)
+    return create(prepared(df, t), formulas(t), wanted)
 
 
 #: Months whose residuals count, without the newest of them.

@@ -408,11 +408,16 @@ def compare_data(spark, sf_dir):
     return rounded(out)
 
 
-@query("select 'ret' as \"column\", count(*) as \"rows\", cast(count_if(ret is null) as bigint) as nulls, round(avg(ret), 6) as mean, round(stddev_samp(ret), 6) as std, round(min(ret), 6) as min, round(quantile_cont(ret, 0.25), 6) as p25, round(quantile_cont(ret, 0.5), 6) as p50, round(quantile_cont(ret, 0.75), 6) as p75, round(max(ret), 6) as max, count(distinct date) as dates, count(distinct id) as ids from pm")
+@query("select 'ret' as \"column\", count(*) as \"rows\", cast(count_if(ret is null) as bigint) as nulls, cast(0 as bigint) as infs, round(avg(ret), 6) as mean, round(stddev_samp(ret), 6) as std, round(min(ret), 6) as min, round(quantile_cont(ret, 0.001), 6) as p0_1, round(quantile_cont(ret, 0.01), 6) as p1, round(quantile_cont(ret, 0.25), 6) as p25, round(quantile_cont(ret, 0.5), 6) as p50, round(quantile_cont(ret, 0.75), 6) as p75, round(quantile_cont(ret, 0.99), 6) as p99, round(quantile_cont(ret, 0.999), 6) as p99_9, round(max(ret), 6) as max, count(distinct date) as dates, count(distinct id) as ids from pm")
 def inspect_data(spark, sf_dir):
     return rounded(J.inspect(monthly(spark, sf_dir).df.select("id", "date", "ret"), "date", "id"))
 
 
+@query("select date, count(*) as n from pm group by date")
+def ids_by_date(spark, sf_dir):
+    return J.ids_by_date(monthly(spark, sf_dir).df, "date")
+
+
 # Portfolios
 
 _POS = f"{_Q5}, pos as (select cls as pf, date, id, ret, me / sum(me) over (partition by cls, date) as wgt from c where ret is not null and cls is not null) "
