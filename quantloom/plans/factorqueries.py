@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import factors
-from .panels import PM, frame
+from .panels import PA, PM, frame
 from .queries import query, rounded
 
 _CHARS = {"be_me": "net / sale", "ope_be": "cnt / qty", "at_gr1": "tax / net", "niq_be": "net / qty", "mispricing_mgmt": "case when (id + month(date)) % 9 <> 0 then cast((id * 37 + month(date) * 11) % 101 as double) + qty / 64 end", "mispricing_perf": "qty / cnt"}
@@ -64,3 +64,40 @@ _TWO = ("be_me", "mispricing_mgmt")
  select date, ch as "char", g as "group", round(ew, 6) as ret_ew, round(vw, 6) as ret_vw, round(vc, 6) as ret_vw_cap, round(s, 6) as signal, n as n_firms from u""")
 def char_portfolios(spark, sf_dir):
     return rounded(factors.char_portfolios(factors.held_next(_monthly(spark, sf_dir)), list(_TWO)).withColumn("n_firms", F.col("n_firms").cast("long")))
+
+
+_JUNE = f"select id, date, ret, case when (id + month(date)) % 13 <> 0 then ret - 0.001 end as retx, me, exchcd, id % 5 <> 0 as \"primary\" from ({PM}) p"
+#: Accounts of a second fiscal year end in some years, and negative book values.
+_BOOKS = "select id, date as datadate, case when (id + year(date)) % 17 = 0 then -1.0 else net / (1 + id % 4) end as be from ({0}) a union all select id, make_date(cast(year(date) as int), 6, 30), net * 3 from ({0}) b where id % 6 = 0"
+
+
+def _june_sql(held: bool) -> str:
+    weight = "case when month(hold_date) = 1 then lme else max(case when month(hold_date) = 1 then lme end) over (partition by id, year(hold_date)) * lcum end" if held else "lme"
+    first = "case when row_number() over (partition by id order by date) = 1 then me / (1 + retx) else lag(me) over (partition by id order by date) end" if held else "lag(me) over (partition by id order by date)"
+    rows, counts = ("where w > 0", "exchcd = 1") if held else ('where "primary" and me > 0', "exchcd = 1 and age > 1")
+    base = "m" if held else 'm where "primary" and me > 0'
+    cells = [f"{s}{v}" for s in "sb" for v in "lmh"]
+    mean = lambda c: f"sum(ret * w) filter (where cell = '{c}') / nullif(sum(w) filter (where cell = '{c}' and ret is not null), 0) as {c}"
+    return f""", a as ({_JUNE}), b as (select *, date - interval 6 month as hold_date, {first} as lme from a),
+ g as (select *, coalesce(sum(ln(1 + retx)) over (partition by id, year(hold_date) order by date), 0) as cum from b), l as (select *, exp(lag(cum) over (partition by id order by date)) as lcum from g),
+ m as (select *, cast(year(hold_date) as int) as hold, {weight} as w from l), k as (select id, cast(year(datadate) as int) as y, max_by(be, datadate) as be from ({_BOOKS.format(PA)}) x group by 1, 2),
+ kk as (select *, row_number() over (partition by id order by y) - 1 as age from k), ju as (select id, cast(year(date) as int) - 1 as y, me as size, exchcd from (select * from {base}) where month(date) = 6 and me > 0),
+ de as (select id, cast(year(date) as int) as y, me as dec from (select * from {base}) where month(date) = 12 and me > 0), s as (select ju.*, age, be / dec as bm from ju join kk using (id, y) join de using (id, y) where age >= 1 and be > 0),
+ c as (select *, quantile_cont(case when {counts} then size end, 0.5) over (partition by y) as s0, quantile_cont(case when {counts} then bm end, 0.3) over (partition by y) as b0, quantile_cont(case when {counts} then bm end, 0.7) over (partition by y) as b1 from s),
+ t as (select id, y + 1 as hold, case when size > s0 then 'b' else 's' end || case when bm > b1 then 'h' when bm > b0 then 'm' else 'l' end as cell from c where s0 is not null),
+ j as (select * from (select * from m {rows}) m join t using (id, hold)), f as (select date, {', '.join(map(mean, cells))}, {', '.join(f"count(ret) filter (where cell = '{c}') as n_{c}" for c in cells)} from j group by date)
+ select date, {', '.join(f'round({c}, 6) as {c}' for c in cells)}, round((sl + sm + sh - bl - bm - bh) / 3, 6) as smb, round((sh + bh - sl - bl) / 2, 6) as hml, {', '.join(f'n_{c}' for c in cells)}, {' + '.join(f'n_{c}' for c in cells)} as n_smb, n_bh + n_sh + n_bl + n_sl as n_hml from f"""
+
+
+def _june(spark, sf_dir, held: bool):
+    return rounded(factors.june_factors(frame(spark, sf_dir, _quoted(_JUNE)), frame(spark, sf_dir, _BOOKS.format(PA)), held))
+
+
+@query(_june_sql(False))
+def june_factors(spark, sf_dir):
+    return _june(spark, sf_dir, False)
+
+
+@query(_june_sql(True))
+def june_factors_held(spark, sf_dir):
+    return _june(spark, sf_dir, True)

@@ -165,3 +165,51 @@ def june_sorts(monthly: DataFrame, annual: DataFrame, ret: str = "ret", me: str
     of = lambda big, v: weighted(F.when((F.col("_big") == big) & (F.col("_val") == v), F.col(ret)), F.when((F.col("_big") == big) & (F.col("_val") == v), F.col("_w")))
     by = j.groupBy("date").agg(*(of(b, v).alias(f"{'b' if b else 's'}{v}") for b in (True, False) for v in range(3)))
     return by.select("date", ((F.col("s0") + F.col("s1") + F.col("s2") - F.col("b0") - F.col("b1") - F.col("b2")) / 3).alias("smb"), ((F.col("s2") + F.col("b2") - F.col("s0") - F.col("b0")) / 2).alias("hml"))
+
+
+_CELLS = [f"{s}{v}" for s in "sb" for v in "lmh"]
+
+
+def june_factors(monthly: DataFrame, annual: DataFrame, held: bool = False, firm: str = "id", ret: str = "ret", nyse: str = "exchcd = 1") -> DataFrame:
+    """date, sl, sm, sh, bl, bm, bh, smb, hml and n_ of each of these: the six portfolios of the classic construction, its factors, and
+    the numbers of stocks with a return.
+
+    monthly: id, firm, date (month end), ret, me, exchcd, primary, and retx if held; annual: firm, datadate, be. Stocks are sorted each
+    June by size then, and by book value of the fiscal year that ended in the year before over December's size, and kept from July to
+    June. Of several accounts of a firm and year the last counts; a firm's first year of accounts isn't used, and its book value must
+    be positive.
+
+    Plainly: rows of primary stocks with a positive size, weights by size a month before, and cut points of the exchange's stocks with
+    more than two years of accounts. held: weights of portfolios that are bought in June and held, the size then times the products of
+    the returns without dividends since, where a missing one changes nothing; all rows with a positive weight; cut points of all of the
+    exchange's sorted stocks.
+    """
+    by_id = W.partitionBy("id").orderBy("date")
+    july = F.add_months("date", -6)  # July to June is a holding year
+    m = monthly.withColumns({"_hold": F.year(july), "_first": F.month(july) == 1, "_before": F.lag("me").over(by_id)})
+    if held:
+        grown = F.sum(F.log1p("retx")).over(W.partitionBy("id", "_hold").orderBy("date"))
+        m = m.withColumn("_grown", F.coalesce(grown, F.lit(0.0)))
+        m = m.withColumns({"_before": F.when(F.row_number().over(by_id) == 1, F.col("me") / (1 + F.col("retx"))).otherwise(F.col("_before")), "_earlier": F.lag("_grown").over(by_id)})
+        base = F.max(F.when(F.col("_first"), F.col("_before"))).over(W.partitionBy("id", "_hold"))
+        m = m.withColumn("_w", F.when(F.col("_first"), F.col("_before")).otherwise(base * F.exp("_earlier")))
+        rows = m.where("_w > 0")
+    else:
+        rows = m = m.withColumn("_w", F.col("_before")).where(F.col("primary") & (F.col("me") > 0))
+    year = F.year("datadate")
+    books = annual.groupBy(F.col(firm).alias("_firm"), year.alias("_year")).agg(F.max_by("be", "datadate").alias("_be"))
+    books = books.withColumn("_age", F.row_number().over(W.partitionBy("_firm").orderBy("_year")) - 1).where("_age >= 1 and _be > 0")
+    june = m.where(F.month("date") == 6).select("id", F.col(firm).alias("_firm"), (F.year("date") - 1).alias("_year"), F.col("me").alias("_size"), F.expr(nyse).alias("_nyse")).where("_size > 0")
+    december = m.where(F.month("date") == 12).select("id", F.year("date").alias("_year"), F.col("me").alias("_then")).where("_then > 0")
+    s = june.join(books, ["_firm", "_year"]).join(december, ["id", "_year"]).withColumn("_bm", div("_be", "_then"))
+    counts = F.col("_nyse") if held else F.col("_nyse") & (F.col("_age") > 1)
+    cuts = breakpoints(s, ["_year"], {"_s": (F.when(counts, F.col("_size")), [0.5]), "_b": (F.when(counts, F.col("_bm")), [0.3, 0.7])})
+    s = s.join(cuts, "_year").where("_s_0 is not null and _b_0 is not null")
+    cell = F.concat(F.when(F.col("_size") > F.col("_s_0"), "b").otherwise("s"), F.when(F.col("_bm") > F.col("_b_1"), "h").when(F.col("_bm") > F.col("_b_0"), "m").otherwise("l"))
+    j = rows.join(s.select("id", (F.col("_year") + 1).alias("_hold"), cell.alias("_cell")), ["id", "_hold"])
+    here = lambda c, x: F.when(F.col("_cell") == c, F.col(x))
+    by = j.groupBy("date").agg(*(weighted(here(c, ret), here(c, "_w")).alias(c) for c in _CELLS), *(F.count(here(c, ret)).alias(f"n_{c}") for c in _CELLS))
+    c = F.col
+    smb = (c("sl") + c("sm") + c("sh") - c("bl") - c("bm") - c("bh")) / 3
+    hml = (c("sh") + c("bh") - c("sl") - c("bl")) / 2
+    return by.select("date", *_CELLS, smb.alias("smb"), hml.alias("hml"), *(f"n_{x}" for x in _CELLS), sum((c(f"n_{x}") for x in _CELLS), F.lit(0)).alias("n_smb"), sum((c(f"n_{x}") for x in ("bh", "sh", "bl", "sl")), F.lit(0)).alias("n_hml"))
