@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.operators.panel import Panel
+
 from . import crspd, crspm, factorqueries, factors, funda, fundq, ledgerqueries, linkqueries, merged, spanqueries  # noqa: F401 (those named queries register their own)
 from .panels import PA, PM, frame, oracle
 from .queries import QUERIES, rounded
@@ -27,6 +29,10 @@ def _items(names: list[str], salt: int = 0) -> str:
 
 _FUNDA = f"(select id, date, cast(year(date) as int) as fyear, cast(2000 + (ind * 173 + id % 4) % 5200 as varchar(9)) as sic, case when id % 9 = 0 then '713210' else '3254' end as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PA}) a) b)"
 _FUNDA = _FUNDA.replace("varchar(9)", "string")
+#: Quarters of fiscal years; those of a fifth of the ids end in June from 1996 on. Some year-to-date values are missing, and some quarters.
+_QUARTERS = """(select *, sum(saleq) over (partition by id, fyearq order by date) as saley, case when id % 4 <> 1 then sum(cogsq) over (partition by id, fyearq order by date) end as cogsy
+ from (select *, cast(case when id % 5 = 0 and date >= date '1996-03-01' then year(date) + cast(quarter(date) > 2 as int) else year(date) end as int) as fyearq, cast(case when id % 5 = 0 and date >= date '1996-03-01' then (quarter(date) + 1) % 4 + 1 else quarter(date) end as int) as fqtr
+ from (select id, date, sale / 717 as saleq, case when (id + year(date)) % 6 <> 0 then net / 1717 end as cogsq, qty as atq, prc as prccq from ({0}) a where (id * 7 + year(date) * 4 + quarter(date)) % 19 <> 0) b) c)"""
 _PQ = PM.replace("last_day(cast(l_shipdate as date))", "last_day(make_date(cast(year(l_shipdate) as int), cast(quarter(l_shipdate) * 3 as int), 1))")
 _FUNDQ = f"(select id, date, {_items(fundq.RAW, 100)} from (select *, cast(year(date) * 4 + quarter(date) as int) as p from ({_PQ}) a) b)"
 _STOCK = f"""(select id, date, case when (id + month(date)) % 13 <> 0 then -0.0091731 * prc else 0.0091731 * prc end as prc, ret, ret - case when month(date) % 3 = id % 3 then 0.002 else 0 end as retx, qty as vol, 1000.0 * (10 + id % 7 + cnt) as shrout,
@@ -166,6 +172,23 @@ ORACLES["crspm_beta_jkp"] = oracle(f"""with e as (select id, date, ret - rf as x
 QUERIES["crspm_residual_momentum"] = lambda spark, sf_dir: crspm.residual_momentum(_stocks(spark, sf_dir))
 
 
+def funda_from_quarters(spark, sf_dir):
+    """Annual accounts renewed each quarter, and their growth over four quarters."""
+    df = fundq.annual_from_quarters(frame(spark, sf_dir, f"select * from {_QUARTERS.format(_PQ)} t"))
+    p = Panel(df.select("id", "date", "fqtr", "sale", "cogs", "at", "prcc_f"))
+    out = p.with_columns(sale_gr1=p.pct_change("sale", 4), gp_at=(F.col("sale") - F.col("cogs")) / F.nullif(F.col("at"), F.lit(0.0)))
+    return rounded(out.df)
+
+
+_FOUR = "over (partition by id order by date rows between 3 preceding and current row)"
+_MONTHS = "(year({0}) * 12 + month({0}))"
+QUERIES["funda_from_quarters"] = funda_from_quarters
+ORACLES["funda_from_quarters"] = oracle(f"""with q as (select *, lag(date, 3) over (partition by id order by date) as d3, fyearq * 4 + fqtr - lag(fyearq * 4 + fqtr, 3) over (partition by id order by date) as l3, sum(saleq) {_FOUR} as s4, count(cogsq) {_FOUR} as nc, sum(cogsq) {_FOUR} as c4 from {_QUARTERS.format(_PQ)} t),
+ r as (select *, coalesce({_MONTHS.format('date')} - {_MONTHS.format('d3')} = 9, false) as run from q), c as (select *, run and l3 <> 3 as moved from r),
+ a as (select id, date, fqtr, case when fqtr = 4 and not moved then saley when run then s4 end as sale, coalesce(case when fqtr = 4 and not moved then cogsy end, case when run and nc = 4 then c4 end) as cogs, atq as at_, prccq from c)
+ select id, date, fqtr, round(sale, 6) as sale, round(cogs, 6) as cogs, round(at_, 6) as "at", round(prccq, 6) as prcc_f, round(case when lag(sale, 4) over w > 1e-7 then sale / lag(sale, 4) over w - 1 end, 6) as sale_gr1, round((sale - cogs) / nullif(at_, 0), 6) as gp_at from a window w as (partition by id order by date)""")
+
+
 def merge_chars(spark, sf_dir):
     """Monthly stocks with the latest accounts of their firm's year and the mispricing and quality ranks."""
     t = _T

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from .spec import Terms, above, create, div, nonzero, nz, replaced
 
@@ -39,6 +41,33 @@ def characteristics(df: DataFrame, wanted: list[str] | None = None, t: Terms = T
     return create(replaced(df, prepare(t)), formulas(t), wanted)
 
 
-def annual_items(t: Terms, flows: list[str]) -> dict[str, str]:
-    """Annual values from quarterly flows: the last four quarters; in a fourth quarter the year-to-date value, if there is one."""
-    return {x: f"case when fqtr = 4 then coalesce({x}y, {t.R('sum', x + 'q', 4)}) else {t.R('sum', x + 'q', 4)} end" for x in flows}
+#: Quarterly flows that add up to annual ones; the later ones come from year-to-date values.
+FLOWS = """cogs xsga xint dp txt xrd spi sale revt xopr oibdp oiadp ib ni xido nopi mii pi xi
+oancf dv sstk dlcch capx dltr txbcof xidoc dpc fiao ibc prstkc fincf""".split()
+#: Quarterly columns that keep their names.
+_KEPT = {"fyearq", "rdq"}
+
+
+def annual_from_quarters(df: DataFrame, flows: list[str] | None = None, id: str = "id", date: str = "date", fyear: str = "fyearq", fqtr: str = "fqtr") -> DataFrame:
+    """Annual accounts that are renewed each quarter: quarterly accounts with the annual names of their columns, x for xq.
+
+    Of flows the last four quarters add up, if all four are there and their dates follow each other by quarters. In a fourth quarter
+    the year-to-date value xy counts where there is one, which also gives a firm's first year; but not if the fiscal year was changed
+    within the four quarters, as it then has fewer. Other values are the quarter's own; prccq becomes prcc_f.
+    """
+    own = {c: "prcc_f" if c == "prccq" else c[:-1] for c in df.columns if c.endswith("q") and c not in _KEPT}
+    flows = [x for x in (flows or FLOWS) if f"{x}q" in own]
+    by = W.partitionBy(id).orderBy(date)
+    months = lambda d: F.year(d) * 12 + F.month(d)
+    label = F.col(fyear) * 4 + F.col(fqtr)
+    df = df.withColumns({"_months": months(F.col(date)) - months(F.lag(date, 3).over(by)), "_labels": label - F.lag(label, 3).over(by)})
+    running_year = F.coalesce(F.col("_months") == 9, F.lit(False))
+    changed = running_year & (F.col("_labels") != 3)
+    last = by.rowsBetween(-3, 0)
+    made = {}
+    for x in flows:
+        q = F.col(f"{x}q").cast("double")
+        four = F.when(running_year & (F.count(q).over(last) == 4), F.sum(q).over(last))
+        y = F.when((F.col(fqtr) == 4) & ~F.coalesce(changed, F.lit(False)), F.col(f"{x}y").cast("double")) if f"{x}y" in df.columns else F.lit(None).cast("double")
+        made[f"{x}q"] = F.coalesce(y, four)
+    return df.withColumns(made).drop("_months", "_labels").withColumnsRenamed(own)

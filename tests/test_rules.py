@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from quantloom.operators import cross
 from quantloom.operators import portfolio as P
 from quantloom.plans import fundq
@@ -45,3 +47,13 @@ def test_evaluation_is_after_costs(spark):
     assert flat.sharpe == 0.0
     last = P.evaluate_series(out).orderBy("date").collect()[-1]
     assert all(abs(last[c] - e[c]) < 1e-12 for c in ("mean", "std", "sharpe", "cum_ret", "mdd", "msd", "turnover"))
+
+
+def test_annual_accounts_from_quarters(spark):
+    rows = [("2000-03-31", 2000, 1, 1.0, 1.0), ("2000-06-30", 2000, 2, 2.0, 3.0), ("2000-09-30", 2000, 3, 3.0, 6.0), ("2000-12-31", 2000, 4, 4.0, 11.0), ("2001-03-31", 2001, 1, 5.0, 5.0), ("2001-06-30", 2001, 2, 6.0, None)]
+    rows += [("2001-09-30", 2002, 1, 7.0, 7.0), ("2001-12-31", 2002, 4, 8.0, 15.0), ("2002-06-30", 2002, 2, 9.0, 9.0), ("2002-09-30", 2002, 3, None, 9.0), ("2002-12-31", 2002, 4, 1.0, None)]
+    df = spark.createDataFrame([(1, *r, 7.0, 50.0) for r in rows], "id int, d string, fyearq int, fqtr int, saleq double, saley double, atq double, prccq double").withColumn("date", F.to_date("d"))
+    out = fundq.annual_from_quarters(df).orderBy("date").collect()
+    # A fourth quarter has the year to date; a changed fiscal year, or none to date, the last four quarters; a gap, or a missing quarter, nothing.
+    assert [r.sale for r in out] == [None, None, None, 11.0, 14.0, 18.0, 22.0, 26.0, None, None, None]
+    assert out[0].at == 7.0 and out[0].prcc_f == 50.0 and out[0].fyearq == 2000
