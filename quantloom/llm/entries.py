@@ -31,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": import_module(".filters", __package__).OP13_SQL}
+    return {"op8_exact_top_k": import_module(".topk", __package__).OP8_SQL, "op13_filter_audit": import_module(".filters", __package__).OP13_SQL}

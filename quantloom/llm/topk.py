@@ -268,3 +268,13 @@ def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:
     rows = clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(64 * x).cast("double")).alias("v"))
     return top_k(rows.where("vec_id % 20 = 0"), rows)
+
+
+#: All pairs of queries and candidates, in whole numbers.
+OP8_SQL = """
+with v as (select vec_id, list_transform(cast(embedding as double[]), lambda x: floor(64 * x)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(cast(embedding as double[]), lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
