@@ -100,14 +100,15 @@ def zscore(c: str | Column, group: list[str]) -> Column:
     return div(col(c) - F.avg(col(c)).over(w), F.stddev_samp(col(c)).over(w))
 
 
-def zrank(df: DataFrame, columns: list[str], out: str, group: list[str]) -> DataFrame:
-    """z-score of the rank of the mean of the z-scores of ranks; of those columns that aren't null."""
+def zrank(df: DataFrame, columns: list[str], out: str, group: list[str], digits: int = 9) -> DataFrame:
+    """z-score of the rank of the mean of the z-scores of ranks; of those columns that aren't null. Means that are alike to `digits`
+    decimals are ties, in whatever order they were summed."""
     from quantloom.functions.columns import mean_present
 
     df = df.withColumns({f"_r_{c}": rank(c, group) for c in columns})
     df = df.withColumns({f"_z_{c}": zscore(f"_r_{c}", group) for c in columns})
     df = df.withColumn("_mean", mean_present(*(f"_z_{c}" for c in columns)))
-    df = df.withColumn("_rank", rank("_mean", group))
+    df = df.withColumn("_rank", rank(F.round("_mean", digits), group))
     return df.withColumn(out, zscore("_rank", group)).drop("_mean", "_rank", *(f"_{k}_{c}" for k in "rz" for c in columns))
 
 

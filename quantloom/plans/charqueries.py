@@ -27,7 +27,7 @@ def _items(names: list[str], salt: int = 0) -> str:
     return ", ".join(out)
 
 
-_FUNDA = f"(select id, date, cast(year(date) as int) as fyear, cast(2000 + (ind * 173 + id % 4) % 5200 as varchar(9)) as sic, case when id % 9 = 0 then '713210' else '3254' end as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PA}) a) b)"
+_FUNDA = f"(select id, date, date as datadate, cast(year(date) as int) as fyear, cast(2000 + (ind * 173 + id % 4) % 5200 as varchar(9)) as sic, case when id % 9 = 0 then '713210' else '3254' end as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PA}) a) b)"
 _FUNDA = _FUNDA.replace("varchar(9)", "string")
 #: Quarters of fiscal years; those of a fifth of the ids end in June from 1996 on. Some year-to-date values are missing, and some quarters.
 _QUARTERS = """(select *, sum(saleq) over (partition by id, fyearq order by date) as saley, case when id % 4 <> 1 then sum(cogsq) over (partition by id, fyearq order by date) end as cogsy
@@ -65,7 +65,7 @@ def _register(prefix: str, source: str, columns: list[str], prepare, exprs: dict
 
 #: Characteristics that are whole numbers.
 _WHOLE = {"f_score", "ps", "sin", "rd", "securedind", "convind", "ni_inc8q", "divi", "divo", "ipo", "age"}
-_FUNDA_COLS = ["id", "date", "fyear", "sic", "naics", *funda.RAW]
+_FUNDA_COLS = ["id", "date", "datadate", "fyear", "sic", "naics", *funda.RAW]
 _STOCK_COLS = ["id", "date", "prc", "ret", "retx", "vol", "shrout", "cfacpr", "cfacshr", "exchcd", "permco", "hsiccd", "cash_div", "rf", "mktrf", "hml", "smb_ff"]
 _DAILY_COLS = ["id", "date", "prc", "bidlo", "askhi", "ret", "vol", "shrout", "cfacpr", "exchcd", "rf", "mktrf", "hml", "smb_ff"]
 _register("funda_chars", _FUNDA, _FUNDA_COLS, funda.prepare, funda.formulas(_T))
@@ -76,7 +76,7 @@ _register("crspm_chars", _STOCK, _STOCK_COLS, crspm.prepare, crspm.formulas(_T),
 #: Variants of the replication, and yearly accounts on a monthly grid: a period is twelve rows.
 _JKP, _M12 = Terms(jkp=True), Terms(m=12)
 _register("funda_chars_jkp", _FUNDA, _FUNDA_COLS, funda.prepare, funda.formulas(_JKP), 40, _JKP, ["debt_gr3", "inv_gr1a", "fnl_gr1a", "netis_at", "eqnetis_at", "oaccruals_at", "lnoa_gr1a", "dsale_dinv", "be_gr1a", "f_score", "kz_index"])
-_MONTHLY_ITEMS = f"(select id, date, (row_number() over (partition by id order by date) - 1) % 12 as ph, cast(year(date) as int) as fyear, cast(2000 + (ind * 173 + id % 4) % 5200 as string) as sic, '3254' as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PM}) a) b)"
+_MONTHLY_ITEMS = f"(select id, date, (row_number() over (partition by id order by date) - 1) % 12 as ph, make_date(cast(year(date) - 16 as int), 12, 31) as datadate, cast(year(date) as int) as fyear, case ind % 8 when 0 then '4011' when 1 then '4512' when 2 then '4812' else cast(2000 + (ind * 173 + id % 4) % 5200 as string) end as sic, '3254' as naics, {_items(funda.RAW)} from (select *, cast(year(date) as int) as p from ({PM}) a) b)"
 _register("funda_chars_monthly", _MONTHLY_ITEMS, ["id", "date", "ph", *_FUNDA_COLS[2:]], funda.prepare, funda.formulas(_M12), 40, _M12, ["at_gr1", "sale_gr3", "noa_gr1a", "acc", "capex_abn", "earnings_variability", "ni_ar1", "ni_ivol", "dsale_dinv", "emp_gr1", "f_score", "age", "herf_sale", "rd5_at"])
 
 

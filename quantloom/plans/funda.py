@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .spec import Terms, above, create, div, flag, nonzero, nz, replaced, total
 
@@ -106,7 +107,7 @@ def formulas(t: Terms) -> dict[str, str]:
         "_rer": f"coalesce({div('fatb + fatl', 'ppegt')}, {div('ppenb + ppenls', 'ppent')})", "realestate": "case when count(_rer) over (partition by sic2, fyear) >= 5 then _rer - avg(_rer) over (partition by sic2, fyear) end",
         "secured": nz(div("dm", above("dltt + dlc"))), "securedind": flag("secured > 0"), "convind": flag(f"coalesce(dcvt, dcpstk - {nz('pstk')}) > 0 or cshrc > 0"), "_capx2": f"coalesce(capx, {D('ppent')})", **grow("_capx2"), "_dcapx": c2e("_capx2"), "pchcapx_ia": _industry("_dcapx"),
         "_tax": "coalesce(txfo + txfed, txt - txdi)", "_tb": div("_tax", f"({rate}) * ib"), "tb": "case when ib <= 1e-7 then case when _tax > 0 then 1.0 end else _tb end",
-        "_herf_ok": "not coalesce(sic between '6000' and '6999' or sic between '4900' and '4939' or (date <= date '1980-01-01' and sic in ('4011', '4210', '4213')) or (date <= date '1978-01-01' and sic = '4512') or (date <= date '1982-01-01' and sic in ('4812', '4813')), false)",
+        "_herf_ok": "not coalesce(sic between '6000' and '6999' or sic between '4900' and '4939' or (datadate <= date '1980-01-01' and sic in ('4011', '4210', '4213')) or (datadate <= date '1978-01-01' and sic = '4512') or (datadate <= date '1982-01-01' and sic in ('4812', '4813')), false)",
         **herf("sale"), **herf("at_"), **herf("be"), "herf_sale": R("mean", "_h_sale", 3), "herf_at": R("mean", "_h_at_", 3), "herf_be": R("mean", "_h_be", 3), "dy": div("dvt", "me"), "_adj": "csho * ajex", "chcsho": G("_adj"), "lgr": G("lt_"),
     }
     return f
@@ -117,5 +118,8 @@ def names(t: Terms = Terms()) -> list[str]:
 
 
 def characteristics(df: DataFrame, wanted: list[str] | None = None, t: Terms = Terms()) -> DataFrame:
-    """df: id, date, sic, naics, fyear and RAW. Gives df after preparation with the wanted characteristics."""
+    """df: id, date, sic, naics, fyear, RAW and datadate, the accounts' own date (default: date). Gives df after preparation with the
+    wanted characteristics."""
+    if "datadate" not in df.columns:
+        df = df.withColumn("datadate", F.col("date"))
     return create(replaced(df, prepare(t)), formulas(t), wanted)

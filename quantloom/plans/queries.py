@@ -209,12 +209,7 @@ def _z(x: str) -> str:
 @query(f", r as (select id, date, {_avg_rank('cnt')} as ra, {_avg_rank('ret')} as rb from pm), z as (select id, date, {_z('ra')} as za, {_z('rb')} as zb from r), m as (select id, date, (coalesce(za, 0) + coalesce(zb, 0)) / nullif(cast(za is not null as int) + cast(zb is not null as int), 0) as mean from z), k as (select id, date, {_avg_rank('round(mean, 9)')} as rk from m) select id, date, round({_z('rk')}, 6) as x from k")
 def zrank(spark, sf_dir):
     df = monthly(spark, sf_dir).df.select("id", "date", "cnt", "ret")
-    df = df.withColumns({"_ra": X.rank("cnt", ["date"]), "_rb": X.rank("ret", ["date"])})
-    df = df.withColumns({"za": X.zscore("_ra", ["date"]), "zb": X.zscore("_rb", ["date"])})
-    from quantloom.functions.columns import mean_present
-
-    df = df.withColumn("_rk", X.rank(F.round(mean_present("za", "zb"), 9), ["date"]))
-    return rounded(df.select("id", "date", X.zscore("_rk", ["date"]).alias("x")))
+    return rounded(X.zrank(df, ["cnt", "ret"], "x", ["date"]).select("id", "date", "x"))
 
 
 _BEYOND = {c: f"coalesce({c} < l{c} - (m{c} - l{c}) or {c} > u{c} + (u{c} - m{c}), false)" for c in ("sale", "b", "a")}
