@@ -4,7 +4,8 @@ A split of a byte string into tokens is its BPE encoding just if every token is
 encoding of their bytes. So each prefix has one last token, found from the last tokens of the prefixes a token's length before.
 A state of the transducer is the set of live hypotheses: tokens not yet emitted, and the bytes of a token begun. Reading a byte
 moves all hypotheses on; what all of them agree on is emitted, at most a token's length behind. States and moves are made when
-first needed, and forgotten when they take more memory than they may, also within a long match.
+first needed, and forgotten when they take more memory than they may, also within a long match. Where a match leaves the states that
+there are, what is left of it, if it is short, is read without making any, the first time: most such ends never come again.
 
 The pattern is matched by the library regex, whose Unicode tables may be newer than another library's for a few letters.
 
@@ -30,8 +31,9 @@ from .pieces import PieceEncoder, Remembered
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes that a Python worker remembers of states, moves, pairs and pieces; less where other stages need the memory too.
-MEMORY = 480_000_000
+MEMORY = 640_000_000
 SMALL = 80_000_000
+_TAIL = 64  # bytes that are read without making states, at most
 _MARKS = frozenset(".,;:!?")
 
 
@@ -67,6 +69,7 @@ class Transducer:
         self.hypotheses, self.number = [start], {start: 0}
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte: next state, tokens emitted
         self.pairs: dict[int, bool] = {}
+        self.met: set[int] = set()  # moves that one match wanted so far
         self.used = 0
 
     def merge(self, x: bytes, below: int = 1 << 60) -> list[int]:
@@ -159,17 +162,48 @@ class Transducer:
             self.used += 220
         return out
 
+    def _tail(self, state: int, x: bytes) -> tuple[int, ...]:
+        """The tokens that a match has from a state on, read by its hypotheses themselves."""
+        live, step, known = self.hypotheses[state], self.step, self.pairs.get
+        for byte in x:
+            now, done = [], None
+            for h in live:
+                last, pending, begun = h
+                at = step(begun << 8 | byte)
+                if at is None:
+                    continue
+                if at & 1:
+                    now.append((last, pending, at >> 21))
+                if done is None and at & 0x1FFFFE:
+                    token, before = (at >> 1 & 0xFFFFF) - 1, pending[-1] if pending else last
+                    fits = known((before + 1) << 32 | token)
+                    if self.follows(before, token) if fits is None else fits:
+                        done = (last, (*pending, token), 0)
+            now.append(done)
+            live = now
+        return live[-1][1]
+
     def encode(self, x: bytes) -> list[int]:
         """Of one match of the pattern; a match that is a token is that token."""
         whole = self.ranks.get(x)
         if whole is not None:
             return [whole]
-        out, state = [], 0
+        out, state, left = [], 0, len(x)
         for byte in x:
-            state, said = self.moves.get(state << 8 | byte) or self._move(state, byte)
+            left -= 1
+            key = state << 8 | byte
+            got = self.moves.get(key)
+            if got is None:
+                if left < _TAIL and key not in self.met:
+                    self.met.add(key)
+                    self.used += 90
+                    out += self._tail(state, x[len(x) - left - 1 :])
+                    return out
+                got = self._move(state, byte)
+            state, said = got
             if said:
-                out.extend(said)
-        out.extend(self.hypotheses[state][-1][1])
+                out += said
+        out += self.hypotheses[state][-1][1]
         return out
 
 
