@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +66,34 @@ def small_batches(spark: SparkSession, texts: int):
         yield
 
 
-def materialise(df: DataFrame, row_groups: int | None = None) -> DataFrame:
+#: Of each passing() that we are in, the innermost last, the folders written so far.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables that materialise() writes within are deleted at the end, but for those with `keep`: nothing else may be read after it."""
+    folders: list[str] = []
+    token = _PASSING.set((*_PASSING.get(), folders))
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for f in folders:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def materialise(df: DataFrame, row_groups: int | None = None, keep: bool = False) -> DataFrame:
     """df written as Parquet to the shared folder and read again: lineage ends here, and a lost executor costs only a read.
-    row_groups: bytes of Parquet's row groups, for tables of long binary values. The shuffle files of what went before are deleted
-    when the table is written.
+    row_groups: bytes of Parquet's row groups, for tables of long binary values. keep: the table outlives the passing() that we are in.
+    The shuffle files of what went before are deleted when the table is written.
     """
     spark = df.sparkSession
-    path = scratch_dir(spark) + "/t"
+    folder, within = scratch_dir(spark), _PASSING.get()[: -1 if keep else None]
+    if within:
+        within[-1].append(folder)
+    path = folder + "/t"
     out = df.write.option("compression", "zstd")
     with setting(spark, _CLEANUP, "true"):
         (out.option("parquet.block.size", row_groups) if row_groups else out).parquet(path)
