@@ -22,8 +22,11 @@ class Config:
     mapping_file: str | None = None
 
 
-def read_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, date: str = "date", columns: list[str] | None = None, month_end: bool = False) -> DataFrame:
-    """A Parquet table's rows within dates, which reach the scan; NaN and infinities as null. Missing columns are an error."""
+def read_table(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, date: str = "date", columns: list[str] | None = None, month_end: bool = False, kinds: dict[str, str] | None = None) -> DataFrame:
+    """A Parquet table's rows within dates, which reach the scan; NaN and infinities as null. Missing columns are an error.
+
+    kinds: column -> type; a value that isn't of its type is an error, as the table isn't what it should be.
+    """
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*columns)
@@ -32,9 +35,17 @@ def read_table(spark: SparkSession, path: str, start: str | None = None, end: st
     if end:
         df = df.where(F.col(date) <= F.lit(end).cast("date"))
     df = nan_to_null(df)
+    if kinds:
+        df = df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
     return df.withColumn(date, F.last_day(date)) if month_end else df
 
 
+def page(df: DataFrame, order: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Some rows of a table in a stated order, of which its first columns should make a key."""
+    df = df.orderBy(*order).offset(offset)
+    return df if limit is None else df.limit(limit)
+
+
 def write_table(df: DataFrame, path: str, sort: list[str] | None = None, partition: list[str] | None = None, single: bool = False) -> None:
     if single:
         df = df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"})
