@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, materialise, setting, slices
+from .pieces import byte_letters
 from .tokenfiles import BATCH, VOCABULARY, _encoder
 
 PIECES = "piece_bpe_32k.model"
@@ -38,13 +39,6 @@ PART = 8_000_000  # links of a stripe that one partition scores, about
 _CHUNK = 200_000  # pairs of ids to a row of counts
 
 
-def byte_letters() -> dict[str, int]:
-    """The byte that each letter of a byte-level vocabulary stands for: printable ones stand for themselves, the others follow from 256 on."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(kept)]
-    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class _Pair:
     """Both tokenizers, with the bytes of each id, and its decimal form followed by what can follow it in a group's text."""
 

@@ -1,9 +1,11 @@
 """Texts cut at single spaces between two characters that aren't white space.
 
 No match of the byte-level pattern goes over such a cut: in every alternative white space stands only first, or all is white
-space. So each piece, with its space in front, is encoded by itself. A run of texts is cut by Arrow, each distinct piece is looked
-up once, all new ones are encoded together, and the texts' ids are gathered from those of the pieces. Where a text has other white
-space next to a space, the pieces that touch there are one.
+space. So each piece, with its space in front, is encoded by itself. Nor does one go from a letter to a mark behind it, or over a
+single newline between two characters that aren't white space, so on demand texts are cut there too, and words are known again
+whatever stands behind them. The bytes of a run of texts are cut all at once, each distinct piece is looked up once, all new ones
+are encoded together, and the texts' ids are gathered from those of the pieces. Where a text has other white space next to a space
+or newline, it isn't cut.
 """
 
 from __future__ import annotations
@@ -14,10 +16,64 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"  # all that str.isspace() holds for
-_TOUCHES = f"^$|^{_SPACE}|{_SPACE}$"
 LONG = 64  # characters of a piece that is still remembered
 _ENTRY = 220  # bytes that a remembered piece takes, about
+MARKS = ".,!?;:#$%&*"  # no letter, digit or white space; an apostrophe may begin a match with letters
+_LETTER, _MARK, _WHITE, _SPACE = 1, 2, 3, 4
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASS[[*MARKS.encode()]] = _MARK
+_CLASS[[*range(9, 14), *range(28, 32)]] = _WHITE
+_CLASS[32] = _SPACE
+_CLASS[[*range(0xC3, 0xC9), 0xD0, 0xD1]] = _LETTER  # first bytes of Latin and Cyrillic letters of two bytes
+_WIDE = [int.from_bytes(chr(c).encode()) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]  # white space of three bytes
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones stand for themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def begins(data: np.ndarray, first: np.ndarray, last: np.ndarray, marks: bool = False) -> np.ndarray:
+    """Where the pieces of texts begin. data: the texts' bytes; first, last: where those begin that aren't empty, and their last bytes."""
+    kind = _CLASS[data]
+    two = np.flatnonzero((data >= 0xC3) & (kind == _LETTER))
+    signs = two[(data[two] == 0xC3) & ((data[two + 1] == 0x97) | (data[two + 1] == 0xB7))]  # multiplied and divided by
+    kind[two + 1] = _LETTER
+    kind[signs] = kind[signs + 1] = 0
+    for n, lead, values in ((2, data == 0xC2, [0xC285, 0xC2A0]), (3, (data >= 0xE1) & (data <= 0xE3), _WIDE)):
+        at = np.flatnonzero(lead)
+        at = at[np.isin(sum(data[at + k].astype(np.int64) << 8 * (n - 1 - k) for k in range(n)), values)]
+        for k in range(n):
+            kind[at + k] = _WHITE
+    cut, ink = np.zeros(len(data), bool), kind < _WHITE
+    between = ink[:-2] & ink[2:]
+    cut[1:-1] = (kind[1:-1] == _SPACE) & between
+    cut[last] = False
+    if marks:
+        line = np.zeros(len(data), bool)
+        line[1:-1] = (data[1:-1] == 10) & between
+        line[first] = line[last] = False
+        cut |= line
+        cut[1:] |= line[:-1] | (kind[1:] == _MARK) & (kind[:-1] == _LETTER)
+    cut[first] = True
+    return np.flatnonzero(cut)
+
+
+def cut(texts: pa.Array, spaced: bool = False, marks: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of texts (no nulls), and where those of each text begin and end among them. spaced: a space is put before each text."""
+    texts = texts.cast(pa.large_string())
+    if spaced:
+        texts = pc.binary_join_element_wise(pa.scalar("", texts.type), texts, pa.scalar(" ", texts.type))
+    _, at, raw = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, at = np.frombuffer(raw or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+    some = at[1:] > at[:-1]
+    places = begins(data, at[:-1][some], at[1:][some] - 1, marks)
+    pieces = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data))), pa.py_buffer(data))
+    return pieces, np.searchsorted(places, at)
 
 
 class Remembered:
@@ -52,79 +108,39 @@ class Remembered:
 
 
 class PieceEncoder:
-    """encode(texts): the ids of texts, by what `encode_pieces` gives for lists of pieces, as bytes of ids of type `dtype`."""
+    """encode(texts): the ids of texts, by what `encode_pieces` gives for lists of pieces, as bytes of ids of type `dtype`.
+    marks: texts are also cut at marks and newlines."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int):
-        self.encode_pieces, self.dtype, self.known = encode_pieces, np.dtype(dtype), Remembered(most)
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int, marks: bool = False):
+        self.encode_pieces, self.dtype, self.known, self.marks = encode_pieces, np.dtype(dtype), Remembered(most), marks
 
     def encode(self, texts: pa.Array, end: bytes = b"", spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text end. end: what follows each text's ids; spaced: a space is put before each text."""
-        if not len(texts):
-            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        texts = pc.fill_null(texts, "")
-        cut = pc.split_pattern(texts, " ")
-        words, at = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
-        at = at - at[0]
-        rest, begin = words.dictionary_encode(), words.take(pa.array(at[:0] if spaced else at[:-1])).dictionary_encode()
-        opening = pc.binary_join_element_wise(pa.scalar("", words.type), rest.dictionary, " ")
-        pieces = [*_strings(opening), *_strings(begin.dictionary)]
-        code = rest.indices.to_numpy().astype(np.int64)
-        if not spaced:
-            code[at[:-1]] = begin.indices.to_numpy().astype(np.int64) + len(opening)
-        touched = np.concatenate([pc.match_substring_regex(x.dictionary, _TOUCHES).to_numpy(zero_copy_only=False).astype(bool) for x in (rest, begin)])
-        got = self.known.get(pieces)
-        for i in np.flatnonzero(touched).tolist():
-            got[i] = b""
-        new = [i for i, y in enumerate(got) if y is None]
-        for i, y in zip(new, self._fresh([pieces[i] for i in new])):
-            got[i] = y
-        if touched.any():
-            self._touched(texts, np.flatnonzero(np.logical_or.reduceat(touched[code], at[:-1])), code, at, got, " " * spaced)
+        code, at, got = self.coded(texts, spaced)
         if end:
             code, at = np.insert(code, at[1:], len(got)), at + np.arange(len(at))
             got.append(end)
-        size = np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize
-        begins, size = np.cumsum(size) - size, size[code]
-        ends = np.cumsum(size)
-        flat = np.frombuffer(b"".join(got), self.dtype)[np.repeat(begins[code] - ends + size, size) + np.arange(int(ends[-1]))]
-        return flat, ends[at[1:] - 1]
-
-    def _fresh(self, xs: list[str]) -> list[bytes]:
-        out = self.encode_pieces(xs) if xs else []
-        self.known.put_all(xs, out)
-        return out
-
-    def _touched(self, texts: pa.Array, which: np.ndarray, code: np.ndarray, at: np.ndarray, got: list, before: str) -> None:
-        """Texts whose pieces touch: a text's first piece stands for all of it."""
-        merged = {int(i): merge(before + texts[int(i)].as_py()) for i in which}
-        distinct = list(dict.fromkeys(x for xs in merged.values() for x in xs))
-        known = dict(zip(distinct, self.known.get(distinct)))
-        new = [x for x, y in known.items() if y is None]
-        for plain in (True, False):  # pieces with white space inside go by themselves
-            some = [x for x in new if plain == (" " not in x[1:])]
-            known.update(zip(some, self._fresh(some)))
-        empty = len(got)
-        got.append(b"")
-        for i, xs in merged.items():
-            code[at[i] : at[i + 1]] = empty
-            code[at[i]] = len(got)
-            got.append(b"".join([known[x] for x in xs]))
+        out = pa.array(got, pa.large_binary()).take(pa.array(code))
+        _, upto, raw = out.buffers()
+        upto = np.frombuffer(upto, np.int64, len(out) + 1) // self.dtype.itemsize if len(out) else np.zeros(1, np.int64)
+        return np.frombuffer(raw or b"", self.dtype, int(upto[-1])), upto[at[1:]]
+
+    def coded(self, texts: pa.Array, spaced: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """For each piece of the texts the place of its ids in a list, where each text begins and ends among the pieces, and that list."""
+        pieces, at = cut(pc.fill_null(texts, ""), spaced, self.marks)
+        pieces = pieces.dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        got = self.known.get(distinct)
+        lost = [i for i, y in enumerate(got) if y is None]
+        if lost:
+            new = [distinct[i] for i in lost]
+            made = self.encode_pieces(new)
+            self.known.put_all(new, made)
+            for i, y in zip(lost, made):
+                got[i] = y
+        return pieces.indices.to_numpy().astype(np.int64), at, got
 
 
 def merge(text: str) -> list[str]:
-    """The pieces of a text in which some touch."""
-    if not text:
-        return []
-    whole, *rest = text.split(" ")
-    out = []
-    for x in rest:
-        if whole and x and not (whole[-1].isspace() or x[0].isspace()):
-            out.append(whole)
-            whole = f" {x}"
-        else:
-            whole = f"{whole} {x}"
-    return [*out, whole]
-
-
-def _strings(xs: pa.Array) -> list[str]:
-    return xs.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+    """The pieces of a text."""
+    return cut(pa.array([text]))[0].to_pylist()

@@ -8,7 +8,7 @@ the line separator, one zero byte, is the last byte of its id 0, so any file sys
 
 Documents are dealt into shards by ranges of doc_id, and of a hash within a doc_id, so that the order of the files is the order of
 the documents and rows with one or no doc_id are no hot shard. The texts are encoded after that, in pieces that are looked up if met
-before; new pieces go through the tokenizers library, also its added tokens. For lookups a manifest beside the files tells each shard's keys.
+before; new pieces go through the tokenizers library, also its added tokens, and plain words through its model alone. For lookups a manifest beside the files tells each shard's keys.
 
 Defined results: null and empty texts have id 0 alone. Rows with a null doc_id come first. Rows with the same doc_id follow each
 other, in an order that reruns keep, and a lookup gives all of them. An empty table gives no rows. Other columns are ignored.
@@ -16,20 +16,24 @@ other, in an order that reruns keep, and a lookup gives all of them. An empty ta
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, materialise, mix64, scratch_dir, slices, small_batches
-from .pieces import PieceEncoder
+from .pieces import MARKS, PieceEncoder, byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARD_CHARS = 12_000_000
@@ -39,6 +43,8 @@ _TOGETHER = 512  # pieces: the library takes some hundred bytes for each letter,
 _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
+_WORD = "^ [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3]+\\z"  # letters of all versions of Unicode
+_INK = r"^ [^\t-\r\x1c-\x20\x{85}\p{Z}]([^ ]*[^\t-\r\x1c-\x20\x{85}\p{Z}])?\z"  # one space, first, and no white space last
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -135,35 +141,64 @@ def pack_index(width: int, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
     return body + struct.pack("<q8s", len(body), _MARK)
 
 
+def _bare(t) -> bool:
+    """Whether words may go to a tokenizer's model without its pattern: it has the byte-level one alone, and a token for each byte, and
+    each added token has a character that isn't in words or their letters."""
+    has = json.loads(t.to_str())
+    level = has["pre_tokenizer"] or {}
+    alone = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level["add_prefix_space"] and not has["normalizer"] and not has["post_processor"]
+    return bool(alone and has["model"]["type"] == "BPE" and all(t.token_to_id(c) is not None for c in byte_letters()) and all(re.search(r"[!-@\[-`{-~]", x["content"]) for x in has["added_tokens"]))
+
+
 @lru_cache(1)
 def _encoder(path: str, ordinary: bool = False):
     """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0.
     ordinary: special tokens' strings in a text are text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would each keep memory
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import CharDelimiterSplit
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = ordinary
     width = 2 if t.get_vocab_size() <= 1 << 16 else 4
     opens = np.array([(t.id_to_token(i) or "").startswith(_SPACE) for i in range(t.get_vocab_size())])
     # Pieces never cut an added token, as long as none has white space or takes any from its sides.
-    whole = any(x.lstrip or x.rstrip or x.single_word or any(c.isspace() for c in x.content) for x in t.get_added_tokens_decoder().values())
+    added = t.get_added_tokens_decoder().values()
+    whole = any(x.lstrip or x.rstrip or x.single_word or any(c.isspace() for c in x.content) for x in added)
+    marks = not any(re.search(rf"[^\W\d_][{re.escape(MARKS)}]", x.content) for x in added)
 
     def ids(xs: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, f"<u{width}") for e in t.encode_batch_fast(xs, add_special_tokens=False)]
 
-    def pieces(xs: list[str]) -> list[bytes]:
-        # Pieces are encoded as one string, which the library does faster; a piece's first token is its only one with a space.
-        opening = [i for i, x in enumerate(xs) if x[0] == " "]
-        out = [b""] * len(xs)
-        for first in range(0, len(opening), _TOGETHER):
-            at = opening[first : first + _TOGETHER]
-            got = ids(["".join([xs[i] for i in at])])[0]
+    def joined(xs: list[str], at: list[int], tokenizer, text: Callable[[list[str]], str], out: list[bytes]) -> None:
+        """Pieces are encoded as one string, which the library does faster; a piece's first token is its only one with a space."""
+        for first in range(0, len(at), _TOGETHER):
+            some = at[first : first + _TOGETHER]
+            got = np.array(tokenizer.encode_batch_fast([text([xs[i] for i in some])], add_special_tokens=False)[0].ids, f"<u{width}")
             cuts = np.flatnonzero(opens[got])
-            if len(cuts) == len(at) and cuts[0] == 0:
+            if len(cuts) == len(some) and cuts[0] == 0:
                 raw, ends = got.tobytes(), (np.append(cuts, len(got)) * width).tolist()
-                for i, k, j in zip(at, ends, ends[1:]):
+                for i, k, j in zip(some, ends, ends[1:]):
                     out[i] = raw[k:j]
+
+    # A word is one match of the pattern, so its bytes' letters go to the model without it; newlines, which are no byte's letter, part words.
+    by_words = Tokenizer.from_file(path)
+    by_words.pre_tokenizer = CharDelimiterSplit("\n")
+    letter = np.zeros(256, "<u2")
+    letter[list(byte_letters().values())] = list(map(ord, byte_letters()))
+    letter[10] = 10
+
+    def letters(xs: list[str]) -> str:
+        return letter[np.frombuffer("\n".join(xs).encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+    bare = _bare(t)
+
+    def pieces(xs: list[str]) -> list[bytes]:
+        out, column = [b""] * len(xs), pa.array(xs, pa.large_string())
+        if bare:
+            joined(xs, np.flatnonzero(pc.match_substring_regex(column, _WORD)).tolist(), by_words, letters, out)
+        opening = np.flatnonzero(pc.match_substring_regex(column, _INK)).tolist()
+        joined(xs, [i for i in opening if not out[i]], t, "".join, out)
         left = [i for i, x in enumerate(out) if not x]
         for i, x in zip(left, ids([xs[i] for i in left]) if left else ()):
             out[i] = x.tobytes()
@@ -173,7 +208,7 @@ def _encoder(path: str, ordinary: bool = False):
         got = [np.append(x, np.frombuffer(end, x.dtype)) for x in ids([x or "" for x in texts.to_pylist()])]
         return np.concatenate(got), np.cumsum([len(x) for x in got])
 
-    return width, plain if whole else PieceEncoder(pieces, f"<u{width}", MEMORY).encode
+    return width, plain if whole else PieceEncoder(pieces, f"<u{width}", MEMORY, marks).encode
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> None:

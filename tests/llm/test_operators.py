@@ -398,3 +398,32 @@ def test_pipeline(spark, docs, tmp_path):
             assert not ids & {2, 14} and 1 in ids
     out = cp.run(spark, str(tmp_path)).collect()
     assert out and all(len(r.ids) == r.n_tokens for r in out)
+
+
+_ODD = [*" \n.,'$a", "  ", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", " ", "　", "​", "×", "÷", "é", "ß", "д", "ѿ", "҂", "中", "ﬁ", "😀", "é", "7", "½", "'s", "'ll", "Word", " two", "...", "#%&*", "_", "|", "<|endoftext|>", "<|", "|>", "ª", "ʰ", "ͅ"]
+
+
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_texts_cut_at_marks_and_newlines_have_the_librarys_ids(ordinary):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, draw = public_tokenizers.path(tokenfiles.VOCABULARY), random.Random(5)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = ordinary
+    some = [None, "", *("".join(draw.choices(_ODD, k=draw.randint(1, 40))) for _ in range(3000))]
+    want = [[list(e.ids) for e in t.encode_batch([before + (x or "") for x in some], add_special_tokens=False)] for before in ("", " ")]
+    _, encode = tokenfiles._encoder(path, ordinary)
+    for spaced in (False, True, False):
+        ids, ends = encode(pa.array(some), b"", spaced)
+        assert [ids[i:j].tolist() for i, j in zip([0, *ends], ends)] == want[spaced]
+
+
+def test_a_word_is_encoded_once_whatever_stands_behind_it():
+    import pyarrow as pa
+
+    seen = []
+    e = pieces.PieceEncoder(lambda xs: seen.extend(xs) or [x.encode() for x in xs], "u1", 1 << 20, True)
+    text = "a word. word, word\nword $5 word... word"
+    assert e.encode(pa.array([text, text]))[0].tobytes().decode() == text * 2
+    assert sorted(seen) == sorted(["a", " word", ".", ",", "\n", "word", " $5", "..."])
