@@ -1,7 +1,7 @@
 """Cross-tokenizer alignment: which ids of two tokenizers end at the same bytes, how often over the corpus, and how well they agree.
 
 Each text is encoded by a byte-level BPE (A) and by a sentencepiece model (B). Where a token of A and one of B end at the same byte
-they are linked; these ends cut the text into groups. The links of a run of documents leave their task packed by stripe, B's ids
+they are linked; these ends cut the text into groups. Pieces cut at single spaces are aligned by themselves, once, and remembered. The links of a run of documents leave their task packed by stripe, B's ids
 modulo `STRIPES`: one row for each run and stripe, alike links of a document once with their number. Counts over the corpus are
 dense matrices, one for each stripe, with a row for each of its B ids and a column for each A id: partial ones for parts of the runs,
 whose sums make the stripe's. Row maxima tell the best count of a B id. To score the links they meet their stripe's counts in one
@@ -22,13 +22,14 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, give_back, materialise, setting, slices
-from .pieces import byte_letters
-from .tokenfiles import BATCH, VOCABULARY, _encoder
+from .pieces import PieceEncoder, byte_letters
+from .tokenfiles import _TOGETHER, BATCH, INK, VOCABULARY, _encoder
 
 PIECES = "piece_bpe_32k.model"
 STRIPES = 1024
@@ -36,6 +37,8 @@ RUN = 1_000_000  # links of a run of documents, about
 DOCS = 1 << 16  # documents of a run, at most
 SALTS = 16  # parts of the runs whose counts are added first
 PART = 8_000_000  # links of a stripe that one partition scores, about
+MEMORY = 120_000_000  # bytes of pieces whose links a Python worker remembers
+_ENTRY = 320  # bytes that such a piece takes, about
 _CHUNK = 200_000  # pairs of ids to a row of counts
 
 
@@ -46,7 +49,7 @@ class _Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        _, self.encode_a = _encoder(a_path, True)
+        _, self.encode_a = _encoder(a_path, True, MEMORY // 2)
         t, letters = Tokenizer.from_file(a_path), byte_letters()
         tokens = [t.id_to_token(i) or "" for i in range(t.get_vocab_size())]
         self.a_bytes = [bytes(letters[c] for c in x) if all(c in letters for c in x) else x.encode() for x in tokens]
@@ -55,19 +58,89 @@ class _Pair:
         self.a_size, self.b_size = (np.array([len(x) for x in xs], np.int64) for xs in (self.a_bytes, self.b_bytes))
         self.written = [b"%d%s" % (i, s) for n, ends in ((len(tokens), (b",", b"|")), (len(self.b_bytes), (b",", b";", b""))) for i in range(n) for s in ends]
 
-    def encode_both(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """a, b: ids of those texts that both give back; na, nb: their numbers by text, of all texts."""
-        a, ends = self.encode_a(texts, b"", True)
-        lists = self.b.encode(texts.to_pylist(), num_threads=1)
+        self.opens = np.array([x.startswith(b" ") for x in self.b_bytes])
+        self.parted = _parted(self.b)
+        self.known = PieceEncoder(self.aligned, "<u4", MEMORY, entry=_ENTRY)
+
+    def encode_b(self, xs: list[str]) -> list[list[int]]:
+        """B's ids of pieces, which begin with a space. Those that may are encoded as one text; a piece's first token is its only one with a space."""
+        out: list = [None] * len(xs)
+        plain = np.flatnonzero(pc.match_substring_regex(pa.array(xs, pa.large_string()), INK)).tolist() if self.parted else []
+        for first in range(0, len(plain), _TOGETHER):
+            some = plain[first : first + _TOGETHER]
+            got = self.b.encode("".join([xs[i] for i in some])[1:], num_threads=1)
+            cuts = np.flatnonzero(self.opens[got]).tolist()
+            if len(cuts) == len(some) and cuts[0] == 0:
+                for i, k, j in zip(some, cuts, [*cuts[1:], len(got)]):
+                    out[i] = got[k:j]
+        left = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(left, self.b.encode([xs[i][1:] for i in left], num_threads=1) if left else ()):
+            out[i] = x
+        return out
+
+    def aligned(self, xs: list[str]) -> list[bytes]:
+        """Of pieces that begin with a space: five numbers (1 if both tokenizers give the piece back, A's and B's ids, links, bytes of
+        the groups), the links' A ids and B ids, and the groups."""
+        a, ends = self.encode_a(pa.array(xs, pa.large_string()))
+        lists = self.encode_b(xs)
         na, nb = np.diff(ends, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists))
-        b = np.fromiter(chain.from_iterable(lists), np.int64, int(nb.sum()))
-        at, bt = np.append(0, np.cumsum(na)), np.append(0, np.cumsum(nb))
-        a_list, good = a.tolist(), np.zeros(len(texts), bool)
-        for i, x in enumerate(texts):
-            raw = b" " + x.as_buffer().to_pybytes()
-            good[i] = len(raw) > 1 and b"".join(map(self.a_bytes.__getitem__, a_list[at[i] : at[i + 1]])) == raw and b"".join(map(self.b_bytes.__getitem__, lists[i])) == raw
-        a, b = a[np.repeat(good, na)].astype(np.int64), b[np.repeat(good, nb)]
-        return a, b, na * good, nb * good
+        a, b = a.astype(np.int64), np.fromiter(chain.from_iterable(lists), np.int64, int(nb.sum()))
+        good = _gives(a, na, self.a_bytes, self.a_size, xs) & _gives(b, nb, self.b_bytes, self.b_size, xs)
+        a, b = a[np.repeat(good, na)], b[np.repeat(good, nb)]
+        na, nb = na * good, nb * good
+        la, lb, piece, groups = align(self, a, b, na, nb)
+        n = np.bincount(piece, minlength=len(xs))
+        heads = np.stack([good, na, nb, n, np.fromiter(map(len, groups), np.int64, len(xs))], 1).astype("<u4").tobytes()
+        la, lb, upto = la.astype("<u4").tobytes(), lb.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [heads[20 * i : 20 * i + 20] + la[k:j] + lb[k:j] + g + b"\0" * (-len(g) % 4) for i, (k, j, g) in enumerate(zip([0, *upto], upto, groups))]
+
+    def links(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Ids and texts of the links, and for each text the hash of its groups and both numbers of ids. A text's pieces end where tokens
+        of both tokenizers do, so its links and groups are those of its pieces."""
+        if self.parted:
+            code, at, got = self.known.coded(texts, True)
+        else:
+            got = self.aligned([f" {x}" for x in texts.to_pylist()])
+            code, at = np.arange(len(got)), np.arange(len(got) + 1)
+        size = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, head = np.frombuffer(b"".join(got), "<u4"), np.cumsum(size) - size
+        good, na, nb, n, written = (flat[head + k].astype(np.int64) for k in range(5))
+        words = [x[i:j] for x, i, j in zip(got, (20 + 8 * n).tolist(), (20 + 8 * n + written).tolist())]
+        pieces = np.diff(at)
+        whole = (np.add.reduceat(good[code], at[:-1]) == pieces) & (pc.binary_length(texts).to_numpy() > 0)
+        a, b = (np.add.reduceat(x[code], at[:-1]) * whole for x in (na, nb))
+        hashes = []
+        for i, j, w in zip(at.tolist(), at[1:].tolist(), whole.tolist()):
+            hashes.append(hashlib.sha256(b";".join(map(words.__getitem__, code[i:j].tolist()))).hexdigest() if w else "")
+        code, doc = code[np.repeat(whole, pieces)], np.repeat(np.flatnonzero(whole), pieces[whole])
+        here = n[code]
+        at = np.repeat(head[code] + 5 - np.cumsum(here) + here, here) + np.arange(int(here.sum()))
+        return flat[at].astype(np.int64), flat[at + np.repeat(here, here)].astype(np.int64), np.repeat(doc, here), hashes, a, b
+
+
+def _gives(ids: np.ndarray, n: np.ndarray, tokens: list[bytes], sizes: np.ndarray, xs: list[str]) -> np.ndarray:
+    """Which pieces their ids, n of each, give back; none has less than a space and a character."""
+    raw = [x.encode() for x in xs]
+    size, upto = np.fromiter(map(len, raw), np.int64, len(raw)), np.append(0, np.cumsum(n))
+    made = np.append(0, np.cumsum(sizes[ids]))[upto]
+    got = list(map(tokens.__getitem__, ids.tolist()))
+    if (np.diff(made) == size).all() and b"".join(got) == b"".join(raw):
+        return size > 1
+    return (size > 1) & [b"".join(got[i:j]) == x for x, i, j in zip(raw, upto.tolist(), upto[1:].tolist())]
+
+
+def _parted(b) -> bool:
+    """Whether a sentencepiece model's ids of a text are those of its pieces one after another: texts stay as they are behind a space,
+    merges go by pieces, and no piece has a space behind another character. What isn't a piece falls to bytes."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(b.serialized_model_proto())
+    norm, spec, kinds = m.normalizer_spec, m.trainer_spec, {p.type for p in m.pieces}
+    plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and not norm.precompiled_charsmap
+    bpe = spec.model_type == spec.BPE and spec.byte_fallback and not spec.treat_whitespace_as_suffix
+    kind = sentencepiece_model_pb2.ModelProto.SentencePiece
+    return bool(plain and bpe and not kinds & {kind.USER_DEFINED, kind.UNUSED} and not any("▁" in p.piece.lstrip("▁") for p in m.pieces))
 
 
 @lru_cache(1)
@@ -75,8 +148,14 @@ def _pair(a_path: str, b_path: str) -> _Pair:
     return _Pair(a_path, b_path)
 
 
-def align(p: _Pair, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Ids and texts of the links, and for each text the hash of its groups. All texts are one stream of bytes here: both sides of
+def _forget() -> None:
+    """A Python worker that goes on to a later step gives back what it kept for encoding."""
+    _pair.cache_clear(), _encoder.cache_clear()
+    give_back()
+
+
+def align(p: _Pair, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ids and texts of the links, and for each text its groups. All texts are one stream of bytes here: both sides of
     a text have the same bytes, and end together."""
     a_end, b_end = np.cumsum(p.a_size[a]), np.cumsum(p.b_size[b])
     ends = np.zeros(int(a_end[-1]) + 1 if len(a_end) else 1, bool)
@@ -95,8 +174,7 @@ def align(p: _Pair, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray
     code[np.arange(len(b)) + since_a[group_b + 1]] = b * 3 + kind_b + 2 * len(p.a_bytes)
     words = list(map(p.written.__getitem__, code.tolist()))
     upto = np.cumsum(na + nb).tolist()
-    hashes = [hashlib.sha256(b"".join(words[i:j])).hexdigest() if i < j else "" for i, j in zip([0, *upto], upto)]
-    return a[ia], b[ib], doc, hashes
+    return a[ia], b[ib], doc, [b"".join(words[i:j]) for i, j in zip([0, *upto], upto)]
 
 
 _TOKENS = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("stripe", pa.int64()), ("docs", pa.binary()), ("pairs", pa.binary()), ("n", pa.binary()), ("i", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string())])
@@ -118,7 +196,7 @@ def _packed(run: list[tuple], width: int) -> tuple[np.ndarray, list, list, list]
     stripe, pair = np.divmod(pair, most)
     cut = np.flatnonzero(np.diff(stripe, prepend=-1))
     bounds = list(zip(cut.tolist(), [*cut[1:].tolist(), len(stripe)]))
-    return stripe[cut], *([x.astype("<u4")[i:j].tobytes() for i, j in bounds] for x in (doc, pair, n))
+    return stripe[cut], *([x[i:j].tobytes() for i, j in bounds] for x in (y.astype("<u4") for y in (doc, pair, n)))
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -140,8 +218,7 @@ def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                         yield close()
                     q, i, links, held = q + 1, 0, [], 0
                 texts = b.column("text").fill_null("")
-                x, y, na, nb = pair.encode_both(texts)
-                la, lb, doc, hashes = align(pair, x, y, na, nb)
+                la, lb, doc, hashes, na, nb = pair.links(texts)
                 links.append((la, lb, doc + i))
                 held += len(la)
                 yield _batch(_TOKENS, p=np.full(len(b), p), q=np.full(len(b), q), i=np.arange(i, i + len(b)), doc_id=b.column("doc_id").cast(pa.int64()), n_a=na, n_b=nb, n_groups=np.bincount(doc, minlength=len(b)), groups_sha256=hashes)
@@ -176,6 +253,7 @@ def _added(shape: tuple[int, int], keys: list[str]):
     """mapInArrow function: dense matrices of the rows of each (stripe, salt), which come in order; gives their entries that aren't zero."""
 
     def run(batches):
+        _forget()
         block, at = np.zeros(shape[0] * shape[1], np.int64), None
 
         def emit():
@@ -219,6 +297,7 @@ def scores(links: DataFrame, counted: DataFrame, shape: tuple[int, int]) -> Data
     met = left.unionByName(right).repartition("stripe", "salt").sortWithinPartitions("stripe", "salt", "kind")
 
     def run(batches):
+        _forget()
         block, at, best = np.zeros(shape, np.int64), None, None
         flat = block.reshape(-1)
         for b in batches:
@@ -259,6 +338,7 @@ def alignment(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """A run's documents and scores: at most DOCS documents, and a row for each stripe."""
+        _forget()
         left = left.sort_by("i")
         best, total = np.zeros(left.num_rows, np.int64), np.zeros(left.num_rows, np.int64)
         for d, x, y in zip(*(right.column(c) for c in ("docs", "best", "sums"))):

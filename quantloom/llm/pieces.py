@@ -79,8 +79,8 @@ def cut(texts: pa.Array, spaced: bool = False, marks: bool = False) -> tuple[pa.
 class Remembered:
     """A dictionary of pieces in two generations: when the young one has taken half of `most` bytes, the old one is forgotten."""
 
-    def __init__(self, most: int):
-        self.half, self.young, self.old, self.used = most // 2, {}, {}, 0
+    def __init__(self, most: int, entry: int = _ENTRY):
+        self.entry, self.half, self.young, self.old, self.used = entry, most // 2, {}, {}, 0
 
     def get(self, xs: list[str]) -> list:
         got = list(map(self.young.get, xs))
@@ -101,7 +101,7 @@ class Remembered:
                 self.old, self.young, self.used = self.young, {}, 0
             some = {x: y for x, y in zip(xs[i : i + 4096], ys[i : i + 4096]) if len(x) <= LONG}
             self.young.update(some)
-            self.used += _ENTRY * len(some) + sum(map(len, some.values()))
+            self.used += self.entry * len(some) + sum(map(len, some.values()))
 
     def clear(self) -> None:
         self.young, self.old, self.used = {}, {}, 0
@@ -109,10 +109,10 @@ class Remembered:
 
 class PieceEncoder:
     """encode(texts): the ids of texts, by what `encode_pieces` gives for lists of pieces, as bytes of ids of type `dtype`.
-    marks: texts are also cut at marks and newlines."""
+    marks: texts are also cut at marks and newlines; entry: bytes that a remembered piece takes, about."""
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int, marks: bool = False):
-        self.encode_pieces, self.dtype, self.known, self.marks = encode_pieces, np.dtype(dtype), Remembered(most), marks
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], dtype: str, most: int, marks: bool = False, entry: int = _ENTRY):
+        self.encode_pieces, self.dtype, self.known, self.marks = encode_pieces, np.dtype(dtype), Remembered(most, entry), marks
 
     def encode(self, texts: pa.Array, end: bytes = b"", spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where those of each text end. end: what follows each text's ids; spaced: a space is put before each text."""

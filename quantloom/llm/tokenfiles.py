@@ -44,7 +44,7 @@ _MARK = b"MPHIDX1\0"
 _PER_BUCKET = 4
 _SPACE = "\u0120"  # the vocabulary's letter for a space
 _WORD = "^ [A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3]+\\z"  # letters of all versions of Unicode
-_INK = r"^ [^\t-\r\x1c-\x20\x{85}\p{Z}]([^ ]*[^\t-\r\x1c-\x20\x{85}\p{Z}])?\z"  # one space, first, and no white space last
+INK = r"^ [^\t-\r\x1c-\x20\x{85}\p{Z}]([^ ]*[^\t-\r\x1c-\x20\x{85}\p{Z}])?\z"  # one space, first, and no white space last
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -151,9 +151,9 @@ def _bare(t) -> bool:
 
 
 @lru_cache(1)
-def _encoder(path: str, ordinary: bool = False):
+def _encoder(path: str, ordinary: bool = False, memory: int = MEMORY):
     """The bytes of an id, and encode(texts) -> ids, ends: the library's ids without special tokens, each text ended by id 0.
-    ordinary: special tokens' strings in a text are text."""
+    ordinary: special tokens' strings in a text are text; memory: bytes of pieces that are remembered."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library would each keep memory
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -197,7 +197,7 @@ def _encoder(path: str, ordinary: bool = False):
         out, column = [b""] * len(xs), pa.array(xs, pa.large_string())
         if bare:
             joined(xs, np.flatnonzero(pc.match_substring_regex(column, _WORD)).tolist(), by_words, letters, out)
-        opening = np.flatnonzero(pc.match_substring_regex(column, _INK)).tolist()
+        opening = np.flatnonzero(pc.match_substring_regex(column, INK)).tolist()
         joined(xs, [i for i in opening if not out[i]], t, "".join, out)
         left = [i for i, x in enumerate(out) if not x]
         for i, x in zip(left, ids([xs[i] for i in left]) if left else ()):
@@ -208,7 +208,7 @@ def _encoder(path: str, ordinary: bool = False):
         got = [np.append(x, np.frombuffer(end, x.dtype)) for x in ids([x or "" for x in texts.to_pylist()])]
         return np.concatenate(got), np.cumsum([len(x) for x in got])
 
-    return width, plain if whole else PieceEncoder(pieces, f"<u{width}", MEMORY, marks).encode
+    return width, plain if whole else PieceEncoder(pieces, f"<u{width}", memory, marks).encode
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, shard_chars: int = SHARD_CHARS) -> None:

@@ -216,3 +216,34 @@ def test_audit_of_other_filters(spark):
     got = {(r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.shapley) for r in filters.audit(df, "xy").collect()}
     assert got == {("xy", 1): (1, 2, 0, 1, 3), ("xy", 2): (1, 0, 1, 0, 1), ("yx", 1): (2, 1, 0, 0, 1), ("yx", 2): (1, 1, 1, 1, 3)}
     assert filters.audit(df.withColumn("g", F.col("y")), "xy", lost={"g_lost": "g"}).where("filter_order = 'xy' and step = 1").first().g_lost == 1
+
+
+_BITS = [*" \n.,'$▁", "  ", "   ", "\t", "\xa0", "　", " ▁", "▁ ", "é", "ﬁ", "中", "😀", "7", "Word", " two", " word", "...", "<s>", "</s>", "<unk>", "<0x41>", "<|endoftext|>", "\x00", "é"]
+
+
+def test_links_of_texts_are_those_of_their_pieces():
+    import pyarrow as pa
+
+    p, draw = alignment._Pair(*(public_tokenizers.path(x) for x in (tokenfiles.VOCABULARY, alignment.PIECES))), random.Random(3)
+    assert p.parted
+    some = pa.array(["", " ", *("".join(draw.choices(_BITS, k=draw.randint(1, 40))) for _ in range(1500))])
+    plain = pa.array([x.replace("▁", "") for x in some.to_pylist()])
+    for texts in (some, plain, some):
+        p.parted = True
+        got = p.links(texts)
+        p.parted = False
+        for x, y in zip(got, p.links(texts)):
+            assert list(x) == list(y)
+        lists = p.b.encode(texts.to_pylist())
+        assert all(n in (0, len(x)) for n, x in zip(got[5].tolist(), lists)) and (texts is some or got[5].sum() > 15_000)
+
+
+def test_pieces_met_before_are_not_aligned_again():
+    import pyarrow as pa
+
+    p, seen = alignment._Pair(*(public_tokenizers.path(x) for x in (tokenfiles.VOCABULARY, alignment.PIECES))), []
+    made = p.known.encode_pieces
+    p.known.encode_pieces = lambda xs: seen.extend(xs) or made(xs)
+    first, again = (p.links(pa.array(["one two, three one", "two, one"])) for _ in range(2))
+    assert sorted(seen) == [" one", " three", " two,"]
+    assert all(list(x) == list(y) for x, y in zip(first, again)) and first[4].tolist() == [5, 3]
