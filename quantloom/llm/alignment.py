@@ -1,12 +1,13 @@
 """Cross-tokenizer alignment: which ids of two tokenizers end at the same bytes, how often over the corpus, and how well they agree.
 
-Each text is encoded by a byte-level BPE (A) and by a sentencepiece model (B). Where a token of A and one of B end at the same byte
-they are linked; these ends cut the text into groups. Pieces cut at single spaces are aligned by themselves, once, and remembered. The links of a run of documents leave their task packed by stripe, B's ids
-modulo `STRIPES`: one row for each run and stripe, alike links of a document once with their number. Counts over the corpus are
-dense matrices, one for each stripe, with a row for each of its B ids and a column for each A id: partial ones for parts of the runs,
-whose sums make the stripe's. Row maxima tell the best count of a B id. To score the links they meet their stripe's counts in one
-partition: a stripe with many links is split into parts, each of which gets the counts. A task holds one stripe's matrix at a time,
-and streams the links. A run's scores are then added up by document.
+Each text is encoded by a byte-level BPE (A) and by a sentencepiece model (B). Where a token of A and one of B end at the same
+byte they are linked; these ends cut the text into groups. Pieces cut at single spaces are aligned by themselves, once, and
+remembered. The links of a run of documents leave their task packed by stripe, B's ids modulo `STRIPES`: one row for each run
+and stripe, alike links of a document once with their number. Counts over the corpus are dense matrices, one for each stripe,
+with a row for each of its B ids and a column for each A id: partial ones for parts of the runs, whose sums make the stripe's.
+Row maxima tell the best count of a B id. To score the links they meet their stripe's counts in one partition: a stripe with
+many links is split into parts, each of which gets the counts. A task holds one stripe's matrix at a time, and streams the
+links. A run's scores are then added up by document.
 
 Defined results: a text that is null or empty, or whose tokens' bytes aren't a space and the text (the model may change white space or
 letters), has no tokens, zeros and empty groups. Rows alike in doc_id or text count each. An empty table gives no rows. Other columns
