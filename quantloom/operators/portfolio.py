@@ -90,6 +90,12 @@ def time_varying_cost(df: DataFrame, me: str, date: str, out: str = "cost") -> D
     return df.withColumn(out, y * (0.006 - 0.0025 * size))
 
 
+def _log_growth(ret: str) -> Column:
+    """ln(1 + ret) as floating point has it: minus infinity where all is lost, NaN beyond. F.log1p gives null there, which sums leave out."""
+    r = F.col(ret).cast("double")
+    return F.when(r > -1, F.log1p(r)).when(r == -1, F.lit(float("-inf"))).when(r < -1, F.lit(float("nan")))
+
+
 def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "date", id: str = "id", cost: str | float | Costs | Callable[[Column, Column], Column] | None = None, start: float = 1.0) -> DataFrame:
     """pf, date, gross_ret, net_ret, excess, net_excess, value, n_long, n_short, turnover, cost.
 
@@ -105,7 +111,7 @@ def portfolio_returns(position: DataFrame, rf: str | None = None, date: str = "d
     over = W.partitionBy("pf").orderBy(date)
     run = over.rowsBetween(W.unboundedPreceding, 0)
     by = by.withColumn("gross_ret", F.col("_r") + (1 - F.col("_long")) * F.col("_rf"))
-    by = by.withColumn("value", start * F.exp(F.sum(F.log1p("gross_ret")).over(run)))
+    by = by.withColumn("value", start * F.exp(F.sum(_log_growth("gross_ret")).over(run)))
     by = by.withColumns({"_value0": F.coalesce(F.lag("value").over(over), F.lit(start)), "_next": F.lead(date).over(over), "_first": F.row_number().over(over) == 1})
     held = position.join(by.select("pf", date, "_value0", "_next", "_first"), ["pf", date])
     own = F.col(cost).cast("double") if isinstance(cost, str) else F.lit(None).cast("double")
@@ -133,7 +139,7 @@ def from_returns(returns: DataFrame, ret: str, pf: str = "pf", date: str = "date
     run = W.partitionBy("pf").orderBy(date).rowsBetween(W.unboundedPreceding, 0)
     rows = returns.select(F.col(pf).alias("pf"), date, F.col(ret).cast("double").alias("_r")).where("_r is not null")
     same = [F.col("_r").alias(c) for c in ("gross_ret", "net_ret", "excess", "net_excess")]
-    return rows.select("pf", date, *same, (start * F.exp(F.sum(F.log1p("_r")).over(run))).alias("value"), F.lit(1).cast("long").alias("n_long"), F.lit(0).cast("long").alias("n_short"), F.lit(0.0).alias("turnover"), F.lit(0.0).alias("cost"))
+    return rows.select("pf", date, *same, (start * F.exp(F.sum(_log_growth("_r")).over(run))).alias("value"), F.lit(1).cast("long").alias("n_long"), F.lit(0).cast("long").alias("n_short"), F.lit(0.0).alias("turnover"), F.lit(0.0).alias("cost"))
 
 
 #: Kind of return -> the columns that cumulative returns and losses, and that means, deviations and Sharpe ratios are of.
@@ -145,10 +151,11 @@ RETURN_TYPES = {
 
 def drawdowns(returns: DataFrame, ret: str, pf: str = "pf", date: str = "date") -> DataFrame:
     """returns with cum (log), drawdown from the highest cum so far (at least 0), its duration in rows and the date it starts from, and
-    succdown, succ_duration, succ_start: the loss since the last rise. A loss from the very first row starts there."""
+    succdown, succ_duration, succ_start: the loss since the last rise. A loss from the very first row starts there. From a return below
+    -1 on, which costs or short positions can give, cum and the losses are NaN, which is the highest and worst value of all."""
     over = W.partitionBy(pf).orderBy(date)
     run = over.rowsBetween(W.unboundedPreceding, 0)
-    df = returns.withColumns({"cum": F.sum(F.log1p(ret)).over(run), "_t": F.row_number().over(over), "_begin": F.first(date).over(run)})
+    df = returns.withColumns({"cum": F.sum(_log_growth(ret)).over(run), "_t": F.row_number().over(over), "_begin": F.first(date).over(run)})
     df = df.withColumn("_peak", F.greatest(F.lit(0.0), F.max("cum").over(run)))
     # The scan carries the last peak's, and the last rise's, row number and date along.
     mark = F.struct(F.col("_t").alias("t"), F.col(date).alias("d"), F.col("cum").alias("c"))
