@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, documents, fold, materialise, mix64
+from .common import LOWER, documents, fold, give_back, materialise, mix64
 
 END = np.int64(np.uint64(xxh64_intdigest(b"\n")).astype(np.int64))  # no word has a line end
 _AT_ONCE = 2_000_000  # tokens counted at a time in a task
@@ -100,6 +100,8 @@ class Unigrams:
         # Without counts that are discounted, one token is added for the unseen.
         self.unseen, self.norm = freed or 1.0, total + (0 if freed else 1)
         self.parts = max(1, -(-all_events // p.part_tokens))
+        # Of events by a word, or a history, beyond the head. Each part of words sends to each of histories, so these are no more than their events need.
+        self.tail_parts = max(1, -(-2 * (all_events - int(events.sum())) // p.part_tokens))
         self.split = 1 + 4 * events[order] // p.part_tokens
 
     def codes(self, h: np.ndarray) -> np.ndarray:
@@ -174,7 +176,7 @@ def _packed(*cols: np.ndarray) -> bytes:
     return np.array([c.nbytes for c in cols], "<i8").tobytes() + b"".join([c.tobytes() for c in cols])
 
 
-def _columns(x: bytes, *kinds: str) -> list[np.ndarray]:
+def _columns(x: bytes | pa.Buffer, *kinds: str) -> list[np.ndarray]:
     size = np.frombuffer(x, "<i8", len(kinds))
     at = 8 * len(kinds) + np.cumsum(size) - size
     return [np.frombuffer(x, k, n // np.dtype(k).itemsize, a) for k, n, a in zip(kinds, size.tolist(), at.tolist())]
@@ -233,7 +235,7 @@ def _run(run: int, learn: bool, ids: list, hs: list[np.ndarray], k: Unigrams, p:
         m = _mixed(w[at])
         order = np.argsort(m)
         m, x = m[order], (_mixed(h[at]) if tail else ch[at].astype("<u2"))[order]
-        both.append((m, x, doc[at][order], dict(_ranges(_share(m, k.parts)))))
+        both.append((m, x, doc[at][order], dict(_ranges(_share(m, k.tail_parts)))))
     for q in both[0][3].keys() | both[1][3].keys():
         cols = [c[t[3].get(q, slice(0, 0))] for t in both for c in t[:3]]
         yield _WORD, q, _packed(*cols)
@@ -242,7 +244,7 @@ def _run(run: int, learn: bool, ids: list, hs: list[np.ndarray], k: Unigrams, p:
     m = _mixed(h[at])
     order = np.argsort(m)
     m, x, d = m[order], cw[at][order].astype("<u2"), doc[at][order]
-    for q, s in _ranges(_share(m, k.parts)):
+    for q, s in _ranges(_share(m, k.tail_parts)):
         yield _HISTORY, q, _packed(m[s], x[s], d[s])
 
 
@@ -372,13 +374,17 @@ def _met(k: Unigrams, p: KatzParams):
             out += _rows_of(_WORD, part, hist, c, of, size, run[order], doc[order], runs, p.cutoff, _head_stats(hist, c, k.p(of), p.cutoff))
         if len(mt):
             order = np.argsort(ht)
-            cols = ht[order], mt[order], cw[at[len(m) :]][order], dt[order], rt[order].astype("<u4")
-            out += [(_HISTORY, q, None, _packed(*(c[s] for c in cols), runs, learn.astype(np.uint8)), b"w") for q, s in _ranges(_share(cols[0], k.parts))]
+            cols, rt = (ht[order], mt[order], cw[at[len(m) :]][order], dt[order]), rt[order]
+            for q, s in _ranges(_share(cols[0], k.tail_parts)):
+                own, to = np.unique(rt[s], return_inverse=True)  # with all runs, what is sent would grow as parts times parts times runs
+                out.append((_HISTORY, q, None, _packed(*(c[s] for c in cols), to.astype("<u4"), runs[own], learn[own].astype(np.uint8)), b"w"))
         return out
 
     def met(key, t):
         what, part = (x.as_py() for x in key)
-        data, runs, learn = t.column("data").to_pylist(), t.column("run").to_numpy(), t.column("learn").to_numpy().astype(np.float64)
+        order = np.argsort(t.column("run").to_numpy(), kind="stable")  # ascending numbers take less room
+        data, runs, learn = t.column("data").to_pylist(), t.column("run").to_numpy()[order], t.column("learn").to_numpy().astype(np.float64)[order]
+        data = [data[i] for i in order.tolist()]
         if what == _HEAD:
             return _table(head(part, data, runs, learn))
         if what == _WORD:
@@ -462,7 +468,8 @@ def _sums(k: Unigrams, d: np.ndarray, log_n: np.ndarray, log_a: np.ndarray, cuto
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["run", "kind", "data"])
 
         for b in batches:
-            for what, data, stats in zip(*(b.column(c).to_pylist() for c in ("what", "data", "stats"))):
+            for what, data, stats in zip(*(map(b.column(c).__getitem__, range(b.num_rows)) for c in ("what", "data", "stats"))):
+                what, data, stats = what.as_py(), data.as_buffer(), stats.as_buffer()
                 if what == _RUN:
                     continue
                 h, c, cw, size, r, doc, ob, orun, runs = _columns(data, *_ROWS)
@@ -498,6 +505,7 @@ def _sums(k: Unigrams, d: np.ndarray, log_n: np.ndarray, log_a: np.ndarray, cuto
         rows = list(out())
         if rows:
             yield batch(rows)
+        give_back()
 
     return run
 
